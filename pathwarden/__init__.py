@@ -1,0 +1 @@
+"""Road-safety scoring and risk-aware walking routes on Spark DataFrames."""
