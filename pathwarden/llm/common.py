@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/pathwarden"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -30,7 +31,13 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pathwarden/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Once the table is written, the shuffle files behind it are of no more use.
+    was = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, was)
     return spark.read.schema(df.schema).parquet(path), path
 
 

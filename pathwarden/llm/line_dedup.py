@@ -25,24 +25,39 @@ BUCKETS = 1 << BUCKET_BITS
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, line) of every line; a null text is one empty line."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.lower(text).alias("_t"))
-    return slim.select("doc_id", "tie", F.posexplode(F.split("_t", "\n")).alias("line_no", "line"))
+    """(doc_id, tie, line_no, w) of every line: the hashes of its words in order; a null text is one empty line."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), spaced(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
+    return slim.select("doc_id", "tie", F.posexplode(F.split("_t", "\n")).alias("line_no", "line")).select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("w"))
 
 
-def tokens_of(line: Column) -> Column:
-    """The distinct shingle hashes of a line; an empty array without words."""
-    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    many = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(w, i, WORDS)))
-    empty = F.array().cast("array<bigint>")
-    # An array of one holds the words, so that they are made once for a line.
-    return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) >= WORDS, F.array_distinct(many(w))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(empty)))
+def spaced(text: Column) -> Column:
+    """Lower case, and spaces for all other gaps but line feeds."""
+    text = F.lower(text)
+    for gap in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return text
 
 
-def rarity(lines: DataFrame) -> list[int]:
+def words_of(line: Column) -> Column:
+    """The hashes of a spaced line's words."""
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+
+
+def tokens_of(words: Column) -> Column:
+    """The distinct shingle hashes of a line's word hashes, of which there must be one at least.
+
+    Nulls behind the last word leave a hash as it is, so fewer words give the hash of the whole line.
+    """
+    starts = lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1)))
+    # An array of one binds the words, so that they are made once for a line and not for each shingle.
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)]))))[0]
+
+
+def rarity(words: DataFrame) -> list[int]:
     """The place of each hash bucket in the order of its tokens' count."""
-    counted = lines.select(F.explode(tokens_of(F.col("line"))).alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    n = F.greatest(F.size("w") - (WORDS - 1), F.lit(1))
+    runs = words.select(F.explode(F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(WORDS)])).alias("z"))
+    counted = runs.select(F.xxhash64("z.*").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count()
     counts = {r["b"]: r["count"] for r in counted.collect()}
     place = [0] * BUCKETS
     for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
@@ -51,64 +66,86 @@ def rarity(lines: DataFrame) -> list[int]:
 
 
 def ordered(tokens: Column, place: list[int]) -> Column:
-    """Tokens as numbers that sort by rarity; no two tokens become one."""
-    table = F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
-    key = lambda t: F.shiftleft((F.element_at(table, (t.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")) - BUCKETS // 2).cast("bigint"), 64 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(t, BUCKET_BITS))
-    return F.sort_array(F.transform(tokens, key))
+    """Tokens as numbers that sort by rarity; no two tokens become one.
+
+    The hash's low bits, which name the bucket, give way to the bucket's place as its high bits.
+    """
+    high = [(p - BUCKETS // 2) << (64 - BUCKET_BITS) for p in place]
+    table = F.split(F.lit(",".join(map(str, high))), ",").cast("array<bigint>")
+    return F.sort_array(F.transform(tokens, lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(t, BUCKET_BITS))))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (y, x) of classes with a Jaccard similarity of 0.8 or more."""
-    a, b = sets.select(F.col("cls").alias("y"), F.col("tokens").alias("ty")), sets.select(F.col("cls").alias("x"), F.col("tokens").alias("tx"))
+    a, b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
     common = F.size(F.array_intersect("ty", "tx")).cast("long")
     return pairs.join(a, "y").join(b, "x").where(common * 100 >= 80 * (F.size("ty") + F.size("tx") - common)).select("y", "x")
 
 
+def _near(a, b) -> Column:
+    """The length and positional filters on two rows' n and pos."""
+    na, nb = a("n").cast("long"), b("n").cast("long")
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (F.least(na - a("pos"), nb - b("pos")) * 9 >= (na + nb) * 4)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, line_no, removed) of every line of ``docs`` (doc_id, text); tie is the hash of the text.
 
     Rows alike in doc_id and text are one document.
     """
     spark = docs.sparkSession
-    lines = line_rows(docs)
-    place = rarity(lines)
-    toks = lines.select("doc_id", "tie", "line_no", ordered(tokens_of(F.col("line")), place).alias("t"))
+    words = line_rows(docs)
+    place = rarity(words)
+    some = F.size("w") > 0
+    toks = words.select("doc_id", "tie", "line_no", F.when(some, ordered(tokens_of(F.col("w")), place)).alias("t"))
     n = F.size("t")
-    # The whole-token hash and n name the class.
-    slim = toks.select("doc_id", "tie", "line_no", n.alias("n"), F.when(n > 0, F.xxhash64("t", n)).alias("cls"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
+    # The hash of all tokens and n names the class.
+    slim = toks.select("doc_id", "tie", "line_no", F.when(F.col("t").isNotNull(), n).alias("n"), F.when(F.col("t").isNotNull(), F.xxhash64("t", n)).alias("cls"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
     all_lines, lines_path = stored(slim, "lines")
     at = F.struct("doc_id", "tie", "line_no")
-    heads = all_lines.where("cls is not null").groupBy("cls").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    bucket = Window.partitionBy("tok")
-    rows = heads.select("cls", "n", "first", F.posexplode("prefix").alias("pos", "tok"))
-    rows = rows.withColumn("early", F.min(F.struct("first", "cls", "n", "pos")).over(bucket)).withColumn("late", F.max("first").over(bucket)).where("early.first <> late").drop("late")
+    heads = all_lines.where("cls is not null").groupBy("cls").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # Classes numbered in the order of their earliest lines.
+    heads, heads_path = stored(heads.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    bucket, by_size = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("n", "id")
+    size = F.col("n").cast("long")
+    rows = heads.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
+    # In order of size, a class whose neighbours are too far in size has no partner in the bucket.
+    rows = rows.withColumns({"early": F.min(F.struct("id", "n", "pos")).over(bucket), "below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long")})
+    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4)).select("tok", "id", "n", "pos", "early")
     buckets, buckets_path = stored(rows, "line-buckets")
 
-    near = lambda nx, px, ny, py: (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4) & (F.least(nx - px, ny - py) * 9 >= (nx + ny) * 4)
-    votes = buckets.where("cls <> early.cls").where(near(F.col("early.n"), F.col("early.pos"), F.col("n"), F.col("pos"))).groupBy("cls", F.col("early.cls").alias("x")).count()
-    first = votes.groupBy(F.col("cls").alias("y")).agg(F.max_by("x", F.struct("count", "x")).alias("x"))
-    first, first_path = stored(first, "line-pairs")
-    # Tokens of lines that stand in a bucket, from their documents' text.
-    wanted = buckets.groupBy("cls").agg(F.first("first").alias("f")).select("cls", "f.*")
-    want_docs = wanted.groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_want"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").join(want_docs, ["doc_id", "tie"])
-    some = text.select("doc_id", "tie", F.explode("_want").alias("line_no"), F.split(F.lower("text"), "\n").alias("_l")).select("doc_id", "tie", "line_no", F.element_at("_l", F.col("line_no") + 1).alias("line"))
-    sets = some.select(ordered(tokens_of(F.col("line")), place).alias("tokens")).select(F.xxhash64("tokens", F.size("tokens")).alias("cls"), "tokens")
-    sets, sets_path = stored(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "line-sets")
+    own, early = (lambda c: F.col(c)), (lambda c: F.col(f"early.{c}"))
+    votes = buckets.where(own("id") != early("id")).where(_near(own, early)).groupBy("id", early("id").alias("x")).count()
+    first, first_path = stored(votes.groupBy(F.col("id").alias("y")).agg(F.max_by("x", F.struct("count", "x")).alias("x")), "line-pairs")
+
+    def fetch(pairs: DataFrame, have: DataFrame | None = None) -> tuple[DataFrame, str]:
+        """The tokens of the classes in ``pairs`` that ``have`` lacks, made anew from their lines."""
+        ids = pairs.select(F.explode(F.array("y", "x")).alias("id")).distinct()
+        if have is not None:
+            ids = ids.join(have.select("id"), "id", "left_anti")
+        wanted = ids.join(heads.select("id", "first"), "id").select("id", "first.*")
+        want_docs = wanted.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("line_no", "id")).alias("_want"))
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").join(want_docs, ["doc_id", "tie"])
+        pick = lambda ls: F.transform("_want", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["line_no"]).alias("line")))
+        lines = text.select(F.explode(F.transform(F.array(F.split(spaced(F.col("text")), "\n")), pick)[0]).alias("_w")).select("_w.*")
+        return stored(lines.select("id", ordered(tokens_of(words_of(F.col("line"))), place).alias("tokens")).dropDuplicates(["id"]), "line-sets")
+
+    sets, sets_path = fetch(first)
     gone, gone_path = stored(_verified(first, sets).select("y").distinct(), "lines-gone")
-    open_ = buckets.join(gone, buckets["cls"] == gone["y"], "left_anti")
-    p, q = open_.alias("p"), buckets.select("tok", "cls", "n", "first", "pos").alias("q")
+    p, q = buckets.join(gone, buckets["id"] == gone["y"], "left_anti").alias("p"), buckets.alias("q")
     more = (
-        p.join(q, (F.col("p.tok") == F.col("q.tok")) & (F.col("q.first") < F.col("p.first")) & near(F.col("q.n"), F.col("q.pos"), F.col("p.n"), F.col("p.pos")))
-        .select(F.col("p.cls").alias("y"), F.col("q.cls").alias("x"))
+        p.join(q, (F.col("p.tok") == F.col("q.tok")) & (F.col("q.id") < F.col("p.id")) & _near(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
+        .select(F.col("p.id").alias("y"), F.col("q.id").alias("x"))
         .distinct()
         .join(first, ["y", "x"], "left_anti")
     )
-    gone2, gone2_path = stored(gone.unionByName(_verified(more, sets).select("y").distinct()), "lines-gone")
-    discard(spark, buckets_path, first_path, sets_path, gone_path)
+    more, more_path = stored(more, "line-pairs")
+    others, others_path = fetch(more, sets)
+    gone2, gone2_path = stored(gone.unionByName(_verified(more, sets.unionByName(others)).select("y").distinct()), "lines-gone")
+    discard(spark, buckets_path, first_path, sets_path, gone_path, more_path, others_path)
     # Only classes of which some line goes are joined back.
-    state = all_lines.where("cls is not null").groupBy("cls").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    state = state.join(gone2, state["cls"] == gone2["y"], "left").where("y is not null or first <> last").select("cls", "first", F.col("y").isNotNull().alias("all_gone"))
+    state = heads.select("id", "cls", "first", "last").join(gone2, heads["id"] == gone2["y"], "left")
+    state = state.where("y is not null or first <> last").select("cls", "first", F.col("y").isNotNull().alias("all_gone"))
     hit = all_lines.select("doc_id", "tie", "line_no", "cls").join(state, "cls", "left")
     removed = F.coalesce(F.col("all_gone") | (F.struct("doc_id", "tie", "line_no") > F.col("first")), F.lit(False))
     return hit.select("doc_id", "tie", "line_no", removed.alias("removed"))
