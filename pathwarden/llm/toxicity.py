@@ -33,7 +33,7 @@ THRESHOLD = 0.7
 #: A model has at most so many stems, the surest first.
 LEXICON_SIZE = 4096
 STEM_LETTERS = (3, 12)
-MIN_DOCS = 6
+MIN_DOCS = 4
 MIN_ODDS = 12.0
 # Letters that look like a Latin letter, and digits or signs that stand for one.
 LOOK_ALIKES = {
@@ -137,21 +137,30 @@ class Lexicon:
 def _count_stems(only: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic: Counter = Counter()
-            other: Counter = Counter()
-            for text, label in zip(b.column(0), b.column(1)):
+            counts: dict[int, Counter] = {0: Counter(), 2: Counter()}
+            for text, half in zip(b.column(0), b.column(1)):
                 s = stems(fold(text.as_py()))
-                (toxic if label.as_py() else other).update(s if only is None else s & only)
-            names = list(toxic.keys() | other.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in (toxic, other))], ["stem", "n_toxic", "n_other"])
+                counts[half.as_py()].update(s if only is None else s & only)
+            names = list(counts[0].keys() | counts[2].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[h][x] for x in names], pa.int64()) for h in (0, 2))], ["stem", "n0", "n2"])
 
     return run
 
 
+def _surprise(t: int, o: int, toxic: int, other: int) -> float:
+    """The likelihood-ratio statistic of a stem that is in ``t`` toxic and ``o`` other documents."""
+    expected = (t + o) * toxic / (toxic + other)
+    part = lambda n, e: n * math.log(n / e) if n else 0.0
+    return 2 * (part(t, expected) + part(o, t + o - expected))
+
+
 def choose_stems(counts: list[tuple[str, int, int]], toxic: int, other: int, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Weights (smoothed log odds) of stems that are surely toxic; a stem gives way to a shorter one that is as telling."""
+    """Weights (smoothed log odds) of stems that are surely toxic, even as the best of so many; a stem gives way to a shorter one that is as telling."""
+    if not toxic or not other or not counts:
+        return {}
+    least = 2 * math.log(len(counts)) + 8
     odds = {s: ((t + 0.5) / (toxic + 1)) / ((o + 0.5) / (other + 1)) for s, t, o in counts}
-    ok = {s: (odds[s], t, o) for s, t, o in counts if t >= MIN_DOCS and odds[s] >= MIN_ODDS and t / (t + o) >= 0.6}
+    ok = {s: (odds[s], t, o) for s, t, o in counts if t >= MIN_DOCS and odds[s] >= MIN_ODDS and t / (t + o) >= 0.6 and _surprise(t, o, toxic, other) >= least}
     kept: dict[str, tuple[float, int]] = {}
     for s in sorted(ok, key=len):
         parents = [ok[s[:k]] for k in range(STEM_LETTERS[0], len(s)) if s[:k] in kept]
@@ -159,7 +168,17 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, other: int, siz
         if not any(rate(p) <= 1.5 * rate(ok[s]) + 0.02 for p in parents):
             kept[s] = (odds[s], ok[s][1])
     best = sorted(kept, key=lambda s: (-kept[s][1] * math.log(kept[s][0]), s))[:size]
-    return {s: math.log(kept[s][0]) for s in best}
+    longer: dict[str, list[str]] = {}
+    for s in ok:
+        longer.setdefault(s[:-1], []).append(s)
+
+    def grown(s: str) -> str:
+        """The longest stem in as good as all toxic documents of ``s``: it spares words that only begin alike."""
+        while (more := [x for x in longer.get(s, []) if ok[x][1] >= 0.97 * ok[s][1]]):
+            s = max(more, key=lambda x: (ok[x][1], x))
+        return s
+
+    return {grown(s): math.log(kept[s][0]) for s in best}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -191,34 +210,36 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if there > sample_rows:
         use = use.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * sample_rows / there))
     # Labels are narrow: the bounded sample of ids is what is sent to every executor.
-    rows, path = stored(docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").where("text is not null").withColumn("_half", remainder()), "labelled")
-    pick = rows.where("_half = 0")
-    tally = lambda df, only: df.select("text", "toxic").mapInArrow(_count_stems(only), "stem string, n_toxic long, n_other long").groupBy("stem").agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"))
-    sizes = {r["toxic"]: r["count"] for r in pick.groupBy("toxic").count().collect()}
-    toxic, other = sum(n for k, n in sizes.items() if k), sum(n for k, n in sizes.items() if not k)
-    weights: dict[str, float] = {}
-    if toxic and other:
-        first = tally(pick.where("toxic <> 0"), None).where(F.col("t") >= max(MIN_DOCS, toxic // 500)).orderBy(F.desc("t"), "stem").limit(65_536)
-        seen = {r["stem"]: r["t"] for r in first.collect()}
-        against = {r["stem"]: r["o"] for r in tally(pick.where("toxic = 0"), frozenset(seen)).collect()}
-        weights = choose_stems([(s, t, against.get(s, 0)) for s, t in seen.items()], toxic, other)
-    lexicon = Lexicon(weights)
-
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(*lexicon.features(t)[1:], float(bool(y))) for t, y in zip(f["text"], f["toxic"])], columns=["a", "b", "y"])
-
-    if weights:
-        got = rows.where("_half = 2").select("text", "toxic").mapInPandas(features, "a double, b double, y double").toPandas()
-        if got["y"].nunique() == 2:
-            x = np.column_stack([np.ones(len(got)), got["a"], got["b"]])
-            # Weight in hits must not lower a score.
-            w = _fit(x, got["y"].to_numpy())
-            if w[1] < 0 or w[2] < 0:
-                keep = 2 if w[1] < 0 else 1
-                v = _fit(x[:, [0, keep]], got["y"].to_numpy())
-                w = np.array([v[0], v[1] if keep == 1 else 0.0, v[1] if keep == 2 else 0.0])
-            lexicon.coef = tuple(float(v) for v in w)
+    rows, path = stored(docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").where("text is not null").select("text", (F.col("toxic") != 0).cast("int").alias("toxic"), remainder().cast("int").alias("half")), "labelled")
+    sizes = {(r["toxic"], r["half"]): r["count"] for r in rows.groupBy("toxic", "half").count().collect()}
+    n = lambda y, *halves: sum(sizes.get((y, h), 0) for h in halves)
+
+    def tally(label: int, only: frozenset | None) -> DataFrame:
+        return rows.where(F.col("toxic") == label).select("text", "half").mapInArrow(_count_stems(only), "stem string, n0 long, n2 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n2").alias("n2"))
+
+    lexicon = Lexicon({})
+    if n(1, 0, 2) and n(0, 0, 2):
+        # What is sought stands in many toxic documents: stems below one in 500 of them, or beyond the 65,536 most frequent, aren't candidates.
+        first = tally(1, None).where(F.col("n0") + F.col("n2") >= max(MIN_DOCS, n(1, 0, 2) // 500)).orderBy(F.desc(F.col("n0") + F.col("n2")), "stem").limit(65_536)
+        seen = {r["stem"]: (r["n0"], r["n2"]) for r in first.collect()}
+        against = {r["stem"]: (r["n0"], r["n2"]) for r in tally(0, frozenset(seen)).collect()}
+        pair = lambda s, k: (seen[s][k], against.get(s, (0, 0))[k])
+        both = [(s, seen[s][0] + seen[s][1], sum(against.get(s, (0, 0)))) for s in seen]
+        lexicon = Lexicon(choose_stems(both, n(1, 0, 2), n(0, 0, 2)))
+        halves = {h: Lexicon(choose_stems([(s, *pair(s, k)) for s in seen], n(1, h), n(0, h))) for k, h in ((0, 0), (1, 2))}
+
+        def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame([(*halves[2 - h].features(t)[1:], float(y)) for t, y, h in zip(f["text"], f["toxic"], f["half"])], columns=["a", "b", "y"])
+
+        got = rows.mapInPandas(features, "a double, b double, y double").toPandas()
+        x = np.column_stack([np.ones(len(got)), got["a"], got["b"]])
+        w = _fit(x, got["y"].to_numpy())
+        if w[1] < 0 or w[2] < 0:  # weight in hits must not lower a score
+            keep = 2 if w[1] < 0 else 1
+            v = _fit(x[:, [0, keep]], got["y"].to_numpy())
+            w = np.array([v[0], v[1] if keep == 1 else 0.0, v[1] if keep == 2 else 0.0])
+        lexicon.coef = tuple(float(v) for v in w)
     discard(docs.sparkSession, path)
     return lexicon
 
