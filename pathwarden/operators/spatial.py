@@ -94,9 +94,10 @@ def knn(points: DataFrame, key: str, k: int = 8, cell_size: float | None = None)
     r = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if not r["n"]:
         return points.select(F.col(key), F.col(key).alias("neighbour"), F.lit(0.0).alias("d2"), F.lit(0).alias("n"))
-    area = max(r["hix"] - r["lox"], 1e-9) * max(r["hiy"] - r["loy"], 1e-9)
-    size = cell_size or max(math.sqrt(area * (k + 1) / r["n"]), 1e-9)
-    span = max(r["hix"] - r["lox"], r["hiy"] - r["loy"]) / size + 2
+    wide, high = r["hix"] - r["lox"], r["hiy"] - r["loy"]
+    # Points on a line have no area: then cells are as long as they would be along it.
+    size = cell_size or max(math.sqrt(wide * high * (k + 1) / r["n"]), max(wide, high) * (k + 1) / r["n"], 1e-9)
+    span = max(wide, high) / size + 2
     open_, out, reach = points.select(key, "x", "y"), None, 1
     right = points.select(F.col(key).alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny")).withColumns({"_cx": cell(F.col("nx"), size), "_cy": cell(F.col("ny"), size)})
     while True:
