@@ -18,7 +18,7 @@ up to 5/4 its size.
 
 Candidates share a single or a pair and pass the length and positional filters; each is verified on whole sets.  Since
 classes of a component need not be compared, every class is first verified against one
-other of its bucket, and afterwards only pairs of different components are.
+other of another component, ``STARS`` times over, and then all pairs of different components that are left.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from pathwarden.llm.common import components, discard, stored
 from pathwarden.llm.shingles import WORDS, mix, set_key, shingle_hashes, word_hashes
 
 #: A token is frequent in more than this share of the tokens, and at least in this many documents.
-FREQUENT_SHARE = 1 / (1 << 17)
+FREQUENT_SHARE = 1 / (1 << 19)
 FREQUENT_LEAST = 32
 #: Sets below this size index frequent tokens singly.
 SMALL = 64
+#: Rounds in which every class is held against one other.
+STARS = 3
 _ONE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -52,7 +54,11 @@ def level(n: int) -> int:
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, positions) of an ascending set of token hashes; position -1 marks a pair."""
+    """(signatures, positions) of an ascending set of token hashes.
+
+    A pair's position is the number of rare tokens: sets that meet in pairs have all their rare tokens as
+    singles, so either they meet there too or they share none of them.
+    """
     n = len(s)
     need = misses(n) + 1
     if len(frequent):
@@ -88,7 +94,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                     break
                 a, b = tokens[:-step][same], tokens[step:][same]
                 sig.append(mix(mix(a ^ _PAIR) * np.uint64(3) + b + np.uint64(lv)))
-                pos.append(np.full(len(a), -1, np.int32))
+                pos.append(np.full(len(a), base, np.int32))
                 step += 1
     return np.concatenate(sig), np.concatenate(pos)
 
@@ -170,6 +176,25 @@ def _emit(frequent):
     return run
 
 
+def outline(s: np.ndarray) -> np.ndarray:
+    """How many tokens of a set fall into each of about n / 2 ranges of hashes, 255 for more."""
+    bits = max(3, len(s).bit_length() - 1)
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int = 80) -> bool:
+    """Whether outlines leave room for a link: sets share no more in a range than the smaller count there."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    if (x == 255).any() or (y == 255).any():
+        return True
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(axis=1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(axis=1)
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= percent * (nx + ny - most)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 512):
@@ -177,13 +202,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(_sets(part.column(1)))
             # A doc_id may stand for several texts; only the class's own counts.
             own = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(sets, part.column(0).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"]).filter(own)
+            made = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([outline(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["key", "n", "outline", "tokens"]).filter(own)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link."""
-    x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
+    """The pairs (a, b) of classes whose whole sets link; outlines settle most that don't, and whole sets the rest."""
+    side = lambda k, c: sets.select(F.col("key").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in c])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_link(np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8), m, n, percent) for p, q, m, n in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,16 +226,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    slim = ["n", "outline"]
+    left = pairs.join(side("a", slim), "a").join(side("b", slim), "b").select("a", "b", "a_outline", "b_outline", "a_n", "b_n").mapInArrow(sift, "a long, b long")
+    return left.join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a long, b long")
 
 
 def _near(a: str, b: str):
-    """The length filter, and the positional one for singles: what follows the first common token must suffice."""
+    """The length filter, and the positional one: what follows the first common token must suffice."""
     na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    pa_, pb = F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    length = (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
-    rest = F.least(na - pa_, nb - pb)
-    return length & ((pa_ < 0) | (pb < 0) | (rest * 9 >= (na + nb) * 4))
+    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (rest * 9 >= (na + nb) * 4)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -218,39 +248,67 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     tokens = per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = measured.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(FREQUENT_LEAST, FREQUENT_SHARE * tokens))
     # At most 1 / FREQUENT_SHARE tokens can have that share of all tokens.
-    frequent = np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(np.uint64))
+    frequent = np.sort(often.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
     rows = slim.select("text").mapInArrow(_emit(shared), "sig long, key long, n int, pos int")
-    bucket = Window.partitionBy("sig")
-    rows = rows.withColumn("least", F.min("key").over(bucket)).withColumn("most", F.max("key").over(bucket)).where("least < most")
-    buckets, buckets_path = stored(rows.drop("most"), "buckets")
-
-    # One partner for each class: the least of the bucket that it meets most often.
-    votes = buckets.where("key <> least").groupBy("key", "least").count()
-    first = votes.groupBy("key").agg(F.max_by("least", F.struct("count", "least")).alias("b")).select(F.col("key").alias("a"), "b")
+    bucket, by_size = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("n", "key")
+    # In order of size, a class whose neighbours are too far in size has no partner in the bucket; copies sent by several tasks are neighbours.
+    n = F.col("n").cast("long")
+    rows = rows.withColumns({"below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long"), "twin": F.lag("key").over(by_size), "lo": F.min("key").over(bucket), "hi": F.max("key").over(bucket)})
+    rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("twin").isNull() | (F.col("twin") != F.col("key"))) & ((F.col("below") * 5 >= n * 4) | (n * 5 >= F.col("above") * 4)))
+    buckets, buckets_path = stored(rows.select("sig", "key", "n", "pos"), "buckets")
     reps = per_doc.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = buckets.select("key").distinct().join(reps, "key").where("rep is not null")
-    texts = slim.join(wanted, slim["doc_id"] == wanted["rep"]).select("key", "text")
-    sets, sets_path = stored(texts.mapInArrow(_tokens, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
-    linked, linked_path = stored(verify(first, sets), "links-first")
-    comp, comp_path = components(linked)
-
-    marked = buckets.drop("least").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-    open_ = marked.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").drop("lo", "hi")
-    open_, open_path = stored(open_, "buckets-open")
+    # The more of its tokens a class shares, the likelier it is the middle of a group.
+    weights = buckets.groupBy("key").agg((F.count("*") / F.first("n")).alias("weight"))
+    open_, path = stored(buckets.join(weights, "key").withColumn("c", F.col("key")), "buckets-open")
+    discard(spark, buckets_path)
+    old, done, sets, links = [], None, None, None
+
+    def tested(pairs: DataFrame) -> None:
+        """Verify ``pairs`` (a < b) that no round had, and keep those that link."""
+        nonlocal done, sets, links
+        new, new_path = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        keys = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
+        keys = keys if sets is None else keys.join(sets.select("key"), "key", "left_anti")
+        wanted = keys.join(reps, "key").where("rep is not null")
+        texts = slim.join(wanted, slim["doc_id"] == wanted["rep"]).select("key", "text")
+        more, more_path = stored(texts.mapInArrow(_tokens, "key long, n int, outline binary, tokens binary").dropDuplicates(["key"]), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        found, found_path = stored(verify(new, sets), "links")
+        done, links = (new, found) if done is None else (done.unionByName(new), links.unionByName(found))
+        old.extend((new_path, more_path, found_path))
+
+    def relabelled() -> None:
+        """Buckets by the components so far; only those that hold two or more stay open."""
+        nonlocal open_, path
+        comp, comp_path = components(links)
+        named = open_.drop("c").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        named = named.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo < hi").drop("lo", "hi")
+        was = path
+        open_, path = stored(named, "buckets-open")
+        discard(spark, was, comp_path)
+
+    # Every class against one other of another component, a few times over: what is left to compare shrinks to classes that don't link.
+    for _ in range(STARS):
+        me = F.struct("weight", "key", "n", "pos", "c")
+        hubs = open_.withColumn("hub", F.max(me).over(bucket))
+        hubs = hubs.withColumn("second", F.max(F.when(F.col("c") != F.col("hub.c"), me)).over(bucket))
+        hubs = hubs.select("key", F.struct("n", "pos").alias("own"), F.when(F.col("c") != F.col("hub.c"), F.col("hub")).otherwise(F.col("second")).alias("hub"))
+        votes = hubs.where("hub is not null").where(_near("own", "hub")).groupBy("key", F.col("hub.key").alias("h")).count()
+        votes = votes.withColumns({"a": F.least("key", "h"), "b": F.greatest("key", "h")})
+        votes = votes if done is None else votes.join(done, ["a", "b"], "left_anti")
+        best = votes.groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("count", "h")).alias("p"))
+        tested(best.select("p.a", "p.b").distinct())
+        relabelled()
     p, q = open_.alias("p"), open_.alias("q")
-    more = (
-        p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & _near("p", "q"))
-        .select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
-        .distinct()
-    )
-    links, links_path = stored(linked.unionByName(verify(more, sets)), "links-all")
+    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & _near("p", "q"))
+    tested(rest.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct())
     final, final_path = components(links)
     joined = reps.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
     least = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "c").select("key", "component_id")
     out = per_doc.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    discard(spark, buckets_path, sets_path, linked_path, comp_path, open_path, links_path)
+    discard(spark, path, *old)
     return out, [measured_path, final_path]
 
 
