@@ -167,6 +167,14 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, other: int, siz
         rate = lambda x: (x[2] + 0.5) / (x[1] + x[2] + 1)
         if not any(rate(p) <= 1.5 * rate(ok[s]) + 0.02 for p in parents):
             kept[s] = (odds[s], ok[s][1])
+    # A stem that is telling only through a longer one that is kept too tells nothing of its own.
+    for s in sorted(kept, key=len, reverse=True):
+        inner = [ok[x] for x in kept if x != s and x.startswith(s)]
+        if inner:
+            _, t0, o0 = max(inner, key=lambda x: x[1])
+            t, o = ok[s][1] - t0, ok[s][2] - o0
+            if t < MIN_DOCS or ((t + 0.5) / (toxic + 1)) / ((o + 0.5) / (other + 1)) < MIN_ODDS or _surprise(t, o, toxic, other) < least:
+                del kept[s]
     best = sorted(kept, key=lambda s: (-kept[s][1] * math.log(kept[s][0]), s))[:size]
     longer: dict[str, list[str]] = {}
     for s in ok:
