@@ -22,7 +22,7 @@ def test_stages_chain(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     gone = {r["doc_id"] for r in docs.select("doc_id").collect()} - kept["toxicity"]
     assert gone and all(labels.get(i, 1) for i in gone)
-    assert kept["line dedup"] == kept["toxicity"] and kept["n-gram Jaccard join"] < kept["line dedup"]
+    assert kept["line dedup"] == kept["toxicity"] and kept["n-gram Jaccard join"] <= kept["line dedup"]
     out = P.STAGES[-1][1](spark, before, sf)
     r = out.collect()
     assert len(r) == before.count() and all(x["round_trip"] and x["n_tokens"] == len(x["token_ids"]) for x in r)
