@@ -4,10 +4,14 @@ Each tree splits by random directions at the median, and vectors within ``SPILL`
 ranks around the median go to both sides.  The upper splits are fitted on a
 bounded sample (``SAMPLE_ROWS`` vectors drawn by the hash of their values) and sent to all executors; every vector is
 sent down all trees.  What reaches the same cell of a tree meets in one task, which splits
-on with all of the cell's vectors, until a leaf has ``LEAF`` vectors or is dense, that is, most of its
-pairs are links: dense leaves are compared whole, in blocks.  Pairs that share a leaf
+on with all of the cell's vectors, until a leaf has ``LEAF`` vectors.  Pairs that share a leaf
 are verified in double precision; links of all trees are united.
 
+A split parts more links the closer a node's vectors lie together.  Each node, of the upper splits too, is judged
+on a sample of its vectors: how many pairs link, and how often a random split parts such a pair.  Where links are
+to be seen and all trees together would lose more than ``MISS`` of them, the node is
+split no further but compared whole: in its task, or, for the upper splits, in pairs of blocks of about ``PART`` vectors, a task each.
+
 Vectors with equal components are one vector with many ids throughout the search; its ids are
 linked with each other, and the links of one are the links of all.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -32,9 +37,13 @@ LEAF = 192
 CELL = 4096
 SAMPLE_ROWS = 32_768
 SAMPLE_LEAST = 64
+#: The share of links that all trees together may lose at a node before it is compared whole, and the share of pairs that has to link for that.
+MISS = 0.005
+DENSE = 1e-4
+PART = 8192
 SEED = 7
 _BLOCK = 1024
-_CELLS = "tree int, cell int, rep long, v binary"
+_CELLS = "tree int, cell int, part int, block int, rep long, v binary"
 _LINKS = "a long, b long"
 
 
@@ -56,19 +65,61 @@ def _direction(dim: int, *key: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([SEED, dim, *key])).standard_normal(dim)
 
 
-def grow(sample: np.ndarray, tree: int, depth: int) -> list[list[tuple[float, float]]]:
-    """By level and node the (low, high) bounds: below low goes left, above high right, between both ways."""
-    groups, out = [np.arange(len(sample))], []
+def _judge(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[float, float]:
+    """(share of pairs that link, chance that a random split parts a linked pair near the threshold) by a sample of a node."""
+    n = len(x)
+    if n < 2:
+        return 0.0, 0.0
+    dots = x @ x.T
+    a, b = np.nonzero(np.triu(dots >= threshold, 1))
+    if not len(a):
+        return 0.0, 0.0
+    # For vectors spread alike in all directions: the gap of a pair at the threshold beside the gap left by the spill.
+    mean = x.mean(axis=0)
+    ratio = math.sqrt(max(0.0, 2 * (1 - threshold)) / max(1e-12, 1 - float(mean @ mean)))
+    at = 2 * NormalDist().inv_cdf(0.5 + SPILL) / ratio if ratio else math.inf
+    expected = 2 * ratio * 0.3989 * (NormalDist().pdf(at) - at * NormalDist().cdf(-at)) if ratio else 0.0
+    # For any others: what splits do to the loosest linked pairs of the sample.
+    loose = np.argsort(dots[a, b], kind="stable")[:64]
+    p = x @ rng.standard_normal((x.shape[1], 32))
+    lo, hi = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL], axis=0)
+    u, v = np.minimum(p[a[loose]], p[b[loose]]), np.maximum(p[a[loose]], p[b[loose]])
+    return 2 * len(a) / (n * (n - 1)), min(1.0, max(expected, float(np.mean((u < lo) & (v > hi)))))
+
+
+def _whole(dense: float, kept: float, parted: float, n: float, leaf: int, trees: int) -> bool:
+    """Whether a node of ``n`` vectors, to which a tree has brought ``kept`` of the linked pairs, is compared whole."""
+    levels = max(0.0, math.log(max(n, 1) / leaf) / -math.log(0.5 + SPILL))
+    return dense > 0.25 or dense >= DENSE and (1 - kept * (1 - parted) ** levels) ** trees > MISS
+
+
+def grow(sample: np.ndarray, tree: int, depth: int, threshold: float = THRESHOLD, rows: int = 0, trees: int = TREES) -> tuple[list[list[tuple[float, float]]], list[float], dict[int, float]]:
+    """(by level and node the (low, high) bounds: below low goes left, above high right, between both ways;
+    by cell the share of linked pairs that is expected to reach it unparted; cells to compare whole with their expected vectors of ``rows``).
+
+    A node to compare whole has infinite bounds: all goes left.
+    """
+    rng = np.random.Generator(np.random.PCG64([SEED, tree]))
+    groups, out, kept, whole = [np.arange(len(sample))], [], [1.0], [False]
+    rows = rows or len(sample)
     for level in range(depth):
-        row, following = [], []
+        row, following, shares, stays = [], [], [], []
         for node, g in enumerate(groups):
+            parted = 0.0
+            if not whole[node]:
+                dense, parted = _judge(sample[g[:1024]], threshold, rng)
+                whole[node] = _whole(dense, kept[node], parted, rows * len(g) / max(1, len(sample)), LEAF, trees)
             p = sample[g] @ _direction(sample.shape[1], tree, level, node)
             lo, hi = (np.quantile(p, 0.5 - SPILL), np.quantile(p, 0.5 + SPILL)) if len(p) else (0.0, 0.0)
+            if whole[node]:
+                lo = hi = math.inf
             row.append((float(lo), float(hi)))
             following += [g[p <= hi], g[p >= lo]]
+            shares += [kept[node] * (1 - parted if not whole[node] else 1.0)] * 2
+            stays += [whole[node], False]
         out.append(row)
-        groups = following
-    return out
+        groups, kept, whole = following, shares, stays
+    return out, kept, {c: rows * len(groups[c]) / max(1, len(sample)) for c, w in enumerate(whole) if w}
 
 
 def cells(x: np.ndarray, tree: int, bounds: list[list[tuple[float, float]]]) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,29 +135,30 @@ def cells(x: np.ndarray, tree: int, bounds: list[list[tuple[float, float]]]) ->
     yield from groups
 
 
-def _compare(x: np.ndarray, ids: np.ndarray, g: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """Linked pairs within ``g`` as rows (smaller id, larger id)."""
+def _compare(x: np.ndarray, ids: np.ndarray, g: np.ndarray, threshold: float, h: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Linked pairs within ``g``, or between ``g`` and ``h``, as rows (smaller id, larger id)."""
+    within, h = h is None, g if h is None else h
     for i in range(0, len(g), _BLOCK):
-        for j in range(i, len(g), _BLOCK):
-            p, q = np.nonzero(x[g[i : i + _BLOCK]] @ x[g[j : j + _BLOCK]].T >= threshold)
-            a, b = ids[g[i + p]], ids[g[j + q]]
-            if i == j:
+        for j in range(i if within else 0, len(h), _BLOCK):
+            p, q = np.nonzero(x[g[i : i + _BLOCK]] @ x[h[j : j + _BLOCK]].T >= threshold)
+            a, b = ids[g[i + p]], ids[h[j + q]]
+            if within and i == j:
                 a, b = a[p < q], b[p < q]
             if len(a):
                 yield np.column_stack([np.minimum(a, b), np.maximum(a, b)])
 
 
-def leaves(x: np.ndarray, key: tuple[int, ...], threshold: float, leaf: int = LEAF) -> Iterator[np.ndarray]:
-    """Groups of indexes to compare: recursive random splits with spill."""
+def leaves(x: np.ndarray, key: tuple[int, ...], threshold: float, leaf: int = LEAF, kept: float = 1.0, trees: int = TREES) -> Iterator[np.ndarray]:
+    """Groups of indexes to compare: recursive random splits with spill of vectors to which ``kept`` of the linked pairs came unparted."""
     rng = np.random.Generator(np.random.PCG64([SEED, *key]))
-    stack = [np.arange(len(x))]
+    stack = [(np.arange(len(x)), kept)]
     while stack:
-        g = stack.pop()
+        g, kept = stack.pop()
         if len(g) <= leaf:
             yield g
             continue
-        i, j = rng.integers(0, len(g), (2, 256))
-        if np.mean(np.einsum("ij,ij->i", x[g[i]], x[g[j]])[i != j] >= threshold) > 0.25:
+        dense, parted = _judge(x[g[rng.choice(len(g), min(512, len(g) // 2), replace=False)]], threshold, rng)
+        if _whole(dense, kept, parted, len(g), leaf, trees):
             yield g
             continue
         p = x[g] @ rng.standard_normal(x.shape[1])
@@ -115,7 +167,7 @@ def leaves(x: np.ndarray, key: tuple[int, ...], threshold: float, leaf: int = LE
         if len(left) == len(g) or len(right) == len(g):
             yield g
         else:
-            stack += [left, right]
+            stack += [(left, kept * (1 - parted)), (right, kept * (1 - parted))]
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, cell: int = CELL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -124,13 +176,15 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
     n = vectors.count()
     depth = max(0, math.ceil(math.log2(max(n, 1) / cell)))
     depth = min(depth, max(0, int(math.log2(max(1, sample_rows // SAMPLE_LEAST)))))
-    bounds: list = [[] for _ in range(trees)]
+    grown: list = [([], [1.0], {}) for _ in range(trees)]
     if depth:
         # A bounded sample, whatever the input: it only places splits.
         got = vectors.orderBy(F.xxhash64("v"), "rep").select("v").limit(min(sample_rows, SAMPLE_LEAST << depth)).collect()
         sample = np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.float64).reshape(len(got), -1)
-        bounds = [grow(sample, t, depth) for t in range(trees)]
-    shared = spark.sparkContext.broadcast(bounds)
+        grown = [grow(sample, t, depth, threshold, n, trees) for t in range(trees)]
+        # Where a tree compares all vectors with each other, the others have nothing to add.
+        grown = next(([one] for one in grown if one[0][0][0][0] == math.inf), grown)
+    shared = spark.sparkContext.broadcast([(bounds, kept, {c: math.ceil(m / PART) for c, m in whole.items()}) for bounds, kept, whole in grown])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,26 +192,45 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                 continue
             rep, raw = b.column(0).to_numpy(), b.column(1)
             x = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(b.num_rows, -1)
-            for t, tree in enumerate(shared.value):
-                for c, g in cells(x, t, tree):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), t, np.int32)), pa.array(np.full(len(g), c, np.int32)), pa.array(rep[g]), raw.take(pa.array(g))], ["tree", "cell", "rep", "v"])
+            deal = np.random.Generator(np.random.PCG64([SEED, int(rep[0])])).integers(0, 1 << 30, b.num_rows)
+            for t, (bounds, _, whole) in enumerate(shared.value):
+                for c, g in cells(x, t, bounds):
+                    blocks = whole.get(c, 0)
+                    block = deal[g] % max(1, blocks)
+                    # A vector of a whole cell meets those of each block in one task.
+                    for other in range(max(1, blocks)):
+                        part = np.minimum(block, other) * blocks + np.maximum(block, other) if blocks else np.full(len(g), -1)
+                        one = [pa.array(np.asarray(k, np.int32)) for k in (np.full(len(g), t), np.full(len(g), c), part, block)]
+                        yield pa.RecordBatch.from_arrays([*one, pa.array(rep[g]), raw.take(pa.array(g))], ["tree", "cell", "part", "block", "rep", "v"])
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["rep"].to_numpy()
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames))
+        ids, block = frame["rep"].to_numpy(), frame["block"].to_numpy()
+        tree, at, part = (int(frame[k].iat[0]) for k in ("tree", "cell", "part"))
         x = np.frombuffer(b"".join(frame["v"]), np.float64).reshape(len(ids), -1)
-        key = (int(frame["tree"].iat[0]), int(frame["cell"].iat[0]))
+        del frame
         order = np.argsort(ids, kind="stable")
-        x, ids, found, parts = x[order], ids[order], [], 0
-        for g in leaves(x, key, threshold):
+        x, ids, block = x[order], ids[order], block[order]
+        _, kept, whole = shared.value[tree]
+        if part >= 0:
+            low, high = divmod(part, whole[at])
+            for pairs in _compare(x, ids, np.flatnonzero(block == low), threshold, None if low == high else np.flatnonzero(block == high)):
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            return
+        found, parts = [], 0
+        for g in leaves(x, (tree, at), threshold, kept=kept[at], trees=trees):
             for pairs in _compare(x, ids, g, threshold):
                 found.append(pairs)
                 parts += len(pairs)
                 if parts > 1 << 21:
-                    found, parts = [np.unique(np.concatenate(found), axis=0)], 0
+                    # A pair may come again from another leaf: distinct() below unites such.
+                    pairs = np.unique(np.concatenate(found), axis=0)
+                    yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    found, parts = [], 0
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return vectors.select("rep", "v").mapInArrow(route, _CELLS).groupBy("tree", "cell").applyInPandas(search, _LINKS).distinct()
+    return vectors.select("rep", "v").mapInArrow(route, _CELLS).groupBy("tree", "cell", "part").applyInPandas(search, _LINKS).distinct()
 
 
 def op1_forest(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -217,6 +217,32 @@ def test_forest_recall_with_cells(spark, monkeypatch):
     assert found <= want and len(found) >= 0.97 * len(want) > 500
 
 
+def test_forest_keeps_links_of_a_large_loose_cluster(spark):
+    """A few per cent of a cluster's pairs link: splits would part many of them at each level."""
+    rng = np.random.default_rng(10)
+    m = rng.standard_normal(64)
+    x = np.concatenate([math.sqrt(0.86) * m / np.linalg.norm(m) + math.sqrt(0.14) * rng.standard_normal((8000, 64)) / 8, rng.standard_normal((4000, 64)) / 8])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "rep long, v binary").repartition(4)
+    want = sum(int(np.count_nonzero(np.triu(x[i : i + 1000] @ x[i:].T >= 0.9, 1))) for i in range(0, len(x), 1000))
+    assert 0.005 < want / (8000 * 7999 / 2) < 0.05
+    found = forest.links(df, cell=1024)
+    assert found.where("a >= b").count() == 0 and 0.995 * want <= found.count() <= want
+
+
+def test_forest_compares_whole_cells_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    m = rng.standard_normal(64)
+    x = math.sqrt(0.87) * m / np.linalg.norm(m) + math.sqrt(0.13) * rng.standard_normal((3000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(forest, "PART", 700)
+    df = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "rep long, v binary").repartition(3)
+    monkeypatch.setattr(forest, "_whole", lambda *_: True)
+    got = forest.links(df, cell=512).toPandas().to_numpy()
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert sorted(map(tuple, got.tolist())) == list(zip(a.tolist(), b.tolist()))
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75.0, 37.5])
     t = mixing.targets([10, 1000, 1000], [5, 2, 1])
