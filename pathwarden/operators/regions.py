@@ -24,6 +24,11 @@ HAZARD_MEAN = {"traffic_volume_norm": 0.18, "avg_speed_norm": 0.12, "narrow_side
 HAZARD_LACKS = {"light_density_norm": 0.10, "has_crosswalk": 0.08, "has_signal": 0.06}
 HAZARD_PEAK = {"traffic_volume_norm": 0.25, "avg_speed_norm": 0.15, "narrow_sidewalk_norm": 0.20, "pedestrian_flow_norm": 0.10, "illegal_parking_norm": 0.10, "lane_count_norm": 0.10}
 
+MODEL_FEATURES = [
+    *MEANS, "center_x", "center_y", "segment_count", *[f"{c}_{k}" for k in ("max", "std", "q90") for c in SPREADS], *[f"{c}_sum" for c in SUMS], *[f"hw_share_{h}" for h in HIGHWAYS],
+    "log_segment_count", "road_length_km", *PER_KM.values(), *COVERAGE.values(), "structural_hazard_mean", "structural_hazard_peak",
+]
+
 
 def unique_segments(df: DataFrame) -> DataFrame:
     """One row a segment: the shortest edge, by edge_id when lengths tie."""

@@ -624,7 +624,10 @@ def edge_model_cv(spark, sf_dir):
 @query()
 def region_model_logo(spark, sf_dir):
     r = regions.region_features(A.segments(spark, sf_dir))
-    return models.train_region_model(r, ["traffic_volume_norm", "avg_speed_norm", "log_segment_count"], seeds=(11,), rounds=5).select("district", "region_x", "region_y", "oof_risk_probability", "oof_probability_std")
+    return models.train_region_model(r, regions.MODEL_FEATURES).select(
+        "district", "region_x", "region_y", "oof_risk_probability", "oof_probability_std",
+        "regional_risk_probability", "regional_risk_prediction", "decision_threshold", "stable_low", "stable_high",
+    )
 
 
 @query()
