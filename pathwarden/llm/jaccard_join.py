@@ -19,6 +19,8 @@ up to 5/4 its size.
 Candidates share a single or a pair and pass the length and positional filters; each is verified on whole sets.  Since
 classes of a component need not be compared, every class is first verified against one
 other of another component, ``STARS`` times over, and then all pairs of different components that are left.
+There the join also compares sketches: ``BITS`` parities of how many tokens fall into each range of hashes.  Sets differ in at
+least as many tokens as their sketches in bits, and sets that link differ in at most a ninth of their tokens, so no link is lost.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ FREQUENT_LEAST = 32
 SMALL = 64
 #: Rounds in which every class is held against one other.
 STARS = 3
+#: Parities in a sketch, 64 a word; they tell sets of up to about twice as many tokens apart.
+BITS = 1024
 _ONE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -109,11 +113,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of tokens in ``BITS`` ranges of hashes, 64 a word."""
+    at = (s >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _measure(share: float):
-    """Per document its id, set size and class; per task the tokens that are often in it (doc_id null)."""
+    """Per document its id, the hash of its text, set size, class and sketch; per task the tokens that are often in it (doc_id null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "key"]
+        names = ["doc_id", "tie", "n", "key", "sketch"]
         total, seen, counts = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
         pending: list[np.ndarray] = []
         held = 0
@@ -130,20 +140,23 @@ def _measure(share: float):
             seen, counts, pending, held = both[keep], add[keep], [], 0
 
         for b in batches:
-            n, key = [], []
-            for s in _sets(b.column(1)):
+            n, key, bits = [], [], [np.empty(0, np.int64)]
+            for s in _sets(b.column(2)):
                 n.append(len(s))
                 key.append(set_key(s) if len(s) else None)
+                bits.append(sketch(s))
                 pending.append(s)
                 held += len(s)
                 total += len(s)
                 if held > 1 << 20:
                     fold()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names)
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), sketches], names)
         fold()
         for lo in range(0, len(seen), 10_000):
             part = seen[lo : lo + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(-counts[lo : lo + 10_000]), _signed(part)], names)
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(-counts[lo : lo + 10_000]), _signed(part), pa.nulls(len(part), pa.list_(pa.int64()))], names)
 
     return run
 
@@ -200,7 +213,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
             sets = list(_sets(part.column(1)))
-            # A doc_id may stand for several texts; only the class's own counts.
+            # Texts with equal hashes may differ; only the class's own counts.
             own = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(sets, part.column(0).to_pylist())], pa.bool_())
             made = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([outline(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, ["key", "n", "outline", "tokens"]).filter(own)
@@ -238,12 +251,21 @@ def _near(a: str, b: str):
     return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (rest * 9 >= (na + nb) * 4)
 
 
+def _apart():
+    """Whether the sketches of p and q differ in no more bits than sets that link may in tokens."""
+    bits = [F.bit_count(F.get("p.sketch", F.lit(i)).bitwiseXOR(F.get("q.sketch", F.lit(i)))) for i in range(BITS // 64)]
+    return sum(bits[1:], bits[0]) * 9 <= F.col("p.n").cast("long") + F.col("q.n").cast("long")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text), and the stored tables behind it."""
+    """(doc_id, tie, n_shingles, component, component_id) of documents (doc_id, text), and the stored tables behind it.
+
+    tie is the hash of the text.  component is a number of each component, null for documents without words.
+    """
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("tie"), "text")
     # Null ids are kept apart from the rows that carry token counts by n, which is negative there.
-    measured, measured_path = stored(slim.mapInArrow(_measure(FREQUENT_SHARE), "doc_id long, n long, key long"), "set-sizes")
+    measured, measured_path = stored(slim.mapInArrow(_measure(FREQUENT_SHARE), "doc_id long, tie long, n long, key long, sketch array<bigint>"), "set-sizes")
     per_doc = measured.where("n >= 0")
     tokens = per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = measured.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(FREQUENT_LEAST, FREQUENT_SHARE * tokens))
@@ -257,7 +279,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     rows = rows.withColumns({"below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long"), "twin": F.lag("key").over(by_size), "lo": F.min("key").over(bucket), "hi": F.max("key").over(bucket)})
     rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("twin").isNull() | (F.col("twin") != F.col("key"))) & ((F.col("below") * 5 >= n * 4) | (n * 5 >= F.col("above") * 4)))
     buckets, buckets_path = stored(rows.select("sig", "key", "n", "pos"), "buckets")
-    reps = per_doc.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # A class is read again from one row, found by doc_id and the hash of its text; rows without doc_id stand in only where there is no other.
+    reps = per_doc.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("rep"))
     # The more of its tokens a class shares, the likelier it is the middle of a group.
     weights = buckets.groupBy("key").agg((F.count("*") / F.first("n")).alias("weight"))
     open_, path = stored(buckets.join(weights, "key").withColumn("c", F.col("key")), "buckets-open")
@@ -270,8 +293,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         new, new_path = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         keys = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
         keys = keys if sets is None else keys.join(sets.select("key"), "key", "left_anti")
-        wanted = keys.join(reps, "key").where("rep is not null")
-        texts = slim.join(wanted, slim["doc_id"] == wanted["rep"]).select("key", "text")
+        wanted = keys.join(reps, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tie").alias("rep_tie"))
+        texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["rep_id"]) & (slim["tie"] == wanted["rep_tie"])).select("key", "text")
         more, more_path = stored(texts.mapInArrow(_tokens, "key long, n int, outline binary, tokens binary").dropDuplicates(["key"]), "sets")
         sets = more if sets is None else sets.unionByName(more)
         found, found_path = stored(verify(new, sets), "links")
@@ -300,28 +323,48 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         best = votes.groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("count", "h")).alias("p"))
         tested(best.select("p.a", "p.b").distinct())
         relabelled()
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & _near("p", "q"))
+    sketches = per_doc.where("n > 0").select("key", "sketch").dropDuplicates(["key"])
+    drawn = open_.join(sketches, "key")
+    p, q = drawn.alias("p"), drawn.alias("q")
+    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & _near("p", "q") & _apart())
     tested(rest.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct())
     final, final_path = components(links)
     joined = reps.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-    least = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "c").select("key", "component_id")
-    out = per_doc.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = joined.groupBy("c").agg(F.min("rep.doc_id").alias("component_id"))
+    named = joined.join(least, "c").select("key", "c", "component_id")
+    out = per_doc.join(named, "key", "left").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("c").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     discard(spark, path, *old)
     return out, [measured_path, final_path]
 
 
 def op6_jaccard(docs: DataFrame) -> DataFrame:
-    return classes(docs)[0]
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text); other columns don't matter.
+
+    A null or empty text, or one without words, has an empty set and links with nothing.  Rows that repeat a doc_id are documents of their own, each with
+    its own text.  A row without doc_id links like any other; its component_id is the smallest doc_id of its component, null if
+    that has none.  Texts of any length count whole.  An empty table gives an empty one.
+    """
+    return classes(docs)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: its smallest doc_id.
+    """``docs`` with one row of each component: that of the smallest doc_id (then of the smallest hash of the text; rows without doc_id come last).
 
-    Documents without words or doc_id stay.  Rows that repeat a doc_id share its fate.
+    Rows without words stay.  Of rows alike in doc_id and text any one stays.  A row goes or stays by its own text, whatever other rows share its doc_id.
     """
-    label, _ = classes(docs.where("doc_id is not null"))
-    gone = label.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    spark = docs.sparkSession
+    label, paths = classes(docs)
+    label, label_path = stored(label.where("component is not null").select("doc_id", "tie", "component"), "labels")
+    discard(spark, *paths)
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    chosen = label.groupBy("component").agg(F.min(me).alias("kept"))
+    gone = label.join(chosen, "component").where(me != F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()
+    same = lambda other, i, t: docs["doc_id"].cast("long").eqNullSafe(other[i]) & (F.xxhash64(docs["text"].cast("string")) == other[t])
+    kept = docs.join(gone, same(gone, "_gone_id", "_gone_tie"), "left_anti")
+    again = label.groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("_again_id"), F.col("tie").alias("_again_tie"))
+    if not again.limit(1).count():
+        return kept
+    # Only rows that are repeated as they are have to meet once more.
+    once = docs.join(again, same(again, "_again_id", "_again_tie"), "left_anti").join(gone, same(gone, "_gone_id", "_gone_tie"), "left_anti")
+    twice = docs.join(again, same(again, "_again_id", "_again_tie")).join(gone, same(gone, "_gone_id", "_gone_tie"), "left_anti")
+    return once.unionByName(twice.dropDuplicates(["_again_id", "_again_tie"]).select(*[docs[c] for c in docs.columns]))
