@@ -4,10 +4,14 @@ A line's tokens are its distinct five-word shingles (with fewer words, the whole
 line), lower-cased.  A line goes if an earlier one, by doc_id and place, has a Jaccard
 similarity of 0.8 or more.  Lines without words stay.
 
-Tokens are ordered by rarity: by the count, over all lines, of the hash bucket they are in
-(``BUCKETS`` numbers, whatever the input), then by hash.  Lines with equal tokens are one class, known by
-its earliest line.  A class of n tokens is indexed under its first n // 5 + 1 tokens; classes
-that share one are candidates if they pass the length and positional filters, and are verified on
+Lines with equal tokens are one class, known by its earliest line.  Tokens are ordered by rarity: first the rare ones, then the
+frequent ones, each by hash.  A token is frequent if the hash bucket it is in (one of ``BUCKETS``, whatever the input) is one of
+the at most ``FREQUENT`` that hold over twice the median.  All classes' tokens are counted that can get into a prefix: each class
+keeps somewhat more of its first tokens by hash than its prefix takes, so that tokens are made once.  Only where too many
+of those are frequent is a class's line read again.
+
+A class of n tokens is indexed under its first n // 5 + 1 tokens.  Classes that share some are candidates if they pass the length
+filter, the positional filter at the first common token, and the count of common prefix tokens with what can follow it; they are verified on
 all tokens.  A class needs but one earlier match: it is first held against the
 earliest class of the bucket that it meets most often, and only classes that this leaves open are held against all.
 """
@@ -20,14 +24,16 @@ from pyspark.sql import functions as F
 from pathwarden.llm.common import discard, stored
 
 WORDS = 5
-BUCKET_BITS = 12
-BUCKETS = 1 << BUCKET_BITS
+BUCKETS = 1 << 16
+FREQUENT = 1 << 12
+#: At most so many classes to read again are broadcast.
+SENT = 100_000
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, w) of every line: the hashes of its words in order; a null text is one empty line."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), spaced(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
-    return slim.select("doc_id", "tie", F.posexplode(F.split("_t", "\n")).alias("line_no", "line")).select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("w"))
+    """(doc_id, tie, line_no, w) of every line: its words in order; a null text is one empty line."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), spaced(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    return slim.select("doc_id", "tie", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("w"))
 
 
 def spaced(text: Column) -> Column:
@@ -39,40 +45,52 @@ def spaced(text: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    """The hashes of a spaced line's words."""
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.split(line, " "), "")
 
 
-def tokens_of(words: Column) -> Column:
-    """The distinct shingle hashes of a line's word hashes, of which there must be one at least.
+def with_tokens(lines: DataFrame, name: str) -> DataFrame:
+    """``lines`` with the ascending distinct shingle hashes of their words ``w`` as ``name``, null without words.
 
     Nulls behind the last word leave a hash as it is, so fewer words give the hash of the whole line.
     """
     starts = lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1)))
     # An array of one binds the words, so that they are made once for a line and not for each shingle.
-    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)]))))[0]
+    shingles = F.transform(F.array("w"), lambda w: F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)])))[0]
+    lines = lines.withColumn(name, F.sort_array(F.array_distinct(shingles))).drop("w")
+    # Without words there is none.
+    return lines.withColumn(name, F.when(F.size(name) > 0, F.col(name)))
 
 
-def rarity(words: DataFrame) -> list[int]:
-    """The place of each hash bucket in the order of its tokens' count."""
-    n = F.greatest(F.size("w") - (WORDS - 1), F.lit(1))
-    runs = words.select(F.explode(F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(WORDS)])).alias("z"))
-    counted = runs.select(F.xxhash64("z.*").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count()
-    counts = {r["b"]: r["count"] for r in counted.collect()}
-    place = [0] * BUCKETS
-    for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        place[b] = i
-    return place
+def prefix_size(n: Column) -> Column:
+    return F.floor(n / 5).cast("int") + 1
 
 
-def ordered(tokens: Column, place: list[int]) -> Column:
-    """Tokens as numbers that sort by rarity; no two tokens become one.
+def frequent_buckets(first: DataFrame) -> list[int]:
+    """The numbers of the buckets whose tokens are frequent, by the arrays ``low`` of all classes."""
+    counted = first.select(F.explode("low").alias("t")).select(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count()
+    counts = sorted((r["count"], r["b"]) for r in counted.collect())  # at most BUCKETS rows
+    median = counts[len(counts) // 2][0] if 2 * len(counts) > BUCKETS else 0
+    return [b for c, b in counts[-FREQUENT:] if c > 2 * median + 64]
+
+
+def rare_of(tokens: Column, often: list[int]) -> Column:
+    """The rare ones among tokens, in their order."""
+    # One bit for each bucket, 64 a word.
+    bits = [0] * (BUCKETS // 64)
+    for b in often:
+        bits[b >> 6] |= 1 << (b & 63)
+    table = F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in bits)), ",").cast("array<bigint>")
+    word = lambda t: F.get(table, F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(BUCKETS // 64 - 1)).cast("int"))
+    return F.filter(tokens, lambda t: F.getbit(word(t), t.bitwiseAND(F.lit(63)).cast("int")) == F.lit(0).cast("byte"))
 
-    The hash's low bits, which name the bucket, give way to the bucket's place as its high bits.
-    """
-    high = [(p - BUCKETS // 2) << (64 - BUCKET_BITS) for p in place]
-    table = F.split(F.lit(",".join(map(str, high))), ",").cast("array<bigint>")
-    return F.sort_array(F.transform(tokens, lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(t, BUCKET_BITS))))
+
+def with_prefix(sets: DataFrame, tokens: str, often: list[int]) -> DataFrame:
+    """(id, n, prefix) of ``sets`` (id, n and the first tokens by hash); prefix is null where those don't determine it."""
+    size = prefix_size(F.col("n"))
+    in_order = lambda r: F.slice(F.concat(r, F.array_except(F.col(tokens), r)), F.lit(1), size)
+    prefix = lambda r: F.when(F.size(r) >= size, F.slice(r, F.lit(1), size)).when(F.size(tokens) == F.col("n"), in_order(r))
+    # An array of one binds the rare tokens, so that they are told once.
+    return sets.select("id", "n", F.transform(F.array(rare_of(F.col(tokens), often)), prefix)[0].alias("prefix"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -82,93 +100,117 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "y").join(b, "x").where(common * 100 >= 80 * (F.size("ty") + F.size("tx") - common)).select("y", "x")
 
 
-def _near(a, b) -> Column:
-    """The length and positional filters on two rows' n and pos."""
-    na, nb = a("n").cast("long"), b("n").cast("long")
-    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (F.least(na - a("pos"), nb - b("pos")) * 9 >= (na + nb) * 4)
+def _lengths(na: Column, nb: Column) -> Column:
+    """The length filter."""
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, removed) of every line of ``docs`` (doc_id, text); tie is the hash of the text.
+def _enough(rows: DataFrame) -> DataFrame:
+    """The pairs (y, x) in ``rows`` (y, x, ny, nx, py, px: one for each common prefix token with its places) that may reach the overlap they need.
 
-    Rows alike in doc_id and text are one document.
+    Behind the first common token, no more can be common than is left of either; and of the common tokens all but those
+    in the prefixes lie behind the prefix of one of the two.
+    """
+    met = rows.groupBy("y", "x", "ny", "nx").agg(F.count("*").alias("met"), F.min("py").alias("py"), F.min("px").alias("px"))
+    left = F.greatest(F.col("ny") - prefix_size(F.col("ny")), F.col("nx") - prefix_size(F.col("nx")))
+    need = 4 * (F.col("ny") + F.col("nx"))
+    return met.where((9 * F.least(F.col("ny") - F.col("py"), F.col("nx") - F.col("px")) >= need) & (9 * (F.col("met") + left) >= need))
+
+
+def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc_id, tie, line_no, removed) of every line of ``docs`` (doc_id, text), and the stored tables behind it; tie is the hash of the text.
+
+    Rows alike in doc_id and text are one document.  Rows without doc_id come before all others, by the hash of their texts.
     """
     spark = docs.sparkSession
-    words = line_rows(docs)
-    place = rarity(words)
-    some = F.size("w") > 0
-    toks = words.select("doc_id", "tie", "line_no", F.when(some, ordered(tokens_of(F.col("w")), place)).alias("t"))
-    n = F.size("t")
+    toks = with_tokens(line_rows(docs), "t")
+    n, some = F.size("t"), F.col("t").isNotNull()
     # The hash of all tokens and n names the class.
-    slim = toks.select("doc_id", "tie", "line_no", F.when(F.col("t").isNotNull(), n).alias("n"), F.when(F.col("t").isNotNull(), F.xxhash64("t", n)).alias("cls"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
-    all_lines, lines_path = stored(slim, "lines")
+    low = F.slice("t", F.lit(1), prefix_size(n) + F.floor(prefix_size(n) / 4).cast("int") + 3)
+    all_lines, lines_path = stored(toks.select("doc_id", "tie", "line_no", F.when(some, n).alias("n"), F.when(some, F.xxhash64("t", n)).alias("cls"), F.when(some, low).alias("low")), "lines")
     at = F.struct("doc_id", "tie", "line_no")
-    heads = all_lines.where("cls is not null").groupBy("cls").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = all_lines.where("cls is not null").groupBy("cls").agg(F.min(at).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("low").alias("low"))
     # Classes numbered in the order of their earliest lines.
     heads, heads_path = stored(heads.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    bucket, by_size = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("n", "id")
+
+    def fetch(ids: DataFrame, few: bool = False) -> DataFrame:
+        """(id, tokens) of the classes ``ids``, made anew from their earliest lines."""
+        wanted = ids.join(heads.select("id", "first"), "id").select("id", "first.*")
+        want = wanted.groupBy(F.col("doc_id").alias("want_doc"), F.col("tie").alias("want_tie")).agg(F.collect_set(F.struct("line_no", "id")).alias("want"))
+        want = F.broadcast(want) if few else want
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+        text = text.join(want, text["doc_id"].eqNullSafe(want["want_doc"]) & (text["tie"] == want["want_tie"]))
+        pick = lambda ls: F.transform("want", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["line_no"]).alias("line")))
+        lines = text.select(F.explode(F.transform(F.array(F.split(spaced(F.col("text")), "\n")), pick)[0]).alias("l")).select("l.*")
+        return with_tokens(lines.select("id", words_of(F.col("line")).alias("w")), "tokens").dropDuplicates(["id"])
+
+    often = frequent_buckets(heads)
+    indexed, indexed_path = stored(with_prefix(heads, "low", often), "line-prefixes")
+    short = indexed.where("prefix is null").select("id", "n")
+    # So few classes' numbers are sent to all executors; more are joined by shuffling.
+    n_short = short.limit(SENT + 1).count()
+    again, again_path = (None, None) if not n_short else stored(with_prefix(fetch(short.select("id"), n_short <= SENT).join(short, "id"), "tokens", often), "line-prefixes")
+    rows = indexed.where("prefix is not null")
+    rows = (rows if again is None else rows.unionByName(again)).select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
+    by_size = Window.partitionBy("tok").orderBy("n", "id")
     size = F.col("n").cast("long")
-    rows = heads.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
     # In order of size, a class whose neighbours are too far in size has no partner in the bucket.
-    rows = rows.withColumns({"early": F.min(F.struct("id", "n", "pos")).over(bucket), "below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long")})
-    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4)).select("tok", "id", "n", "pos", "early")
+    rows = rows.withColumns({"below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long")})
+    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4)).select("tok", "id", "n", "pos")
     buckets, buckets_path = stored(rows, "line-buckets")
-
-    own, early = (lambda c: F.col(c)), (lambda c: F.col(f"early.{c}"))
-    votes = buckets.where(own("id") != early("id")).where(_near(own, early)).groupBy("id", early("id").alias("x")).count()
-    first, first_path = stored(votes.groupBy(F.col("id").alias("y")).agg(F.max_by("x", F.struct("count", "x")).alias("x")), "line-pairs")
-
-    def fetch(pairs: DataFrame, have: DataFrame | None = None) -> tuple[DataFrame, str]:
-        """The tokens of the classes in ``pairs`` that ``have`` lacks, made anew from their lines."""
-        ids = pairs.select(F.explode(F.array("y", "x")).alias("id")).distinct()
-        if have is not None:
-            ids = ids.join(have.select("id"), "id", "left_anti")
-        wanted = ids.join(heads.select("id", "first"), "id").select("id", "first.*")
-        want_docs = wanted.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("line_no", "id")).alias("_want"))
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").join(want_docs, ["doc_id", "tie"])
-        pick = lambda ls: F.transform("_want", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["line_no"]).alias("line")))
-        lines = text.select(F.explode(F.transform(F.array(F.split(spaced(F.col("text")), "\n")), pick)[0]).alias("_w")).select("_w.*")
-        return stored(lines.select("id", ordered(tokens_of(words_of(F.col("line"))), place).alias("tokens")).dropDuplicates(["id"]), "line-sets")
-
-    sets, sets_path = fetch(first)
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+
+    earliest = buckets.withColumn("early", F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("tok")))
+    met = earliest.where("id <> early.id").select(F.col("id").alias("y"), F.col("early.id").alias("x"), long("n", "ny"), long("early.n", "nx"), long("pos", "py"), long("early.pos", "px"))
+    votes = _enough(met.where(_lengths(F.col("ny"), F.col("nx"))))
+    first, first_path = stored(votes.groupBy("y").agg(F.max_by("x", F.struct("met", "x")).alias("x")), "line-pairs")
+    ids = lambda pairs: pairs.select(F.explode(F.array("y", "x")).alias("id")).distinct()
+    sets, sets_path = stored(fetch(ids(first)), "line-sets")
     gone, gone_path = stored(_verified(first, sets).select("y").distinct(), "lines-gone")
     p, q = buckets.join(gone, buckets["id"] == gone["y"], "left_anti").alias("p"), buckets.alias("q")
-    more = (
-        p.join(q, (F.col("p.tok") == F.col("q.tok")) & (F.col("q.id") < F.col("p.id")) & _near(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
-        .select(F.col("p.id").alias("y"), F.col("q.id").alias("x"))
-        .distinct()
-        .join(first, ["y", "x"], "left_anti")
-    )
-    more, more_path = stored(more, "line-pairs")
-    others, others_path = fetch(more, sets)
+    py, px, ny, nx = (F.col(c).cast("long") for c in ("p.pos", "q.pos", "p.n", "q.n"))
+    # Whatever is common lies before this token in both or not before it in either.
+    may = 9 * (F.least(py, px) + F.least(ny - py, nx - px)) >= 4 * (ny + nx)
+    met = p.join(q, (F.col("p.tok") == F.col("q.tok")) & (F.col("q.id") < F.col("p.id")) & _lengths(ny, nx) & may)
+    met = met.select(F.col("p.id").alias("y"), F.col("q.id").alias("x"), long("p.n", "ny"), long("q.n", "nx"), long("p.pos", "py"), long("q.pos", "px"))
+    more, more_path = stored(_enough(met).select("y", "x").join(first, ["y", "x"], "left_anti"), "line-pairs")
+    others, others_path = stored(fetch(ids(more).join(sets.select("id"), "id", "left_anti")), "line-sets")
     gone2, gone2_path = stored(gone.unionByName(_verified(more, sets.unionByName(others)).select("y").distinct()), "lines-gone")
-    discard(spark, buckets_path, first_path, sets_path, gone_path, more_path, others_path)
+    discard(spark, indexed_path, *([again_path] if again_path else []), buckets_path, first_path, sets_path, gone_path, more_path, others_path)
     # Only classes of which some line goes are joined back.
-    state = heads.select("id", "cls", "first", "last").join(gone2, heads["id"] == gone2["y"], "left")
-    state = state.where("y is not null or first <> last").select("cls", "first", F.col("y").isNotNull().alias("all_gone"))
+    state = heads.select("id", "cls", "first", "lines").join(gone2, heads["id"] == gone2["y"], "left")
+    state = state.where("y is not null or lines > 1").select("cls", "first", F.col("y").isNotNull().alias("all_gone"))
     hit = all_lines.select("doc_id", "tie", "line_no", "cls").join(state, "cls", "left")
     removed = F.coalesce(F.col("all_gone") | (F.struct("doc_id", "tie", "line_no") > F.col("first")), F.lit(False))
-    return hit.select("doc_id", "tie", "line_no", removed.alias("removed"))
+    return hit.select("doc_id", "tie", "line_no", removed.alias("removed")), [lines_path, heads_path, gone2_path]
 
 
 def op5_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed_lines (places from 0, ascending, joined by commas) per document."""
-    per = removed_lines(docs).groupBy("doc_id", "tie").agg(F.max("line_no").alias("m"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias("r"))
+    """doc_id, n_lines, n_removed and removed_lines (places from 0, ascending, joined by commas) per document.
+
+    A null or empty text is one line without words, which stays.  Rows alike in doc_id and text are one document and give one row; rows that
+    share a doc_id and differ in text are documents of their own, in the order of their texts' hashes.  Rows without doc_id come first.
+    Texts and lines of any length count whole.  An empty table gives an empty one.  Columns but doc_id and text don't matter.
+    """
+    per = removed_lines(docs)[0].groupBy("doc_id", "tie").agg(F.max("line_no").alias("m"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias("r"))
     return per.select("doc_id", (F.col("m") + 1).cast("long").alias("n_lines"), F.size("r").cast("long").alias("n_removed"), F.array_join(F.col("r").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines taken out of their texts and ``n_chars`` counted anew; every document stays.
+    """``docs`` with the removed lines taken out of their texts and ``n_chars`` counted anew; every row stays, with its own columns, whatever their names.
 
-    A null text stays null.
+    A null text stays null.  Odd rows are as in :func:`op5_lines`; rows alike in doc_id and text lose the same lines.
     """
-    per = removed_lines(docs).where("removed").groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
-    cols = docs.columns
-    tied = docs.withColumn("_tie", F.xxhash64("text"))
-    hit = tied.join(per, tied["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (tied["_tie"] == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = {c: F.col(c) for c in cols} | {"text": text}
-    if "n_chars" in cols:
+    spark = docs.sparkSession
+    removed, paths = removed_lines(docs)
+    per = removed.where("removed").groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
+    per, _ = stored(per, "removed-lines")
+    discard(spark, *paths)
+    # Columns are taken from their own frames, so names that docs has too don't clash.
+    hit = docs.join(per, docs["doc_id"].cast("long").eqNullSafe(per["doc_id"]) & (F.xxhash64(docs["text"]) == per["tie"]), "left")
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(per["gone"], i)), "\n")
+    text = F.when(per["gone"].isNull(), docs["text"]).otherwise(kept)
+    out = {c: docs[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
         out["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
     return hit.select(*[v.alias(c) for c, v in out.items()])
