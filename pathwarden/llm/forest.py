@@ -33,7 +33,7 @@ from pathwarden.llm.common import components, discard, stored
 THRESHOLD = 0.9
 TREES = 10
 SPILL = 0.12
-LEAF = 192
+LEAF = 320
 CELL = 4096
 SAMPLE_ROWS = 32_768
 SAMPLE_LEAST = 64
@@ -42,6 +42,8 @@ MISS = 0.005
 DENSE = 1e-4
 PART = 8192
 SEED = 7
+#: Vectors by which a node within a cell is judged: some 32,000 pairs, of which 3 link where ``DENSE`` do.
+JUDGED = 256
 _BLOCK = 1024
 _CELLS = "tree int, cell int, part int, block int, rep long, v binary"
 _LINKS = "a long, b long"
@@ -71,7 +73,8 @@ def _judge(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[f
     if n < 2:
         return 0.0, 0.0
     dots = x @ x.T
-    a, b = np.nonzero(np.triu(dots >= threshold, 1))
+    a, b = np.divmod(np.flatnonzero(dots >= threshold), n)
+    a, b = a[a < b], b[a < b]
     if not len(a):
         return 0.0, 0.0
     # For vectors spread alike in all directions: the gap of a pair at the threshold beside the gap left by the spill.
@@ -82,7 +85,8 @@ def _judge(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[f
     # For any others: what splits do to the loosest linked pairs of the sample.
     loose = np.argsort(dots[a, b], kind="stable")[:64]
     p = x @ rng.standard_normal((x.shape[1], 32))
-    lo, hi = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL], axis=0)
+    ranked = np.sort(p, axis=0)
+    lo, hi = (ranked[round((n - 1) * at)] for at in (0.5 - SPILL, 0.5 + SPILL))
     u, v = np.minimum(p[a[loose]], p[b[loose]]), np.maximum(p[a[loose]], p[b[loose]])
     return 2 * len(a) / (n * (n - 1)), min(1.0, max(expected, float(np.mean((u < lo) & (v > hi)))))
 
@@ -157,7 +161,7 @@ def leaves(x: np.ndarray, key: tuple[int, ...], threshold: float, leaf: int = LE
         if len(g) <= leaf:
             yield g
             continue
-        dense, parted = _judge(x[g[rng.choice(len(g), min(512, len(g) // 2), replace=False)]], threshold, rng)
+        dense, parted = _judge(x[g[rng.choice(len(g), min(JUDGED, len(g) // 2), replace=False)]], threshold, rng)
         if _whole(dense, kept, parted, len(g), leaf, trees):
             yield g
             continue
@@ -245,8 +249,11 @@ def op1_forest(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             out = [None if (x := usable(v)) is None else x.tobytes() for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
-    rows, rows_path = stored(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(norm, "vec_id long, v binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
-    groups, groups_path = stored(rows.where("v is not null").groupBy("v").agg(F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "vector-groups")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(norm, "vec_id long, v binary").withColumn("row", F.monotonically_increasing_id())
+    # Vectors are told apart by 128 bits of hash; those that link with nothing have a half key, which meets none.
+    rows = rows.select("vec_id", "row", "v", F.coalesce(F.when(F.col("v").isNotNull(), F.xxhash64("v")), F.col("row")).alias("h"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(SEED), "v")).alias("k"))
+    rows, rows_path = stored(rows, "vectors")
+    groups, groups_path = stored(rows.where("v is not null").groupBy("h", "k").agg(F.first("v").alias("v"), F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "vector-groups")
     found = None
     for r in groups.groupBy(F.length("v").alias("bytes")).count().collect():  # one forest for each length of vector
         part = links(groups.where(F.length("v") == r["bytes"]), threshold)
@@ -262,6 +269,6 @@ def op1_forest(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     least = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
     per_group, per_path = stored(labelled.join(least, "c").select("rep", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-classes")
     discard(embeddings.sparkSession, pairs_path, comp_path)
-    member = rows.join(groups.select("v", "rep"), "v", "left").select("vec_id", "rep").join(per_group, "rep", "left")
+    member = rows.select("vec_id", "h", "k").join(groups.select("h", "k", "rep"), ["h", "k"], "left").select("vec_id", "rep").join(per_group, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
     return member.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
