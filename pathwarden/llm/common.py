@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/pathwarden"
+_kept: list[str] = []
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -19,8 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """The folder that driver and executors share, as the session names it; a local one stands in only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named or LOCAL_FALLBACK
 
 
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -31,6 +36,7 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pathwarden/{label}-{uuid.uuid4().hex}"
+    _kept.append(path)
     # Once the table is written, the shuffle files behind it are of no more use.
     was = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
@@ -47,6 +53,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        if path in _kept:
+            _kept.remove(path)
+
+
+def kept_tables() -> list[str]:
+    """The paths of the tables that stand behind results returned so far."""
+    return list(_kept)
+
+
+def release(spark: SparkSession, but: Iterable[str] = ()) -> None:
+    """Delete all stored tables except ``but``: for when the results that read them have been written or are no longer wanted."""
+    discard(spark, *set(_kept).difference(but))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:

@@ -44,12 +44,13 @@ _KEEP_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|b
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "links", "link_tags", "out", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "depth", "links", "link_tags", "out", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False):
         self.tag, self.parent, self.out, self.children = tag, parent, out, []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def _is_out(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -70,30 +71,53 @@ def _is_out(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements below the body, by tag, so that no step walks the tree up; each is opened and closed once."""
+
+    def __init__(self, body: Node):
+        self.top, self.body, self.blocks = body, body, [body]
+        self.by_tag: dict[str, list[Node]] = {}
+
+    def push(self, node: Node) -> None:
+        self.top = node
+        self.by_tag.setdefault(node.tag, []).append(node)
+        if node.tag in BLOCK:
+            self.blocks.append(node)
+
+    def close(self, node: Node) -> None:
+        """Close ``node`` and all that is open inside it."""
+        while self.top.depth >= node.depth:
+            self.by_tag[self.top.tag].pop()
+            if self.top.tag in BLOCK:
+                self.blocks.pop()
+            self.top = self.top.parent
+
+    def last(self, *tags: str) -> Node | None:
+        """The innermost open element of these tags."""
+        found = [stack[-1] for t in tags if (stack := self.by_tag.get(t))]
+        return max(found, key=lambda n: n.depth, default=None)
+
+    def holds_block(self, node: Node) -> bool:
+        """Whether a block is open inside ``node``."""
+        return self.blocks[-1].depth > node.depth
+
+    def imply(self, names, stops) -> None:
+        """Close the elements of ``names`` that are open inside the innermost of ``stops``, outermost ends implied too."""
+        stop = self.last(*stops)
+        while (n := self.last(*names)) is not None and (stop is None or n.depth > stop.depth):
+            self.close(n)
+
+
 def parse(page: str) -> Node:
     """The tree of a page: children are nodes and, for text, strings with references decoded."""
     root = Node("html", None)
     body = Node("body", root)
     root.children.append(body)
-    top, at, depth_article = body, 0, 0
+    open_, at = _Open(body), 0
 
     def text(s: str) -> None:
         if s:
-            top.children.append(html_lib.unescape(s) if "&" in s else s)
-
-    def close(node: Node) -> Node:
-        return node.parent if node.parent is not None and node is not body else node
-
-    def pop_to(names, stops) -> None:
-        nonlocal top
-        n = top
-        while n is not body and n.tag not in stops:
-            if n.tag in names:
-                top = close(n)
-                # What a closed element opened outermost may end too; go on for all implied ends.
-                n = top
-                continue
-            n = n.parent
+            open_.top.children.append(html_lib.unescape(s) if "&" in s else s)
 
     end = len(page)
     while at < end:
@@ -109,36 +133,27 @@ def parse(page: str) -> Node:
             name = closing.lower()
             if name in ("html", "body"):
                 continue
-            n = top
-            while n is not body and n.tag != name:
-                n = n.parent
-            if n is not body:
+            n = open_.last(name)
+            if n is not None:
                 # An inline end doesn't close a block that began inside it.
-                if name not in BLOCK and any(x.tag in BLOCK for x in _between(top, n)):
-                    continue
-                top = close(n)
-            elif name == "p":
-                top.children.append(Node("p", top))
-            elif name == "br":
-                top.children.append(Node("br", top))
+                if name in BLOCK or not open_.holds_block(n):
+                    open_.close(n)
+            elif name in ("p", "br"):
+                open_.top.children.append(Node(name, open_.top))
         elif opening:
             name = opening.lower()
             if name in ("html", "body"):
                 continue
-            if name == "a" and any(x.tag == "a" for x in _chain(top, body)):
-                n = top
-                while n.tag != "a":
-                    n = n.parent
-                if not any(x.tag in BLOCK for x in _between(top, n)):
-                    top = close(n)
-            if name in CLOSE_P and any(x.tag == "p" for x in _chain(top, body)):
-                pop_to(("p",), ("table", "td", "th", "button", "object", "caption"))
+            if name == "a" and (n := open_.last("a")) is not None and not open_.holds_block(n):
+                open_.close(n)
+            if name in CLOSE_P:
+                open_.imply(("p",), ("table", "td", "th", "button", "object", "caption"))
             if name in IMPLIED:
                 names, stops = IMPLIED[name]
-                pop_to(names.split(), stops)
-            inside = any(x.tag in ("article", "main") for x in _chain(top, body)) if name == "header" else False
-            node = Node(name, top, _is_out(name, attrs or "", inside))
-            top.children.append(node)
+                open_.imply(names.split(), stops)
+            inside = name == "header" and open_.last("article", "main") is not None
+            node = Node(name, open_.top, _is_out(name, attrs or "", inside))
+            open_.top.children.append(node)
             if name in VOID or (attrs or "").rstrip().endswith("/") and name in ("svg", "path", "math"):
                 continue
             if name in RAW:
@@ -146,22 +161,10 @@ def parse(page: str) -> Node:
                 if name != "noscript" or stop:
                     at = stop.end() if stop else end
                     continue
-            top = node
+            open_.push(node)
     return root
 
 
-def _chain(node: Node, body: Node) -> Iterator[Node]:
-    while node is not body:
-        yield node
-        node = node.parent
-
-
-def _between(node: Node, stop: Node) -> Iterator[Node]:
-    while node is not stop:
-        yield node
-        node = node.parent
-
-
 def _order(root: Node) -> list[Node]:
     """Nodes that count, parents first."""
     out, stack = [], [root]
@@ -265,7 +268,11 @@ def extract(page: str | None) -> str:
 
 
 def op4_html(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row, each page whole."""
+    """page_id, url, text and n_chars of every row, each page whole, in time that grows with its length and not with its depth.
+
+    A null or empty html, or one without text, gives an empty text.  Rows that repeat a page_id or an html are pages of their own; a null
+    page_id or url stays null.  An empty table gives an empty one.  Columns but page_id, url and html don't matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -157,10 +157,10 @@ class Mix:
         parts = self.sized.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
         lo = F.greatest(F.col("start"), F.col("block") * block)
         hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-        self.parts = parts.select("doc_id", "source", "_tie", "block", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("words"))
+        self.parts = parts.select("doc_id", "source", "_tie", "start", "block", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("words"))
         p, t = self.parts.alias("p"), times.alias("t")
         self.taken = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).select(
-            "p.doc_id", "p.source", "p._tie", "p.block", "p.first_word", "p.words", "t.times"
+            "p.doc_id", "p.source", "p._tie", "p.start", "p.block", "p.first_word", "p.words", "t.times"
         )
 
 
@@ -179,38 +179,58 @@ def _fill(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBat
 
 
 def op2_mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source); other columns don't matter.
+
+    A null or empty text, or one without words, has size 0, and nothing is taken of it.  Rows without source are a source of their own, the last.
+    Rows that repeat a doc_id, or are alike in all, are documents of their own, each with its place in the stream.  Texts of any length count whole.
+    An empty table gives an empty one.
+    """
     mix = Mix(docs)
-    taken = mix.taken.groupBy("doc_id", "_tie", "source").agg(F.sum(F.col("words") * F.col("times")).alias("_taken"))
-    # Rows alike in doc_id, text and source share what they take in equal parts as far as words go round.
-    same = Window.partitionBy("doc_id", "_tie", "source")
-    s = mix.sized.withColumn("_n", F.count("*").over(same)).withColumn("_k", F.row_number().over(same.orderBy("start")) - 1).alias("s")
-    t = taken.alias("t")
-    on = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("s.source").eqNullSafe(F.col("t.source")) & F.col("s._tie").eqNullSafe(F.col("t._tie"))
-    all_ = F.coalesce(F.col("t._taken"), F.lit(0))
-    share = F.floor(all_ / F.col("s._n")) + F.when(F.col("s._k") < all_ % F.col("s._n"), 1).otherwise(0)
-    joined = s.join(t, on, "left").select("s.doc_id", "s.size", "s.source", share.cast("long").alias("taken"))
+    taken = mix.taken.groupBy("source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("_taken"))
+    # Places in a source's stream are different for all rows with words.
+    s, t = mix.sized.alias("s"), taken.alias("t")
+    on = F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.start") == F.col("t.start")) & (F.col("s.size") > 0)
+    joined = s.join(t, on, "left").select("s.doc_id", "s.size", "s.source", F.coalesce("t._taken", F.lit(0)).cast("long").alias("taken"))
     return joined.join(mix.dim, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _fresh(names: list[str], name: str) -> str:
+    while name in names:
+        name += "_"
+    return name
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each document's taken words in order, a block's part as often as it is taken.
 
-    Only documents of which nothing is taken go.  ``n_chars`` is counted anew.
+    Only documents of which nothing is taken go.  ``n_chars`` is counted anew.  Rows alike in doc_id, text and source take the places of the stream
+    that such rows have, one each.  All columns stay, whatever their names.
     """
     mix = Mix(docs)
-    spans = mix.taken.groupBy("doc_id", "_tie", "source").agg(F.sort_array(F.collect_set(F.struct("first_word", "words", "times"))).alias("_spans"))
+    key = ["doc_id", "_tie", "source"]
+    spans = mix.taken.groupBy(*key, "start").agg(F.sort_array(F.collect_set(F.struct("first_word", "words", "times"))).alias("spans"))
+    # Of rows that are alike each has its own place; (start, spans) of all of them.
+    places = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "spans"))).alias("places")).alias("a")
+    alike = mix.sized.groupBy(*key).count().alias("b")
+    both = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._tie") == F.col("b._tie"))
+    s = places.join(alike, both).select("a.doc_id", "a._tie", "a.source", "a.places", "b.count")
     schema = docs.schema
     cols = docs.columns
-    d, s = docs.withColumn("_tie", F.xxhash64("text")).alias("d"), spans.alias("s")
-    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._tie") == F.col("s._tie"))
-    hit = d.join(s, on).select(*[F.col(f"d.{c}").alias(c) for c in cols], "s._spans")
+    mine, at, n = (_fresh(cols, c) for c in ("_spans", "_at", "_alike"))
+    on = docs["doc_id"].eqNullSafe(s["doc_id"]) & docs["source"].eqNullSafe(s["source"]) & (F.xxhash64(docs["text"]) == s["_tie"])
+    hit = docs.join(s, on).select(*[docs[c] for c in cols], s["places"].alias(mine), s["count"].alias(n))
+    once = hit.where(F.col(n) == 1).select(*cols, F.col(mine)[0]["spans"].alias(mine))
+    # Only rows that are repeated have to meet.
+    many = hit.where(F.col(n) > 1).withColumn(at, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "source").orderBy(F.lit(0))))
+    many = many.where(F.col(at) <= F.size(mine)).select(*cols, F.get(F.col(mine), F.col(at) - 1)["spans"].alias(mine))
+    hit = once.unionByName(many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # A part of a batch at a time bounds the memory that texts take.
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                text = [take(t.as_py(), sp.as_py()) for t, sp in zip(part.column("text"), part.column("_spans"))]
+                text = [take(t.as_py(), sp.as_py()) for t, sp in zip(part.column("text"), part.column(mine))]
                 made = {"text": pa.array(text, pa.string())}
                 if "n_chars" in cols:
                     made["n_chars"] = pa.array([len(t) for t in text], part.schema.field("n_chars").type)

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -108,19 +110,39 @@ def encode(payload: bytes) -> bytes:
     return tag + xing + frames + b"TAG".ljust(125, b"\0") + bytes([0, 0, 255])
 
 
+def tag_frames(body: bytes, version: int) -> dict[str, str]:
+    """The text frames of an ID3v2.3 or 2.4 tag by their names; user text is named by its description."""
+    out, at = {}, 0
+    shift = 7 if version == 4 else 8
+    while version in (3, 4) and at + 10 <= len(body) and body[at : at + 1] != b"\0":
+        name, size = body[at : at + 4].decode("latin-1"), sum(b << shift * k for k, b in enumerate(reversed(body[at + 4 : at + 8])))
+        raw, at = body[at + 10 : at + 10 + size], at + 10 + size
+        if name[0] == "T" and raw:
+            value = raw[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0], "latin-1"), "replace")
+            if name == "TXXX":
+                described, _, value = value.partition("\0")
+                name = f"TXXX:{described}"
+            out[name] = value.rstrip("\0")
+    return out
+
+
 def scan(stream: bytes, keep: bool = True) -> dict:
     """What a stream holds: tags, table, duration, frame offsets, faults and the stored bytes."""
-    at, end, tags = 0, len(stream), []
+    at, end, tags, texts = 0, len(stream), [], {}
     while stream[at : at + 3] == b"ID3" and at + 10 <= end:
         size = 0
         for b in stream[at + 6 : at + 10]:
             size = size << 7 | b & 127
         tags.append(f"id3v2.{stream[at + 3]}")
+        texts |= tag_frames(stream[at + 10 : at + 10 + size], stream[at + 3])
         at = min(end, at + 10 + size + 10 * (stream[at + 5] >> 4 & 1))
     if end - at >= 128 and stream[end - 128 : end - 125] == b"TAG":
         tags.append("id3v1")
+        for name, lo, hi in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
+            if value := stream[end - 128 + lo : end - 128 + hi].split(b"\0")[0].decode("latin-1").strip():
+                texts[f"id3v1.{name}"] = value
         end -= 128
-    offsets, lengths, rates, skipped, bad, samples_us, table, out = [], [], set(), 0, 0, 0, None, []
+    offsets, lengths, rates, skipped, bad, samples, table, out = [], [], set(), 0, 0, Counter(), None, []
     while at + 4 <= end:
         h = stream[at : at + 4]
         n = frame_length(h)
@@ -137,7 +159,10 @@ def scan(stream: bytes, keep: bool = True) -> dict:
             continue
         if protected and not sound:
             bad += 1
-        if not offsets and table is None and stream[body : body + 4] in (b"Xing", b"Info"):
+        if not offsets and table is None and stream[at + 36 : at + 40] == b"VBRI" and at + 54 <= at + n:
+            # Fixed places of the format: bytes at 10, frames at 14 behind the mark.
+            table = {"bytes": int.from_bytes(stream[at + 46 : at + 50], "big"), "frames": int.from_bytes(stream[at + 50 : at + 54], "big"), "toc": b""}
+        elif not offsets and table is None and stream[body : body + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(stream[body + 4 : body + 8], "big"), body + 8
             table = {"frames": None, "bytes": None, "toc": b""}
             for bit, name in ((1, "frames"), (2, "bytes")):
@@ -149,13 +174,15 @@ def scan(stream: bytes, keep: bool = True) -> dict:
             offsets.append(at)
             lengths.append(n)
             rates.add(BITRATES[h[2] >> 4])
-            samples_us += SAMPLES * 1_000_000 // RATES[h[2] >> 2 & 3]
+            samples[RATES[h[2] >> 2 & 3]] += SAMPLES
             if keep:
                 out.append(stream[body : body + UNIT])
         at += n
     skipped += end - at
+    # Samples are added up by rate; only the sum over all is cut to whole microseconds.
+    duration = int(sum(Fraction(n * 1_000_000, rate) for rate, n in samples.items()))
     return {
-        "tags": tags, "table": table, "frames": len(offsets), "offsets": offsets, "lengths": lengths, "bitrates": sorted(rates), "duration_us": samples_us,
+        "tags": tags, "table": table, "frames": len(offsets), "offsets": offsets, "lengths": lengths, "bitrates": sorted(rates), "duration_us": duration, "samples": dict(samples), "tag_texts": texts,
         "skipped": skipped, "bad_checksums": bad, "table_fits": bool(table) and table["frames"] == len(offsets), "payload": b"".join(out),
     }
 
@@ -192,8 +219,8 @@ def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
 _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, seek_offsets array<long>"
 
 
-def scan_media(df: DataFrame, every: int = 100) -> DataFrame:
-    """Features of ``media``, with the offset of each ``every``-th frame."""
+def scan_media(df: DataFrame) -> DataFrame:
+    """Features of ``media``, with the offset of every frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in _FEATURES.split(", ")]
@@ -206,11 +233,16 @@ def scan_media(df: DataFrame, every: int = 100) -> DataFrame:
                 p = s["payload"]
                 off = hashlib.sha256(np.array(s["offsets"], np.int64).tobytes()).hexdigest()[:16]
                 feature = f"frames={s['frames']};duration_us={s['duration_us']};kbps={'/'.join(map(str, s['bitrates']))};tags={'+'.join(s['tags'])};table={'fits' if s['table_fits'] else 'no'};bad_crc={s['bad_checksums']};skipped={s['skipped']};offsets={off}"
-                rows.append((doc_id.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, s["duration_us"], s["offsets"][::every]))
+                rows.append((doc_id.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, s["duration_us"], s["offsets"]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, _FEATURES)
 
 
 def op7_media(docs: DataFrame) -> DataFrame:
+    """The features of every row's text as a stream, read back from its bytes.
+
+    A null text is empty; an empty one has one frame of padding.  Equal texts give equal values; rows that repeat a doc_id are rows of their
+    own and a null doc_id stays null.  Texts of any length are stored whole.  An empty table gives an empty one.  Columns but doc_id and text don't matter.
+    """
     return scan_media(encode_media(docs))
