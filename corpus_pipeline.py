@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pathwarden.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
-from pathwarden.llm.common import shared_dir, table
+from pathwarden.llm.common import discard, kept_tables, release, shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), kept_tables()
     base = f"{shared_dir(spark).rstrip('/')}/pathwarden/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        # Nothing reads the stage before or the operator's own tables any more.
+        release(spark, but=before)
+        if k:
+            discard(spark, f"{base}/{k - 1}")
     return docs
