@@ -43,7 +43,7 @@ SMALL = 64
 #: Rounds in which every class is held against one other.
 STARS = 3
 #: Parities in a sketch, 64 a word; they tell sets of up to about twice as many tokens apart.
-BITS = 1024
+BITS = 2048
 _ONE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
