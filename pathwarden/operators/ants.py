@@ -47,7 +47,9 @@ def _walk(g: Local, origin, destination, mode: str, lam: float, cap: float, c: C
     for step in range(c.steps):
         if node == destination:
             return edges, "pure"
-        if step and rng.random() < c.connector:
+        options = [e for e in g.out[node] if e[0] not in seen and e[0] in rest and used + e[2] + rest[e[0]] <= cap]
+        # The rest of a known path: by chance, and always where no step is left.
+        if not options or step and rng.random() < c.connector:
             got, at, fresh = [], node, set(seen)
             while at != destination and at in tail:
                 e = tail[at]
@@ -58,7 +60,6 @@ def _walk(g: Local, origin, destination, mode: str, lam: float, cap: float, c: C
                 fresh.add(at)
             if at == destination and used + sum(e[2] for e in got) <= cap:
                 return edges + got, "seeded"
-        options = [e for e in g.out[node] if e[0] not in seen and e[0] in rest and used + e[2] + rest[e[0]] <= cap]
         if not options:
             if not forks:
                 return None
@@ -66,7 +67,7 @@ def _walk(g: Local, origin, destination, mode: str, lam: float, cap: float, c: C
         else:
             pull = [(trail[_key(node, e)] ** c.alpha) * ((1 / (cost_of(e, mode, lam) + 0.05 * e[2] + EPS)) * (1 + 0.25 / (1 + rest[e[0]]))) ** c.beta for e in options]
             e = rng.choices(options, pull)[0] if sum(pull) > 0 else rng.choice(options)
-            others = [x for x in options if x is not e]
+            others = [x for _, x in sorted(zip(pull, options), key=lambda p: -p[0]) if x is not e]
             forks += [(node, used, list(edges), set(seen), x) for x in others[: c.alternatives]]
         used += e[2]
         edges = [*edges, e]

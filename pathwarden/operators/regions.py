@@ -15,8 +15,9 @@ UNASSIGNED = "미분류"
 MEANS = [
     "length_m", "traffic_volume_norm", "avg_speed_norm", "narrow_sidewalk_norm", "slope_norm", "is_alley", "pedestrian_flow_norm", "academy_density_norm", "bus_stop_nearby_norm",
     "illegal_parking_norm", "light_density_norm", "has_crosswalk", "has_signal", "lane_count_norm", "has_speed_bump", "has_cctv", "is_school_zone",
+    "crosswalk_count_norm", "signal_count_norm", "speed_bump_count_norm",
 ]
-SPREADS = ["traffic_volume_norm", "avg_speed_norm", "narrow_sidewalk_norm", "slope_norm", "pedestrian_flow_norm", "illegal_parking_norm", "light_density_norm", "lane_count_norm"]
+SPREADS = ["traffic_volume_norm", "avg_speed_norm", "narrow_sidewalk_norm", "slope_norm", "pedestrian_flow_norm", "bus_stop_nearby_norm", "illegal_parking_norm", "lane_count_norm"]
 SUMS = ["length_m", "crosswalk_count", "signal_count", "speed_bump_count", "bus_stop_count", "streetlight_count", "school_zone_cctv_count", "is_school_zone", "has_crosswalk", "has_signal", "has_speed_bump", "has_cctv"]
 PER_KM = {"crosswalk_count": "crosswalk_per_km", "signal_count": "signal_per_km", "speed_bump_count": "speed_bump_per_km", "bus_stop_count": "bus_stop_per_km", "streetlight_count": "streetlight_per_km", "school_zone_cctv_count": "school_zone_cctv_per_km"}
 COVERAGE = {"is_school_zone": "school_zone_share", "has_crosswalk": "crosswalk_coverage", "has_signal": "signal_coverage", "has_speed_bump": "speed_bump_coverage", "has_cctv": "cctv_coverage"}
@@ -36,7 +37,8 @@ def unique_segments(df: DataFrame) -> DataFrame:
 
 
 def region_features(df: DataFrame, cell_size: float = 1750.0) -> DataFrame:
-    """All features of (district, region_x, region_y) in one aggregation, without a join."""
+    """All features of (district, region_x, region_y) in one aggregation, without a join; a segment that comes again counts once."""
+    df = unique_segments(df) if "segment_id" in df.columns else df
     have = set(df.columns)
     value = lambda c: F.coalesce(number(df, c), F.lit(0.0)) if c in have else F.lit(1.0 if c == "length_m" else 0.0)
     names = list(dict.fromkeys(MEANS + SPREADS + SUMS))
@@ -76,12 +78,13 @@ def count_pivot(df: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFra
 
 
 def district_summary(df: DataFrame, final: str = "cmcs_final") -> DataFrame:
-    """Per district: mean score, share of high risk and of accidents, coverage, comfort and size; null districts go."""
-    u = df.where("district is not null")
+    """Per district: mean score, share of high risk and of accidents, coverage, comfort and size; null districts go, a segment that comes again counts once."""
+    u = (unique_segments(df) if "segment_id" in df.columns else df).where("district is not null")
+    unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     flags = sum((F.col(c).cast("double") for c in ("has_crosswalk", "has_signal", "has_speed_bump", "has_cctv")), F.lit(0.0)) / 4
     return u.groupBy("district").agg(
         F.avg(final).alias("average_cmcs"), F.avg((F.col(final) >= 0.6).cast("double")).alias("high_risk_ratio"), F.avg((F.col("accident_count") > 0).cast("double")).alias("accident_labeled_ratio"),
-        F.avg(flags).alias("infrastructure_coverage"), F.avg(1.0 - F.col("narrow_sidewalk_norm")).alias("walking_comfort"), F.count("*").alias("segment_count"),
+        F.avg(unit(flags)).alias("infrastructure_coverage"), F.avg(unit(1.0 - F.col("narrow_sidewalk_norm"))).alias("walking_comfort"), F.count("*").alias("segment_count"),
     )
 
 

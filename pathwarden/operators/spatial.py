@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathwarden.functions.geo import cell, haversine, in_polygon, polyline_distance2
 
 _METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180
+_HALF_WAY = 20_100_000.0
 
 
 def _around(c: Column, reach: int = 1) -> Column:
@@ -33,7 +34,7 @@ def earth_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs (lat, lon in degrees) within ``radius`` metres along the sphere, with distance ``d``.
 
     Bands of latitude are as high as the radius; cells of longitude are as wide as the radius at the
-    latitude of the band's far edge, so neighbours suffice.
+    latitude of the band's far edge, so neighbours suffice.  Points near the 180th meridian are dealt to both ends of their band.
     """
     step = radius / _METRES_PER_DEGREE * (1 + 1e-9)
     band = lambda lat: F.floor(lat / step).cast("long")
@@ -42,7 +43,13 @@ def earth_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     l = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("_b", band(F.col("l_lat")))  # noqa: E741
     l = l.withColumn("_c", F.floor(F.col("l_lon") / width(F.col("_b"))).cast("long"))
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_b", _around(band(F.col("r_lat"))))
-    r = r.withColumn("_c", _around(F.floor(F.col("r_lon") / width(F.col("_b"))).cast("long")))
+    wide, none = width(F.col("_b")), F.array().cast("array<bigint>")
+    at = lambda lon: F.floor(lon / wide).cast("long")
+    near = lambda lon: F.sequence(at(lon) - 1, at(lon) + 1)
+    lon = F.col("r_lon")
+    # A cell is named once, so a pair meets once however wide the cells are.
+    cells = F.array_distinct(F.concat(near(lon), F.when(lon >= 180 - wide, near(lon - 360)).otherwise(none), F.when(lon <= -180 + wide, near(lon + 360)).otherwise(none)))
+    r = r.withColumn("_c", F.explode(cells))
     return l.join(r, ["_b", "_c"]).withColumn("d", haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("d") <= radius).drop("_b", "_c")
 
 
@@ -65,25 +72,22 @@ def nearby_stats(origins: DataFrame, targets: DataFrame, key: str, flag: str, nu
 def nearest(origins: DataFrame, targets: DataFrame, key: str, target: str, start_radius: float = 500.0) -> DataFrame:
     """The nearest target of every origin and its distance, the smallest ``target`` on ties.
 
-    Searches within a radius that doubles for the origins still without a hit, so dense
-    places cost little and lonely ones are found all the same.
+    Searches within a radius that grows fourfold for the origins still without a hit, so dense
+    places cost little and lonely ones are found all the same; the last radius is half the way round the earth.
     """
     left, out, radius = origins.select(key, "lat", "lon"), None, start_radius
     targets = targets.select(target, "lat", "lon")
     if targets.limit(1).count() == 0:
         return origins.select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("distance"))
     while True:
-        last = radius > 20_000_000
-        if last:
-            pairs = left.select(F.col(key).alias(f"l_{key}"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon")).join(F.broadcast(targets.select(F.col(target).alias(f"r_{target}"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).limit(1)), F.lit(True)).withColumn("d", haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
-        else:
-            pairs = earth_pairs(left, targets, radius)
+        last = radius >= _HALF_WAY
+        pairs = earth_pairs(left, targets, radius)
         hit = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"r_{target}").alias("t"), "d"), F.struct("d", f"r_{target}")).alias("m")).select(key, F.col("m.t").alias(target), F.col("m.d").alias("distance"))
         out = hit if out is None else out.unionByName(hit)
         rest = left.join(hit, key, "left_anti")
         if last or rest.limit(1).count() == 0:
             return out
-        left, radius = rest, radius * 4
+        left, radius = rest, min(radius * 4, _HALF_WAY)
 
 
 def knn(points: DataFrame, key: str, k: int = 8, cell_size: float | None = None) -> DataFrame:
@@ -118,14 +122,26 @@ def knn(points: DataFrame, key: str, k: int = 8, cell_size: float | None = None)
 
 
 def nearest_edge(points: DataFrame, edges: DataFrame, point: str, edge: str, reach: float = 500.0) -> DataFrame:
-    """The nearest polyline within ``reach`` of every point; the smallest edge on ties. Edges are dealt to all cells that their box touches."""
+    """The nearest polyline of every point; the smallest edge on ties.  No rows without edges.
+
+    Edges are dealt to all cells that their box, widened by ``reach``, touches; for points without an edge in reach it grows fourfold.
+    """
     box = lambda f, a: f(F.transform("line", lambda p: p[a]))
-    e = edges
-    for a in "xy":
-        e = e.withColumn(f"_c{a}", F.explode(F.sequence(cell(box(F.array_min, a) - reach, reach), cell(box(F.array_max, a) + reach, reach))))
-    p = points.withColumns({"_cx": cell(F.col("x"), reach), "_cy": cell(F.col("y"), reach)})
-    pairs = p.join(e.select(edge, "line", "_cx", "_cy"), ["_cx", "_cy"]).withColumn("d2", polyline_distance2(F.col("x"), F.col("y"), F.col("line"))).where(F.col("d2") <= reach * reach)
-    return pairs.groupBy(point).agg(F.min_by(F.struct(F.col(edge).alias("e"), "d2"), F.struct("d2", edge)).alias("m")).select(point, F.col("m.e").alias(edge), F.sqrt("m.d2").alias("distance"))
+    left, out = points, None
+    if edges.limit(1).count() == 0:
+        return points.select(point, F.lit(None).cast(edges.schema[edge].dataType).alias(edge), F.lit(None).cast("double").alias("distance")).limit(0)
+    while True:
+        e = edges
+        for a in "xy":
+            e = e.withColumn(f"_c{a}", F.explode(F.sequence(cell(box(F.array_min, a) - reach, reach), cell(box(F.array_max, a) + reach, reach))))
+        p = left.withColumns({"_cx": cell(F.col("x"), reach), "_cy": cell(F.col("y"), reach)})
+        pairs = p.join(e.select(edge, "line", "_cx", "_cy"), ["_cx", "_cy"]).withColumn("d2", polyline_distance2(F.col("x"), F.col("y"), F.col("line"))).where(F.col("d2") <= reach * reach)
+        hit = pairs.groupBy(point).agg(F.min_by(F.struct(F.col(edge).alias("e"), "d2"), F.struct("d2", edge)).alias("m")).select(point, F.col("m.e").alias(edge), F.sqrt("m.d2").alias("distance"))
+        out = hit if out is None else out.unionByName(hit)
+        left = left.join(hit, point, "left_anti").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+        if left.limit(1).count() == 0:
+            return out
+        reach *= 4
 
 
 def within(points: DataFrame, polygons: DataFrame, point: str, name: str) -> DataFrame:

@@ -259,13 +259,18 @@ def search_names(spark, sf_dir):
 
 
 # Aggregations
+# Fixed values, written here by themselves so that a wrong list in the operator shows; the tables have no counts made relative, which are 0 then.
+_SQL_MEANS = ["length_m", "traffic_volume_norm", "avg_speed_norm", "narrow_sidewalk_norm", "slope_norm", "is_alley", "pedestrian_flow_norm", "academy_density_norm", "bus_stop_nearby_norm", "illegal_parking_norm", "light_density_norm", "has_crosswalk", "has_signal", "lane_count_norm", "has_speed_bump", "has_cctv", "is_school_zone", "crosswalk_count_norm", "signal_count_norm", "speed_bump_count_norm"]
+_SQL_SPREADS = ["traffic_volume_norm", "avg_speed_norm", "narrow_sidewalk_norm", "slope_norm", "pedestrian_flow_norm", "bus_stop_nearby_norm", "illegal_parking_norm", "lane_count_norm"]
+_SQL_SUMS = ["length_m", "crosswalk_count", "signal_count", "speed_bump_count", "bus_stop_count", "streetlight_count", "school_zone_cctv_count", "is_school_zone", "has_crosswalk", "has_signal", "has_speed_bump", "has_cctv"]
+_SQL_ABSENT = ("crosswalk_count_norm", "signal_count_norm", "speed_bump_count_norm")
 _REGION_SQL = f"""s AS (SELECT coalesce(district, '미분류') AS district, CAST(floor(center_x / 1750) AS BIGINT) AS region_x, CAST(floor(center_y / 1750) AS BIGINT) AS region_y, center_x, center_y, highway,
-  (accident_count > 0)::INT AS accident_label, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0) AS {c}' for c in dict.fromkeys(regions.MEANS + regions.SPREADS + regions.SUMS))} FROM {A.segments_sql()} s),
-r AS (SELECT district, region_x, region_y, {', '.join(f'avg({c}) AS {c}' for c in regions.MEANS)}, avg(center_x) AS center_x, avg(center_y) AS center_y, count(*) AS segment_count, max(accident_label) AS accident_label,
-  {', '.join(f'max({c}) AS {c}_max, coalesce(stddev_samp({c}), 0) AS {c}_std, quantile_cont({c}, 0.9) AS {c}_q90' for c in regions.SPREADS)}, {', '.join(f'sum({c}) AS {c}_sum' for c in regions.SUMS)},
+  (accident_count > 0)::INT AS accident_label, {', '.join(f'CAST(0 AS DOUBLE) AS {c}' if c in _SQL_ABSENT else f'coalesce(CAST({c} AS DOUBLE), 0) AS {c}' for c in dict.fromkeys(_SQL_MEANS + _SQL_SPREADS + _SQL_SUMS))} FROM {A.segments_sql()} s),
+r AS (SELECT district, region_x, region_y, {', '.join(f'avg({c}) AS {c}' for c in _SQL_MEANS)}, avg(center_x) AS center_x, avg(center_y) AS center_y, count(*) AS segment_count, max(accident_label) AS accident_label,
+  {', '.join(f'max({c}) AS {c}_max, coalesce(stddev_samp({c}), 0) AS {c}_std, quantile_cont({c}, 0.9) AS {c}_q90' for c in _SQL_SPREADS)}, {', '.join(f'sum({c}) AS {c}_sum' for c in _SQL_SUMS)},
   {', '.join(f"avg((highway = '{h}')::INT) AS hw_share_{h}" for h in A.HIGHWAYS[:-1])}, avg((highway NOT IN ({', '.join(repr(h) for h in A.HIGHWAYS[:-1])}))::INT) AS hw_share_other FROM s GROUP BY 1, 2, 3)"""
 _REGION_OUT = (
-    regions.MEANS + ["center_x", "center_y"] + [f"{c}_{k}" for c in regions.SPREADS for k in ("max", "std", "q90")] + [f"{c}_sum" for c in regions.SUMS] + [f"hw_share_{h}" for h in A.HIGHWAYS]
+    _SQL_MEANS + ["center_x", "center_y"] + [f"{c}_{k}" for c in _SQL_SPREADS for k in ("max", "std", "q90")] + [f"{c}_sum" for c in _SQL_SUMS] + [f"hw_share_{h}" for h in A.HIGHWAYS]
 )
 
 
@@ -386,12 +391,12 @@ def point_in_polygon(spark, sf_dir):
 
 
 @query(f"""WITH p AS ({_PLANE}), e AS (SELECT 'L' || k AS edge, k * 500.0 AS y FROM (SELECT unnest(range(0, 21)) AS k)),
-d AS (SELECT id, edge, abs(p.y - e.y) AS d FROM p, e) SELECT id, {q6('min(d)')} AS distance FROM d GROUP BY 1 HAVING min(d) <= 500""")
+d AS (SELECT id, edge, abs(p.y - e.y) AS d FROM p, e) SELECT id, {q6('min(d)')} AS distance, min_by(edge, (d, edge)) AS edge FROM d GROUP BY 1""")
 def nearest_edge(spark, sf_dir):
     pt = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), y.alias("y"))
     y = F.col("id") * 500.0
     edges = spark.range(21).select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("edge"), F.array(pt(-10.0, y), pt(5000.0, y), pt(20000.0, y)).alias("line"))
-    return spatial.nearest_edge(_plane(spark, sf_dir), edges, "id", "edge").select("id", r6("distance").alias("distance"))
+    return spatial.nearest_edge(_plane(spark, sf_dir), edges, "id", "edge").select("id", "edge", r6("distance").alias("distance"))
 
 
 # Evidence
