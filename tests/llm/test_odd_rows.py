@@ -50,17 +50,6 @@ def test_lines_of_rows_without_id_come_first(spark):
     assert kept == {None: (line, 3, 4), 1: ("my own line of words", 3, 4)}
 
 
-def test_lines_with_frequent_tokens_are_read_again(spark, monkeypatch):
-    """All buckets frequent: no class has enough rare tokens, and the result is the same."""
-    words = [f"v{i}" for i in range(30)]
-    rng = np.random.default_rng(4)
-    rows = [(i, "\n".join(" ".join(words[k] if rng.random() > 0.02 else "z" for k in range(o, o + 20)) for o in rng.integers(0, 10, 4)), "s") for i in range(40)]
-    want = sorted(tuple(r) for r in line_dedup.op5_lines(frame(spark, rows)).collect())
-    monkeypatch.setattr(line_dedup, "frequent_buckets", lambda first: list(range(line_dedup.BUCKETS)))
-    assert sorted(tuple(r) for r in line_dedup.op5_lines(frame(spark, rows)).collect()) == want
-    assert sum(r[2] for r in want) > 40
-
-
 def test_rows_alike_are_mixed_one_by_one(spark):
     a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(500))
     rows = [(1, a, "s"), (1, a, "s"), (2, b, "t"), (None, b, None), (3, None, "t")]
