@@ -110,3 +110,18 @@ def od_report(compared: DataFrame, total: int, max_detour: float) -> DataFrame:
         F.bround(F.avg("_c"), 2).alias("mean_reduction"), F.median("_c").alias("median_reduction"), F.percentile("_r", 0.95).alias("p95_detour"), F.avg((F.col("_c") > 0).cast("double")).alias("positive_share"), F.bool_and("proven").alias("all_proven"),
     )
     return out.withColumn("stable", (F.col("evaluated") >= 6) & (F.col("positive_share") >= 0.8) & (F.col("median_reduction") > 0) & (F.col("exceeded") == 0))
+
+
+def route_edges(edges: DataFrame, path: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The ``edges`` (u, v, key, edge_id) that a route's ``path`` (u, v, key) takes in either direction, compared as text.
+
+    Where none is found, those whose edge_id is in ``ids`` (edge_id).
+    """
+    text = lambda d, *cs: d.select(*[F.col(c).cast("string").alias(n) for n, c in zip(("_u", "_v", "_k"), cs)])
+    taken = text(path, "u", "v", "key").unionByName(text(path, "v", "u", "key")).distinct()
+    same = [edges[c].cast("string").eqNullSafe(taken[n]) for c, n in (("u", "_u"), ("v", "_v"), ("key", "_k"))]
+    out = edges.join(taken, same[0] & same[1] & same[2], "left_semi")
+    if ids is None or "edge_id" not in edges.columns or out.limit(1).count():
+        return out
+    named = ids.select(F.col("edge_id").cast("string").alias("_id")).distinct()
+    return edges.join(named, edges["edge_id"].cast("string") == named["_id"], "left_semi")

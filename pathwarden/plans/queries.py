@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pathwarden import adapters as A
 from pathwarden.functions import roads
 from pathwarden.functions.semantics import clean_text
-from pathwarden.operators import evidence, graph, metrics, models, quality, regions, reports, routes, scoring, spatial
+from pathwarden.operators import evidence, graph, metrics, models, quality, regions, reports, routes, schools, scoring, segments, spatial
 from pathwarden.operators.ants import Colony
 from pathwarden.sources.remote import demo_graph
 
@@ -648,3 +648,105 @@ def moran_permutation(spark, sf_dir):
 @query()
 def spearman_evidence(spark, sf_dir):
     return evidence.spearman_evidence(A.segments(spark, sf_dir), features=_TAB)
+
+
+# Schools, accident places and the score's inputs
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 AND c_acctbal IS NOT NULL")
+def school_filter(spark, sf_dir):
+    c = A.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"), "c_acctbal")
+    return schools.operating(c, {"c_mktsegment": "BUILDING", "nation": "3"}, ("c_acctbal",)).select("c_custkey")
+
+
+def _school_layers(spark, sf_dir):
+    o, t = A.facilities(spark, sf_dir)
+    named = o.withColumns({"district": F.concat(F.lit("D"), (F.col("origin") % 5).cast("string"))}).withColumnRenamed("origin", "school_id")
+    spots = t.where("target % 17 = 0").select(F.col("target").alias("spot_id"), "lat", "lon", F.expr("cast(2012 + target % 13 as int)").alias("search_year"), F.expr("concat('spot ', cast(target as string))").alias("spot_nm"),
+        F.expr("target % 9").alias("occrrnc_cnt"), F.expr("target % 11").alias("caslt_cnt"), F.expr("case when target % 5 = 0 then target % 3 end").alias("dth_dnv_cnt"))
+    return named, t.withColumnRenamed("target", "crosswalk_id"), t.where("target % 2 = 0").withColumnRenamed("target", "signal_id"), spots
+
+
+_WITHIN = "count(*) FILTER (WHERE d <= {r}{more}) AS {name}_count_{r}m"
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT origin AS school_id, 'D' || origin % 5 AS district, {", ".join(_WITHIN.format(r=r, more="", name="crosswalk") for r in (100, 300, 500))},
+{", ".join(_WITHIN.format(r=r, more=" AND target % 2 = 0", name="signal") for r in (100, 300, 500))},
+{q6("min(d)")} AS nearest_crosswalk_m, {q6("min(d) FILTER (WHERE target % 2 = 0)")} AS nearest_signal_m,
+{q6("coalesce(count(*) FILTER (WHERE d <= 300 AND upper(flag) = 'Y') / nullif(count(*) FILTER (WHERE d <= 300), 0)::DOUBLE, 0)")} AS crossing_share,
+{q6("coalesce(count(*) FILTER (WHERE d <= 300 AND target % 2 = 0 AND upper(flag) = 'Y') / nullif(count(*) FILTER (WHERE d <= 300 AND target % 2 = 0), 0)::DOUBLE, 0)")} AS signal_share,
+{q6("coalesce(avg(size) FILTER (WHERE d <= 300), 0)")} AS lanes, CASE origin % 5 WHEN 1 THEN 11 WHEN 3 THEN 7 ELSE 0 END::BIGINT AS academy_count_district, 0::BIGINT AS illegal_parking_count_district,
+{q6("min(d) FILTER (WHERE target % 17 = 0)")} AS nearest_hotspot_m, CAST(2012 + arg_min(target, (d, target)) FILTER (WHERE target % 17 = 0) % 13 AS INT) AS nearest_hotspot_year,
+'spot ' || arg_min(target, (d, target)) FILTER (WHERE target % 17 = 0) AS nearest_hotspot_name, CAST(min(d) FILTER (WHERE target % 17 = 0) <= 300 AS INT) AS accident_hotspot_within_radius, 300.0::DOUBLE AS label_radius_m FROM pr GROUP BY origin""")
+def school_risk(spark, sf_dir):
+    academies = spark.createDataFrame([("D1", 11), ("D3", 7)], "district string, count long")
+    df = schools.risk_dataset(*_school_layers(spark, sf_dir), academies=academies, crosswalk_flags={"flag": "crossing_share"}, signal_flags={"flag": "signal_share"}, lanes={"size": "lanes"})
+    floats = [n for n, t in df.dtypes if t == "double" and n not in ("lat", "lon", "label_radius_m")]
+    return df.withColumns({c: r6(c) for c in floats}).drop("lat", "lon")
+
+
+@query(f"SELECT district, count(*) AS count, CAST(sum(is_school_zone) AS BIGINT) AS sum FROM {A.segments_sql(['district', 'is_school_zone'])} s WHERE district IS NOT NULL GROUP BY 1")
+def district_distribution(spark, sf_dir):
+    return schools.district_distribution(A.segments(spark, sf_dir, ["district", "is_school_zone"]), "is_school_zone")
+
+
+_SPOT_CLUSTERS = f"""{A.FACILITIES_SQL}, s AS (SELECT target AS id, lat, lon, 2012 + target % 13 AS y, target % 9 AS a, target % 11 AS c, CASE WHEN target % 5 = 0 THEN target % 3 END AS x FROM t WHERE target % 17 = 0),
+l AS (SELECT a, b FROM (SELECT p.id AS a, q.id AS b, power(sin((radians(q.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * power(sin((radians(q.lon) - radians(p.lon)) / 2), 2) AS h FROM s p JOIN s q ON p.id <> q.id) WHERE {_HAV} <= 1000),
+reach AS (SELECT id AS f, id AS g FROM s UNION SELECT r.f, l.b FROM reach r JOIN l ON r.g = l.a), k AS (SELECT f AS id, min(g) AS cluster FROM reach GROUP BY 1),
+m AS (SELECT cluster, count(DISTINCT y) AS distinct_years, CAST(min(y) AS INT) AS first_year, CAST(max(y) AS INT) AS last_year, count(*) AS hotspot_records, CAST(coalesce(sum(a), 0) AS BIGINT) AS accident_count, CAST(coalesce(sum(c), 0) AS BIGINT) AS casualty_count,
+  CAST(coalesce(sum(x), 0) AS BIGINT) AS death_count, avg(lat) AS latitude, avg(lon) AS longitude FROM k JOIN s USING (id) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_SPOT_CLUSTERS} SELECT * EXCLUDE (latitude, longitude), {q6('latitude')} AS latitude, {q6('longitude')} AS longitude FROM m")
+def accident_clusters(spark, sf_dir):
+    spots = _school_layers(spark, sf_dir)[3]
+    df = schools.cluster_summary(spots.join(spatial.clusters(spots, "spot_id", 1000.0), "spot_id"))
+    return df.withColumns({c: r6(c) for c in ("latitude", "longitude")})
+
+
+@query(f"""WITH RECURSIVE {_SPOT_CLUSTERS}, w AS (SELECT * FROM m ORDER BY death_count DESC, distinct_years DESC, accident_count DESC, casualty_count DESC, cluster LIMIT 1),
+z AS (SELECT origin, {_HAV} AS d FROM (SELECT origin, power(sin((radians(lat) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(lat)) * power(sin((radians(lon) - radians(longitude)) / 2), 2) AS h FROM o, w))
+SELECT k.id AS spot_id, cluster, death_count, accident_count, distinct_years, (SELECT arg_min(origin, (d, origin)) FROM z) AS nearest_school, (SELECT round(min(d), 1)::DOUBLE FROM z) AS nearest_school_distance_m FROM k JOIN w USING (cluster)""")
+def repeated_accidents(spark, sf_dir):
+    named, _, _, spots = _school_layers(spark, sf_dir)
+    return schools.repeated_place(spots, named, radius=1000.0).select("spot_id", "cluster", "death_count", "accident_count", "distinct_years", "nearest_school", "nearest_school_distance_m")
+
+
+_RAW = {
+    "traffic_volume_proxy": "traffic_volume_norm * 3 - 0.5", "avg_speed_kph": "length_m / 2", "narrow_sidewalk_proxy": "narrow_sidewalk_norm * 2", "slope_proxy": "slope_norm - 0.25",
+    "academy_density": "crosswalk_count * 5", "illegal_parking": "bus_stop_count * 3", "lane_count": "lane_count_norm * 12 - 1", "lit_tag_score": "light_density_norm",
+}
+_LOGS = {"academy_density": "academy_density_norm", "illegal_parking": "illegal_parking_norm", "bus_stop_count": "bus_stop_nearby_norm", "crosswalk_count": "crosswalk_count_norm", "signal_count": "signal_count_norm", "speed_bump_count": "speed_bump_count_norm", "accident_count": "accident_count_norm", "streetlight_count": "lamp"}
+_SCALE = ", ".join(f"coalesce((ln(1 + {c}) - min(ln(1 + {c})) OVER ()) / nullif(max(ln(1 + {c})) OVER () - min(ln(1 + {c})) OVER (), 0), 0) AS {n}" for c, n in _LOGS.items())
+_PLAIN = {
+    "traffic_volume_norm": "greatest(least(traffic_volume_proxy, 1), 0)", "avg_speed_norm": "greatest(least(avg_speed_kph / 100, 1), 0)", "narrow_sidewalk_norm": "greatest(least(narrow_sidewalk_proxy, 1), 0)",
+    "slope_norm": "greatest(least(slope_proxy, 1), 0)", "lane_count_norm": "greatest(least(lane_count, 6), 1) / 6", "light_density_norm": "CASE WHEN lit_tag_score IS NOT NULL THEN greatest(lit_tag_score, lamp) END",
+    "pedestrian_flow_norm": "least(0.45 * academy_density_norm + 0.35 * bus_stop_nearby_norm + 0.20 * is_school_zone, 1)",
+} | {n: n for n in _LOGS.values() if n != "lamp"}
+_SEGMENT_INPUTS = ["segment_id", "is_school_zone", "school_zone_cctv_count", "crosswalk_count", "signal_count", "speed_bump_count", "bus_stop_count", "accident_count", "streetlight_count", "length_m", "traffic_volume_norm", "narrow_sidewalk_norm", "slope_norm", "lane_count_norm", "light_density_norm"]
+_RAW_KEPT = [c for c in _SEGMENT_INPUTS if c not in ("length_m", "traffic_volume_norm", "narrow_sidewalk_norm", "slope_norm", "lane_count_norm", "light_density_norm")]
+
+
+@query(f"""WITH r AS (SELECT {", ".join(_RAW_KEPT)}, {", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _RAW.items())} FROM {A.segments_sql(_SEGMENT_INPUTS)} s), n AS (SELECT *, {_SCALE} FROM r)
+SELECT segment_id, CAST(crosswalk_count > 0 AS INT) AS has_crosswalk, CAST(signal_count > 0 AS INT) AS has_signal, CAST(speed_bump_count > 0 AS INT) AS has_speed_bump, CAST(school_zone_cctv_count > 0 AS INT) AS has_cctv,
+{", ".join(f"{q6(e)} AS {n}" for n, e in _PLAIN.items())} FROM n""")
+def segment_inputs(spark, sf_dir):
+    raw = A.segments(spark, sf_dir, _SEGMENT_INPUTS).select(*_RAW_KEPT, *[F.expr(e).cast("double").alias(n) for n, e in _RAW.items()])
+    return segments.normalised(raw).select("segment_id", *segments.FLAGS.values(), *[r6(n).alias(n) for n in _PLAIN])
+
+
+@query(f"WITH {_COST_SQL} SELECT count(*) AS directed_edges, count(DISTINCT edge_id) AS unique_segments, {q6('avg(cmcs)')} AS mean, count(*) FILTER (WHERE cmcs >= 0.5) AS high_risk_edge_count FROM c")
+def segment_counts(spark, sf_dir):
+    df = segments.segment_counts(_graph(spark, sf_dir).withColumn("segment_id", F.col("edge_id")), "cmcs", 0.5)
+    return df.withColumn("mean", r6("mean"))
+
+
+@query(f"WITH {_COST_SQL} SELECT a.edge_id FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE b.u % 3 = 0 AND ((a.u = b.v AND a.v = b.u) OR (a.u = b.u AND a.v = b.v)))")
+def route_edges(spark, sf_dir):
+    g = _graph(spark, sf_dir).select("u", "v", "edge_id").withColumn("key", F.lit(0))
+    # The path names its edges backwards.
+    return routes.route_edges(g, g.where("u % 3 = 0").select(F.col("v").alias("u"), F.col("u").alias("v"), "key")).select("edge_id")
+
+
+@query()
+def fitted_weights(spark, sf_dir):
+    got = models.fit_weights(A.segments(spark, sf_dir, [*models.WEIGHT_COLUMNS, "accident_count"]), "accident_count")
+    return spark.createDataFrame(list(got.items()), "feature string, weight double")
