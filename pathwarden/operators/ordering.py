@@ -8,6 +8,8 @@ from one number per partition, which is joined back.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,20 +25,26 @@ def _dealt(df: DataFrame, order: Sequence[Column | str], keep: Callable[[DataFra
     return keep(placed).withColumn(_PART, F.shiftright(_AT, 33))
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], out: str, by: Sequence[str] = (), keep: Callable[[DataFrame], DataFrame] = cut, parts: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column | str], out: str, by: Sequence[str] = (), keep: Callable[[DataFrame], DataFrame] = cut, parts: int | None = None,
+             per_group: DataFrame | None = None) -> DataFrame:
     """``df`` and ``out``, the place from 0 of each row among those with equal ``by`` (nulls are equal), in ``order``.
 
     Rows that tie in ``order`` get different places, in no stated order, that stay the same since the sorted rows are
     stored (by ``keep``, which cuts the lineage).  The window below sees at most one row per range partition and group.
+    ``per_group`` has further columns for each value of ``by``; they join one row per group and range partition, so a large
+    group is no hot key.
     """
     placed = _dealt(df, [*by, *order], keep, parts)
     counts = placed.groupBy(*by, _PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_AT).alias(_FIRST))
     earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(_PART).alias("_its"), _FIRST, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(_BEFORE))
-    same = placed[_PART] == starts["_its"]
-    for c in by:
-        same = same & placed[c].eqNullSafe(starts[f"_by_{c}"])
-    return placed.join(starts if by else F.broadcast(starts), same).select(*df.columns, (F.col(_BEFORE) + F.col(_AT) - F.col(_FIRST)).alias(out))
+    more = []
+    if per_group is not None:
+        more = [c for c in per_group.columns if c not in by]
+        theirs = per_group.select(*(F.col(c).alias(f"_of_{c}") for c in by), *more)
+        starts = starts.join(theirs, reduce(and_, (starts[f"_by_{c}"].eqNullSafe(theirs[f"_of_{c}"]) for c in by)))
+    same = reduce(and_, (placed[c].eqNullSafe(starts[f"_by_{c}"]) for c in by), placed[_PART] == starts["_its"])
+    return placed.join(starts if by else F.broadcast(starts), same).select(*df.columns, *more, (F.col(_BEFORE) + F.col(_AT) - F.col(_FIRST)).alias(out))
 
 
 def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str], keep: Callable[[DataFrame], DataFrame] = cut, parts: int | None = None) -> DataFrame:
