@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathwarden.llm import forest, html_text, jaccard_join, line_dedup, mixing, mpeg, pieces, sharding, sql, toxicity, warc
+from pathwarden.llm import forest, html_text, jaccard_join, line_dedup, merkle, mixing, mpeg, packing, pieces, resampling, sharding, sql, toxicity, warc
 from pathwarden.llm.common import table
 
 
@@ -50,8 +50,20 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10_shard(table(spark, sf_dir, "documents"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op11_pack(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.op12_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13_merkle(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_forest, op2_mix, op3_pieces, op4_html, op5_lines, op6_jaccard, op7_media, op8_toxicity, op9_warc, op10_shard]
+    ops = [op1_forest, op2_mix, op3_pieces, op4_html, op5_lines, op6_jaccard, op7_media, op8_toxicity, op9_warc, op10_shard, op11_pack, op12_resample, op13_merkle]
     return {f.__name__: f for f in ops}
 
 
