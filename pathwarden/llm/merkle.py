@@ -171,33 +171,48 @@ def _climb(nodes: DataFrame, most: int, block: int) -> tuple[list[DataFrame], Da
     return rounds, nodes
 
 
-def _proofs(cols: list[str], block: int):
+def _proofs(cols: list[str], block: int, read: bool):
     """The function of one block: its nodes and the row of its root."""
 
     def run(t: pa.Table, upper: pa.Table) -> pa.Table:
         t = t.sort_by("i")
-        tail = upper["path"][0].as_py()
-        lower = traverse(t["h"].to_pylist(), min(height(t["n"][0].as_py()), block))
-        paths = pa.array([[{"before": b, "after": a} for b, a in p] + tail for p in lower], pa.list_(_STEP))
+        tail = [(p["before"], p["after"]) for p in upper["path"][0].as_py()]
+        paths = traverse(t["h"].to_pylist(), min(height(t["n"][0].as_py()), block))
         subroot = pa.array([upper["subroot"][0].as_py()] * t.num_rows, pa.string())
-        return pa.table([*(t[c] for c in cols), subroot, paths], names=[*cols, "subroot", "path"])
+        if not read:
+            whole = pa.array([[{"before": b, "after": a} for b, a in p + tail] for p in paths], pa.list_(_STEP))
+            return pa.table([*(t[c] for c in cols), subroot, whole], names=[*cols, "subroot", "path"])
+        # Digests of one path after another: only one is in memory at a time.
+        proofs, roots = [], []
+        end = "".join(b + a for b, a in tail)
+        for path, leaf in zip(paths, t["read"].to_pylist()):
+            proofs.append(combine([*(b + a for b, a in path), end]))
+            roots.append(fold(fold(leaf, path), tail))
+        return pa.table([*(t[c] for c in cols), subroot, pa.array(proofs, pa.string()), pa.array(roots, pa.string())], names=[*cols, "subroot", "proof", "folded"])
 
     return run
 
 
 def _descend(rounds: list[DataFrame], above: DataFrame, block: int) -> DataFrame:
-    """The first round's nodes with subroot and whole path, from ``above``: (g, i, subroot, path) of the roots."""
+    """The first round's nodes with subroot and whole path, from ``above``: (g, i, subroot, path) of the roots.
+
+    Nodes with a digest ``read`` get the digest of their path and the root that it leads to from there instead.
+    """
     for nodes in reversed(rounds):
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields) + f", subroot string, path {PATH}"
+        read = "read" in nodes.columns
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields) + ", subroot string, " + ("proof string, folded string" if read else f"path {PATH}")
         mine = _blocked(nodes, block).groupBy("g", "block")
         roots = above.select("g", F.col("i").alias("block"), "subroot", "path").groupBy("g", "block")
-        above = mine.cogroup(roots).applyInArrow(_proofs(nodes.columns, block), schema)
+        above = mine.cogroup(roots).applyInArrow(_proofs(nodes.columns, block, read), schema)
     return above
 
 
-def manifest(rows: DataFrame, leaf: str, group: str, order: Sequence[Column | str], keep: Sequence[str], block: int = BLOCK_LEVELS) -> DataFrame:
+def manifest(rows: DataFrame, leaf: str, group: str, order: Sequence[Column | str], keep: Sequence[str], read: Column | None = None, block: int = BLOCK_LEVELS) -> DataFrame:
     """``keep`` columns, leaf, subroot, root, and path (siblings before and after, level by level up to the root).
 
+    With ``read``, a digest of each row as it is read again, there are proof (the digest of the path) and folded (the root that
+    ``read`` and the path lead to) instead of path, which then never leaves its task.
+
     A tree per value of ``group`` over its leaves in ``order``; groups ascend by their UTF-8 bytes, null first, and their roots
     make the upper tree.  Rows that tie in ``order`` are placed in an order of their own, so let the leaf be the last key.
     No rows give no rows.  ``rows`` is sorted and read several times: it should be narrow and stored.
@@ -206,7 +221,7 @@ def manifest(rows: DataFrame, leaf: str, group: str, order: Sequence[Column | st
     groups, _ = stored(numbered(sizes, [F.col(group).asc_nulls_first()], "_g", keep=lambda df: stored(df, "groups")[0]), "groups")
     shape = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
     placed = numbered(rows, order, "_i", by=[group], keep=lambda df: stored(df, "placed")[0], per_group=groups)
-    columns = (F.col("_g").alias("g"), F.col("_i").alias("i"), F.col("_n").alias("n"), F.col(leaf).alias("h"), F.struct(*keep).alias("kept"))
+    columns = (F.col("_g").alias("g"), F.col("_i").alias("i"), F.col("_n").alias("n"), F.col(leaf).alias("h"), F.struct(*keep).alias("kept"), *([] if read is None else [read.alias("read")]))
     leaves, _ = stored(placed.select(*columns), "leaves")
 
     rounds, subroots = _climb(leaves, shape["most"], block)
@@ -216,7 +231,7 @@ def manifest(rows: DataFrame, leaf: str, group: str, order: Sequence[Column | st
     ends = _descend(tops, top.select("g", "i", F.lit("").alias("subroot"), F.array().cast(PATH).alias("path")), block)
     above = ends.select(F.col("i").alias("g"), F.lit(0).cast("long").alias("i"), F.col("h").alias("subroot"), "path")
     found = _descend(rounds, above, block)
-    return found.select("kept.*", F.col("h").alias("leaf"), "subroot", F.lit(root and root["h"]).cast("string").alias("root"), "path")
+    return found.select("kept.*", F.col("h").alias("leaf"), "subroot", F.lit(root and root["h"]).cast("string").alias("root"), *(["path"] if read is None else ["proof", "folded"]))
 
 
 def op13_merkle(docs: DataFrame) -> DataFrame:
@@ -231,8 +246,6 @@ def op13_merkle(docs: DataFrame) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     slim = docs.select("doc_id", "lang", row_digest(columns).alias("leaf"), F.when(hit, row_digest([*columns[:-1], lowered])).alias("tampered"))
     rows, _ = stored(slim, "digests")
-    got = manifest(rows, "leaf", "lang", [F.col("doc_id").asc_nulls_first(), "leaf"], keep=["doc_id", "tampered"])
-    return got.select(
-        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
-        folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
-    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+    order = [F.col("doc_id").asc_nulls_first(), "leaf"]
+    got = manifest(rows, "leaf", "lang", order, keep=["doc_id"], read=F.coalesce("tampered", "leaf"))
+    return got.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))

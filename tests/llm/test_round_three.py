@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathwarden.llm import merkle, packing, queries, resampling, sql
 
@@ -305,7 +306,8 @@ def test_manifest_in_many_rounds(spark, block):
     rng = random.Random(8)
     rows = [(k, H(str(k)), rng.choice(["big", "big", "big", *(f"g{j}" for j in range(80)), None])) for k in range(1500)]
     df = spark.createDataFrame(rows, "k long, leaf string, g string").repartition(5)
-    got = merkle.manifest(df, "leaf", "g", ["k"], ["k"], block=block).collect()
+    made = merkle.manifest(df, "leaf", "g", ["k"], ["k"], block=block)
+    got = made.withColumns({"again": merkle.folded(F.col("leaf"), F.col("path")), "proof": merkle.proof_digest(F.col("path"))}).collect()
     groups = {}
     for k, h, g in rows:
         groups.setdefault(g, []).append((k, h))
@@ -315,4 +317,5 @@ def test_manifest_in_many_rounds(spark, block):
     want = {k: (trees[g][-1][0], siblings(trees[g], j) + siblings(top, x)) for x, g in enumerate(order) for j, (k, _) in enumerate(groups[g])}
     assert len(got) == len(rows)
     for r in got:
-        assert r["root"] == top[-1][0] and (r["subroot"], [tuple(p) for p in r["path"]]) == want[r["k"]]
+        assert r["root"] == r["again"] == top[-1][0] and r["proof"] == H(*(a + b for a, b in want[r["k"]][1]))
+        assert (r["subroot"], [tuple(p) for p in r["path"]]) == want[r["k"]]
