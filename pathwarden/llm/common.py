@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_FALLBACK
 
 
+def fresh(names: Iterable[str], name: str) -> str:
+    """``name``, lengthened until none of ``names`` is alike (case aside, as Spark sees it)."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back.
 

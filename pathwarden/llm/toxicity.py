@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathwarden.llm.common import discard, stored
+from pathwarden.llm.common import discard, fresh, stored
 
 SAMPLE_ROWS = 24_000
 THRESHOLD = 0.7
@@ -272,11 +272,20 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, keep_text: bool = False, out:
 
 
 def op8_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs``.
+
+    Null and empty texts score as texts without a hit; repeated rows are scored one by one; a null doc_id counts as empty text in
+    held_out.  No rows give no rows; without labels of both kinds every score is below the threshold.  Other columns play no part.
+    """
     scored = score_texts(docs.select("doc_id", "text"), learn(docs, labels))
     return scored.select("doc_id", (remainder() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that score ``THRESHOLD`` or more."""
-    scored = score_texts(docs, learn(docs, labels), keep_text=True, out="_toxicity")
-    return scored.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    """``docs`` without those that score ``THRESHOLD`` or more; all columns stay, whatever their names.
+
+    Null texts, rows without an id and repeated rows stay like any other; no rows give no rows.
+    """
+    name = fresh(docs.columns, "_toxicity")
+    scored = score_texts(docs, learn(docs, labels), keep_text=True, out=name)
+    return scored.where(F.col(name) < THRESHOLD).select(*docs.columns)

@@ -8,7 +8,8 @@ executor can read them again after another one is lost.
 
 Reader: goes through the members one after another, decompressing in
 pieces of ``PIECE`` bytes; heads are parsed, the block is framed by Content-Length,
-and the SHA-1 of the payload is taken as it passes and held against the record's.
+and the SHA-1 of the payload is taken as it passes and held against the record's.  Any kind of record can come: a
+block that isn't HTTP (warcinfo, metadata, resource) is its own payload, and a record without a SHA-1 is unverified (null).
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ PIECE = 1 << 16
 #: Records are undated input; all carry the same date, so reruns agree.
 DATE = "2000-01-01T00:00:00Z"
 _ARCHIVES = "archive binary"
-_RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean, payload binary"
+_RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean, payload binary, record_id string"
+#: No head is longer.
+MOST_HEAD = 1 << 20
 
 
 def digest32(payload: bytes) -> str:
@@ -85,44 +88,80 @@ def _urn(value: str | None) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
+class _Block:
+    """The rest of a member, to be read in order."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.rest = pieces, b""
+
+    def head(self) -> bytes:
+        """What comes before the next empty line, which is passed."""
+        while b"\r\n\r\n" not in self.rest:
+            if len(self.rest) > MOST_HEAD:
+                _broken("no end of a head")
+            self.rest += next(self.pieces, b"") or _broken("no end of a head")
+        out, _, self.rest = self.rest.partition(b"\r\n\r\n")
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes in pieces."""
+        while n:
+            self.rest = self.rest or next(self.pieces, b"") or _broken("the block is short")
+            part, self.rest = self.rest[:n], self.rest[n:]
+            n -= len(part)
+            yield part
+
+    def ends(self) -> bool:
+        return self.rest + b"".join(self.pieces) == b"\r\n\r\n"
+
+
+def _length(head: dict[str, str]) -> int | None:
+    value = head.get("content-length", "")
+    return int(value) if value.isdigit() else None
+
+
+def _same(sha: bytes, declared: str | None) -> bool | None:
+    """Whether a SHA-1 is the declared one (base32 or hexadecimal); None if none is declared."""
+    kind, _, value = (declared or "").partition(":")
+    if kind.lower() != "sha1" or not value:
+        return None
+    return value.upper() == base64.b32encode(sha).decode() if len(value) == 32 else value.lower() == sha.hex()
+
+
 def read_archive(archive: bytes, keep_payload: bool = True) -> Iterator[dict]:
-    """The records in their order; a damaged record ends the archive with ValueError."""
+    """The records in their order; a damaged record ends the archive with ValueError.
+
+    payload_bytes is the length that the HTTP head gives, or of what is there.
+    """
     for member in _members(archive):
-        have = b""
-        while b"\r\n\r\n" not in have:
-            have += next(member, b"") or _broken("no end of the head")
-        raw, _, rest = have.partition(b"\r\n\r\n")
-        head = _head(raw)
-        if not head[""].startswith("WARC/"):
+        record = _Block(member)
+        head = _head(record.head())
+        size = _length(head)
+        if not head[""].startswith("WARC/") or size is None:
             _broken("not a record")
-        left = int(head["content-length"])
-        http = b""
-        while b"\r\n\r\n" not in http:
-            if not rest:
-                rest = next(member, b"") or _broken("no end of the HTTP head")
-            http, rest = http + rest[:left], rest[left:]
-            left = int(head["content-length"]) - len(http)
-        raw_http, _, first = http.partition(b"\r\n\r\n")
-        sha, size, kept = hashlib.sha1(first), len(first), [first] if keep_payload else []
-        while left:
-            if not rest:
-                rest = next(member, b"") or _broken("the block is short")
-            part, rest = rest[:left], rest[left:]
-            left -= len(part)
-            size += len(part)
+        kind, before, full = head.get("warc-type"), b"", None
+        parts = record.take(size)
+        if head.get("content-type", "").lower().startswith("application/http"):
+            http = _Block(parts)
+            if size:
+                full = _length(_head(http.head()))
+            before, parts = http.rest, http.pieces
+        sha, there, kept = hashlib.sha1(before), len(before), [before]
+        for part in parts:
             sha.update(part)
+            there += len(part)
             if keep_payload:
                 kept.append(part)
-        if rest + b"".join(member) != b"\r\n\r\n":
+        if not record.ends():
             _broken("no end of the record")
-        revisit = head["warc-type"] == "revisit"
-        declared = head["warc-payload-digest"].partition(":")[2]
-        full = int(_head(raw_http)["content-length"])
+        revisit = kind == "revisit"
+        full = there if full is None or kind == "request" else full
+        declared = head.get("warc-payload-digest")
+        same = _same(sha.digest(), declared)
         yield {
-            "page_id": _urn(head["warc-record-id"]), "url": head.get("warc-target-uri"), "payload_bytes": full, "payload_digest": declared,
-            "record_type": head["warc-type"], "refers_to": _urn(head.get("warc-refers-to")) if revisit else None,
-            "verified": (size == 0) if revisit else size == full and base64.b32encode(sha.digest()).decode() == declared,
-            "payload": None if revisit or not keep_payload else b"".join(kept),
+            "page_id": _urn(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "payload_bytes": full, "payload_digest": (declared or "").partition(":")[2] or None,
+            "record_type": kind, "refers_to": _urn(head.get("warc-refers-to")) if revisit else None,
+            "verified": there == 0 if revisit else same and there == full, "payload": None if revisit or not keep_payload else b"".join(kept), "record_id": head.get("warc-record-id"),
         }
 
 
@@ -164,8 +203,8 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     """A row per record of a table of archives (column ``archive``)."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "payload", "record_id"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
         for b in batches:
             for a in b.column(0):
                 rows, size = [], 0
@@ -181,7 +220,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ``.warc.gz`` files, each read whole by one task."""
+    """The records of ``.warc.gz`` files; a file is one value of its task, so it can't have more than 2 GB."""
     return read_archives(spark.read.format("binaryFile").load(path).select(F.col("content").alias("archive")))
 
 
