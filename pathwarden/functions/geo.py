@@ -30,6 +30,15 @@ def point_segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx:
     return ex * ex + ey * ey
 
 
+def segment_distance2(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """The squared distance of two straight segments, 0 where they cross or touch."""
+    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    apart = lambda u, v: ((u > 0) & (v < 0)) | ((u < 0) & (v > 0))
+    crossing = apart(side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy)) & apart(side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by))
+    ends = [(ax, ay, cx, cy, dx, dy), (bx, by, cx, cy, dx, dy), (cx, cy, ax, ay, bx, by), (dx, dy, ax, ay, bx, by)]
+    return F.when(crossing, 0.0).otherwise(F.least(*(point_segment_distance2(*e) for e in ends)))
+
+
 def polyline_distance2(px: Column, py: Column, line: Column) -> Column:
     """The squared distance of a point from a polyline: array<struct<x,y>>."""
     steps = F.sequence(F.lit(1), F.greatest(F.size(line) - 1, F.lit(1)))

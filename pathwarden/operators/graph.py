@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathwarden.storage import ready
 from pathwarden.functions.semantics import bounded, number
 
 RISK_FLOOR = 0.05
@@ -58,7 +59,7 @@ def cheapest_parallel(edges: DataFrame, cost: str) -> DataFrame:
 def distances(edges: DataFrame, source, cost: str, reverse: bool = False, rounds: int = 10_000) -> DataFrame:
     """(node, dist): least cost from ``source`` (to it, with ``reverse``); relaxation rounds over a frontier, cut by checkpoints."""
     spark = edges.sparkSession
-    _checkpoints(spark)
+    ready(spark)
     a, b = ("v", "u") if reverse else ("u", "v")
     hop = edges.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.min(cost).alias("w")).persist()
     dist = edges.select(F.lit(source).cast(edges.schema["u"].dataType).alias("node"), F.lit(0.0).alias("dist")).limit(1).checkpoint()
@@ -73,11 +74,6 @@ def distances(edges: DataFrame, source, cost: str, reverse: bool = False, rounds
     return dist
 
 
-def _checkpoints(spark) -> None:
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-
-
 def skyline(labels: DataFrame, node: str, *costs: str) -> DataFrame:
     """Labels that no other at the node betters in both of two costs; of equal ones, the first by ``path``."""
     a, b = costs
@@ -92,7 +88,7 @@ def bounded_path(edges: DataFrame, origin, destination, objective: str, limit: f
     can't better the incumbent, keep each node's skyline.  Costs must not be negative.
     """
     spark = edges.sparkSession
-    _checkpoints(spark)
+    ready(spark)
     cap = float("inf") if limit is None else float(limit) + EPS
     e = edges.select("u", "v", "edge_id", F.round(F.col(objective), 9).alias("o"), F.round(F.col(resource), 9).alias("r"))
     if e.where("o < 0 or r < 0 or o is null or r is null").limit(1).count():

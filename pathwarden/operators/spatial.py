@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwarden.functions.geo import cell, haversine, in_polygon, polyline_distance2
+from pathwarden.functions.geo import cell, haversine, in_polygon, polyline_distance2, segment_distance2
+from pathwarden.storage import ready
 
 _METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180
 _HALF_WAY = 20_100_000.0
@@ -124,12 +125,18 @@ def knn(points: DataFrame, key: str, k: int = 8, cell_size: float | None = None)
 def nearest_edge(points: DataFrame, edges: DataFrame, point: str, edge: str, reach: float = 500.0) -> DataFrame:
     """The nearest polyline of every point; the smallest edge on ties.  No rows without edges.
 
-    Edges are dealt to all cells that their box, widened by ``reach``, touches; for points without an edge in reach it grows fourfold.
+    Edges are dealt to all cells that their box, widened by ``reach``, touches; for points without an edge in reach it grows fourfold, up
+    to the extent of everything.  Edges without a line, and lines and points without a coordinate, play no part.
     """
     box = lambda f, a: f(F.transform("line", lambda p: p[a]))
-    left, out = points, None
-    if edges.limit(1).count() == 0:
+    known = lambda c: c.isNotNull() & ~F.isnan(c)
+    edges = edges.where((F.size("line") > 0) & F.forall("line", lambda p: known(p["x"]) & known(p["y"])))
+    left, out = points.where(known(F.col("x")) & known(F.col("y"))), None
+    ends = [edges.agg(*(g(box(f, a)).alias(f"{n}{a}") for a in "xy" for n, f, g in (("lo", F.array_min, F.min), ("hi", F.array_max, F.max)))).first(),
+            left.agg(*(g(a).alias(f"{n}{a}") for a in "xy" for n, g in (("lo", F.min), ("hi", F.max)))).first()]
+    if any(e["lox"] is None for e in ends):
         return points.select(point, F.lit(None).cast(edges.schema[edge].dataType).alias(edge), F.lit(None).cast("double").alias("distance")).limit(0)
+    extent = sum(max(e[f"hi{a}"] for e in ends) - min(e[f"lo{a}"] for e in ends) for a in "xy")
     while True:
         e = edges
         for a in "xy":
@@ -138,27 +145,60 @@ def nearest_edge(points: DataFrame, edges: DataFrame, point: str, edge: str, rea
         pairs = p.join(e.select(edge, "line", "_cx", "_cy"), ["_cx", "_cy"]).withColumn("d2", polyline_distance2(F.col("x"), F.col("y"), F.col("line"))).where(F.col("d2") <= reach * reach)
         hit = pairs.groupBy(point).agg(F.min_by(F.struct(F.col(edge).alias("e"), "d2"), F.struct("d2", edge)).alias("m")).select(point, F.col("m.e").alias(edge), F.sqrt("m.d2").alias("distance"))
         out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit, point, "left_anti").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-        if left.limit(1).count() == 0:
+        left = left.join(hit, point, "left_anti")
+        if reach > extent or left.limit(1).count() == 0:
             return out
         reach *= 4
 
 
-def within(points: DataFrame, polygons: DataFrame, point: str, name: str) -> DataFrame:
+def _crossed(ax: Column, ay: Column, bx: Column, by: Column, size: float, df: DataFrame) -> DataFrame:
+    """``df`` with a row for each cell (``_cx``, ``_cy``) that a segment passes: column by column, what it covers there."""
+    lo, hi = F.least(ax, bx), F.greatest(ax, bx)
+    d = df.withColumn("_cx", F.explode(F.sequence(cell(lo, size), cell(hi, size))))
+    at = lambda x: F.when(bx == ax, None).otherwise(ay + (by - ay) * (F.least(F.greatest(x, lo), hi) - ax) / F.nullif(bx - ax, F.lit(0.0)))
+    left, right = F.coalesce(at(F.col("_cx") * size), ay), F.coalesce(at((F.col("_cx") + 1) * size), by)
+    # The shift takes in the neighbour where rounding could decide.
+    return d.withColumn("_cy", F.explode(F.sequence(cell(F.least(left, right) - size * 1e-6, size), cell(F.greatest(left, right) + size * 1e-6, size))))
+
+
+def _sides(lines: DataFrame, key: str, line: str, closed: bool) -> DataFrame:
+    """(key, _ax, _ay, _bx, _by) of a polyline's segments; a ring's last point meets its first.  A point alone is a segment of no length."""
+    n = F.size(line)
+    nxt = lambda i: F.element_at(line, F.when(i < n, i + 1).otherwise(F.lit(1) if closed else n))
+    last = n if closed else F.greatest(n - 1, F.lit(1))
+    one = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(*(F.element_at(line, i)[a].alias(f"_a{a}") for a in "xy"), *(nxt(i)[a].alias(f"_b{a}") for a in "xy")))
+    known = F.forall(line, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    return lines.where((n > 0) & known).select(key, F.explode(one).alias("s")).select(key, "s.*")
+
+
+_ENDS = [f"_{e}{a}" for e in "ab" for a in "xy"]
+
+
+def within(points: DataFrame, polygons: DataFrame, point: str, name: str, cell_size: float | None = None) -> DataFrame:
     """The first polygon (by name) that holds each point, else the nearest by outline; null without polygons.
 
-    Polygons are districts: their list is small by nature and is checked before it is broadcast.
+    Polygons are cut into cells (some 256 each, by their boxes' area together): a point in an interior cell is inside, one in a cell that the outline passes is
+    tested, and what is left over takes the nearest outline.  Points without a coordinate get null.
     """
-    few = polygons.limit(10_001).count() <= 10_000
-    g = F.broadcast(polygons) if few else polygons
+    rings = polygons.where(F.size("ring") > 0).select(name, "ring")
     box = lambda f, a: f(F.transform("ring", lambda p: p[a]))
-    inside = (F.col("x") >= box(F.array_min, "x")) & (F.col("x") <= box(F.array_max, "x")) & (F.col("y") >= box(F.array_min, "y")) & (F.col("y") <= box(F.array_max, "y"))
-    hit = points.join(g, inside & in_polygon(F.col("x"), F.col("y"), F.col("ring"))).groupBy(point).agg(F.min(name).alias(name))
-    out = points.join(hit, point, "left")
-    rest = out.where(F.col(name).isNull()).drop(name)
-    closed = F.concat(F.col("ring"), F.slice("ring", 1, 1))
-    near = rest.join(g, F.lit(True)).withColumn("_d", polyline_distance2(F.col("x"), F.col("y"), closed)).groupBy(point).agg(F.min_by(name, F.struct("_d", name)).alias("_near"))
-    return out.join(near, point, "left").withColumn(name, F.coalesce(name, "_near")).drop("_near")
+    boxes = rings.select(name, "ring", *(box(f, a).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))))
+    r = boxes.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy"))).alias("area"), F.max(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("wide")).first()
+    if not r["n"]:
+        return points.withColumn(name, F.lit(None).cast(polygons.schema[name].dataType))
+    size = cell_size or max(math.sqrt((r["area"] or 0.0) / (256 * r["n"])), (r["wide"] or 0.0) / 4096, 1e-9)
+    sides = _sides(rings, name, "ring", True)
+    border = _crossed(*(F.col(c) for c in _ENDS), size, sides).select(name, "_cx", "_cy").distinct().withColumn("_border", F.lit(True))
+    cells = boxes.withColumn("_cx", F.explode(F.sequence(cell(F.col("lox"), size), cell(F.col("hix"), size)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("loy"), size), cell(F.col("hiy"), size))))
+    inner = cells.join(border, [name, "_cx", "_cy"], "left_anti").where(in_polygon((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size, F.col("ring")))
+    cover = border.unionByName(inner.select(name, "_cx", "_cy", F.lit(False).alias("_border")))
+    met = points.select(point, "x", "y", cell(F.col("x"), size).alias("_cx"), cell(F.col("y"), size).alias("_cy")).join(cover, ["_cx", "_cy"])
+    tested = met.where("_border").join(rings, name).where(in_polygon(F.col("x"), F.col("y"), F.col("ring")))
+    hit = met.where("not _border").select(point, name).unionByName(tested.select(point, name)).groupBy(point).agg(F.min(name).alias(name))
+    rest = points.select(point, "x", "y").join(hit, point, "left_anti")
+    lines = sides.select(name, F.array(*(F.struct(F.col(f"_{e}x").alias("x"), F.col(f"_{e}y").alias("y")) for e in "ab")).alias("line"))
+    near = nearest_edge(rest, lines, point, name, reach=8 * size).select(point, name)
+    return points.join(hit.unionByName(near), point, "left")
 
 
 def band_pairs(points: DataFrame, key: str, lo: float = 700.0, hi: float = 3000.0, want: float = 1600.0) -> DataFrame:
@@ -176,9 +216,7 @@ def clusters(points: DataFrame, key: str, radius: float = 400.0) -> DataFrame:
 
 def least_labels(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component; lineage is cut by reliable checkpoints."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    ready(edges.sparkSession)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
     while True:
@@ -190,10 +228,17 @@ def least_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_route(edges: DataFrame, route: DataFrame, reach: float = 700.0) -> DataFrame:
-    """Edges whose middle is within ``reach`` of a route's vertices (x, y); all edges where that leaves none."""
-    e = edges.withColumns({"_cx": cell(F.col("x"), reach), "_cy": cell(F.col("y"), reach)})
-    r = route.select(F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_cx", _around(cell(F.col("_x"), reach))).withColumn("_cy", _around(cell(F.col("_y"), reach)))
-    near = (e["_cx"] == r["_cx"]) & (e["_cy"] == r["_cy"]) & (F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) <= reach * reach)
-    out = e.join(r, near, "left_semi").drop("_cx", "_cy")
-    return out if out.limit(1).count() else edges
+def route_buffer(edges: DataFrame, route: DataFrame, edge: str, reach: float = 700.0) -> DataFrame:
+    """``edges`` (``edge``, ``line``) that come within ``reach`` of a route's polylines (``line``), between vertices too; all edges where the route has no line.
+
+    Both are dealt segment by segment to the cells that they pass, the route's to their neighbours as well, and compared where they meet.
+    """
+    keyed = route.select(F.lit(0).alias("_route"), "line")
+    mine = _sides(keyed, "_route", "line", False)
+    if mine.limit(1).count() == 0:
+        return edges
+    theirs = _crossed(*(F.col(c) for c in _ENDS), reach, _sides(edges, edge, "line", False))
+    around = _crossed(*(F.col(c) for c in _ENDS), reach, mine).withColumns({c: _around(F.col(c)) for c in ["_cx"]}).withColumns({c: _around(F.col(c)) for c in ["_cy"]})
+    r = around.select("_cx", "_cy", *(F.col(c).alias(f"_r{c}") for c in _ENDS)).distinct()
+    near = theirs.join(r, ["_cx", "_cy"]).where(segment_distance2(*(F.col(c) for c in _ENDS), *(F.col(f"_r{c}") for c in _ENDS)) <= reach * reach)
+    return edges.join(near.select(edge).distinct(), edge, "left_semi")

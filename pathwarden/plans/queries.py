@@ -399,6 +399,40 @@ def nearest_edge(spark, sf_dir):
     return spatial.nearest_edge(_plane(spark, sf_dir), edges, "id", "edge").select("id", "edge", r6("distance").alias("distance"))
 
 
+_SQUARES = "z AS (SELECT 'Z' || i || j AS zone, i * 2600.0 + 700 AS x0, j * 2600.0 + 400 AS y0 FROM (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j))"
+
+
+@query(f"""WITH p AS ({_PLANE}), {_SQUARES}, d AS (SELECT id, zone, power(greatest(x0 - x, x - x0 - 900, 0), 2) + power(greatest(y0 - y, y - y0 - 1100, 0), 2) AS d FROM p, z)
+SELECT id, min_by(zone, (d, zone)) AS zone FROM d GROUP BY 1""")
+def nearest_polygon(spark, sf_dir):
+    # Most points are outside all squares.
+    z = spark.range(16).select(((F.col("id") / 4).cast("int") * 2600.0 + 700).alias("x0"), ((F.col("id") % 4) * 2600.0 + 400).alias("y0"), F.concat(F.lit("Z"), (F.col("id") / 4).cast("int").cast("string"), (F.col("id") % 4).cast("string")).alias("zone"))
+    xy = lambda a, b: F.struct((F.col("x0") + a).alias("x"), (F.col("y0") + b).alias("y"))
+    polygons = z.select("zone", F.array(xy(0, 0), xy(900, 0), xy(900, 1100), xy(0, 1100)).alias("ring"))
+    return spatial.within(_plane(spark, sf_dir), polygons, "id", "zone").select("id", "zone")
+
+
+def _off(p: str, a: str, b: str) -> str:
+    """SQL: the squared distance of a point from a segment; points are named by prefix."""
+    t = f"greatest(0, least(1, coalesce((({p}x - {a}x) * ({b}x - {a}x) + ({p}y - {a}y) * ({b}y - {a}y)) / nullif(power({b}x - {a}x, 2) + power({b}y - {a}y, 2), 0), 0)))"
+    return f"(power({p}x - {a}x - {t} * ({b}x - {a}x), 2) + power({p}y - {a}y - {t} * ({b}y - {a}y), 2))"
+
+
+_TURN = lambda p, q, r: f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+
+
+@query(f"""WITH p AS ({_PLANE}), e AS (SELECT id, x AS ax, y AS ay, x + 1600.0 * (id % 3 - 1) AS fx, y + 300.0 * (id % 7 - 3) AS fy FROM p),
+r AS (SELECT * FROM (VALUES (1000.0::DOUBLE, 1000.0::DOUBLE, 4000.0::DOUBLE, 9000.0::DOUBLE), (4000.0, 9000.0, 9000.0, 2000.0)) t(cx, cy, dx, dy))
+SELECT DISTINCT id FROM e, r WHERE ({_TURN('a', 'f', 'c')} * {_TURN('a', 'f', 'd')} < 0 AND {_TURN('c', 'd', 'a')} * {_TURN('c', 'd', 'f')} < 0)
+OR least({_off('a', 'c', 'd')}, {_off('f', 'c', 'd')}, {_off('c', 'a', 'f')}, {_off('d', 'a', 'f')}) <= 90000""")
+def route_buffer(spark, sf_dir):
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    i, x, y = F.col("id"), F.col("x"), F.col("y")
+    edges = _plane(spark, sf_dir).select("id", F.array(pt(x, y), pt(x + 1600.0 * (i % 3 - 1), y + 300.0 * (i % 7 - 3))).alias("line"))
+    route = spark.range(1).select(F.array(*(pt(F.lit(a), F.lit(b)) for a, b in ((1000, 1000), (4000, 9000), (9000, 2000)))).alias("line"))
+    return spatial.route_buffer(edges, route, "id", 300.0).select("id")
+
+
 # Evidence
 _TAB = ["traffic_volume_norm", "avg_speed_norm", "pedestrian_flow_norm", "illegal_parking_norm", "is_alley"]
 
@@ -622,10 +656,31 @@ _MODEL = ["traffic_volume_norm", "avg_speed_norm", "pedestrian_flow_norm", "ille
 
 @query()
 def edge_model_cv(spark, sf_dir):
-    board, _, _ = models.train_edge_model(scored(spark, sf_dir), _MODEL, least=2_000, folds=3, trees=10, rounds=5)
+    board, _, _ = models.train_edge_model(scored(spark, sf_dir), _MODEL)
     return board
 
 
+@query()
+def nested_validation(spark, sf_dir):
+    return models.nested_validation(regions.region_features(A.segments(spark, sf_dir)), regions.MODEL_FEATURES)
+
+
+@query()
+def region_attributions(spark, sf_dir):
+    """Which features the ensemble's first model rests on: mean absolute Shapley values over all regions."""
+    r = regions.region_features(A.segments(spark, sf_dir))
+    fitted = models.fit_regions(r, regions.MODEL_FEATURES, seeds=models.REGION_SEEDS[:1])
+    return models.mean_attributions(fitted.data, fitted.final[0], fitted.keys)
+
+
+@query()
+def school_model(spark, sf_dir):
+    d = schools.risk_dataset(*_school_layers(spark, sf_dir), crosswalk_flags={"flag": "crossing_share"}, signal_flags={"flag": "signal_share"}, lanes={"size": "lanes"})
+    features = ["crosswalk_count_300m", "signal_count_300m", "nearest_crosswalk_m", "nearest_signal_m", "crossing_share", "signal_share", "lanes"]
+    board, deploys = models.train_school_model(d, features, "accident_hotspot_within_radius", "district")
+    return board.withColumn("deploys", F.lit(deploys))
+
+
 @query()
 def region_model_logo(spark, sf_dir):
     r = regions.region_features(A.segments(spark, sf_dir))

@@ -16,9 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_FALLBACK
 
 
+def ready(spark: SparkSession) -> None:
+    """Let checkpoints go to the shared folder where the session has set no other."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder now and read from there ever after."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+    ready(df.sparkSession)
     return df.checkpoint()

@@ -55,3 +55,56 @@ def test_effects_count_as_far_as_their_signs_agree(spark):
     coefs = np.array([[1.0], [2.0], [-0.5], [3.0]])
     r = models._evidence_rows(spark, coefs * models.SPECS[0][2], 0.5).first()
     assert (r["signed_effect"], r["consistency"], r["score"]) == (1.5, 0.75, pytest.approx(1.5 * 0.75 * 0.5))
+
+
+def test_edges_without_a_line_play_no_part(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    line = "array<struct<x:double,y:double>>"
+    none = spark.createDataFrame([("a", None), ("b", []), ("c", [(1.0, None)])], f"edge string, line {line}")
+    assert spatial.nearest_edge(points, none, "id", "edge").count() == 0
+    assert spatial.nearest_edge(points.where("false"), none, "id", "edge").count() == 0
+    some = none.unionByName(spark.createDataFrame([("d", [(3.0, 4.0)])], none.schema))
+    assert [tuple(r) for r in spatial.nearest_edge(points, some, "id", "edge").collect()] == [(1, "d", 5.0)]
+
+
+def test_polygons_of_any_shape(spark):
+    """Holed-out, thin, nested and huge rings against a plain test of every pair."""
+    rng = random.Random(9)
+    star = lambda cx, cy, r, n: [(cx + r * (1 if k % 2 else 0.35) * math.cos(math.pi * k / n), cy + r * (1 if k % 2 else 0.35) * math.sin(math.pi * k / n)) for k in range(2 * n)]
+    rings = [(f"s{k}", star(rng.uniform(0, 1000), rng.uniform(0, 1000), rng.choice([5, 60, 200]), rng.randint(3, 9))) for k in range(25)]
+    rings += [("thin", [(0.0, 500.0), (1000.0, 503.0), (1000.0, 504.0)]), ("zero", [(50.0, 50.0)]), ("huge", [(-4000.0, -4000.0), (-3000.0, -4000.0), (-4000.0, -3000.0)])]
+    points = [(k, rng.uniform(-200, 1200), rng.uniform(-200, 1200)) for k in range(400)] + [(900, -3900.0, -3900.0), (901, None, 1.0)]
+
+    def inside(x, y, ring):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    def off(x, y, ring):
+        out = math.inf
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            n = (bx - ax) ** 2 + (by - ay) ** 2
+            t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0
+            out = min(out, (x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2)
+        return out
+
+    want = {}
+    for k, x, y in points:
+        held = [] if x is None else [n for n, r in rings if inside(x, y, r)]
+        want[k] = None if x is None else min(held) if held else min((off(x, y, r), n) for n, r in rings)[1]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    polygons = spark.createDataFrame(rings, "zone string, ring array<struct<x:double,y:double>>")
+    for size in (None, 40.0):
+        assert {r["id"]: r["zone"] for r in spatial.within(df, polygons, "id", "zone", size).collect()} == want
+    assert {r["zone"] for r in spatial.within(df, polygons.limit(0), "id", "zone").collect()} == {None}
+
+
+def test_buffers_reach_between_vertices(spark):
+    line = "array<struct<x:double,y:double>>"
+    edges = [("cross", [(500.0, -900.0), (500.0, 900.0)]), ("far", [(500.0, 120.0), (800.0, 400.0)]), ("beside", [(-3000.0, 99.0), (4000.0, 99.0)]), ("dot", [(1000.0, -50.0)]), ("none", None)]
+    df = spark.createDataFrame(edges, f"edge string, line {line}")
+    route = spark.createDataFrame([([(0.0, 0.0), (1000.0, 0.0)],)], f"line {line}")
+    assert {r["edge"] for r in spatial.route_buffer(df, route, "edge", 100.0).collect()} == {"cross", "beside", "dot"}
+    assert spatial.route_buffer(df, route.where("false"), "edge").count() == 5
