@@ -4,8 +4,9 @@ A line's tokens are its distinct five-word shingles (with fewer words, the whole
 line), lower-cased.  A line goes if an earlier one, by doc_id and place, has a Jaccard
 similarity of 0.8 or more.  Lines without words stay.
 
-Tokens are ordered by rarity: by the count, over all lines, of the hash bucket they are in
-(``BUCKETS`` numbers, whatever the input), then by hash.  Lines with equal tokens are one class, known by
+Tokens are ordered by rarity: by the count of the hash bucket they are in (``BUCKETS`` numbers, whatever the input),
+then by hash.  Any one order gives the same lines, only with more or less work, so buckets are counted over a fixed share of the documents, drawn by the
+hash of their text (one in ``RARITY_SHARE``, at every size).  Lines with equal tokens are one class, known by two hashes and by
 its earliest line.  A class of n tokens is indexed under its first n // 5 + 1 tokens; classes
 that share one are candidates if they pass the length and positional filters, and are verified on
 all tokens.  A class needs but one earlier match: it is first held against the
@@ -22,6 +23,8 @@ from pathwarden.llm.common import discard, stored
 WORDS = 5
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
+#: The order of tokens is that of one in so many documents.
+RARITY_SHARE = 16
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -95,15 +98,16 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     spark = docs.sparkSession
     words = line_rows(docs)
-    place = rarity(words)
+    place = rarity(line_rows(docs.where(F.pmod(F.xxhash64("text"), F.lit(RARITY_SHARE)) == 0)))
     some = F.size("w") > 0
     toks = words.select("doc_id", "tie", "line_no", F.when(some, ordered(tokens_of(F.col("w")), place)).alias("t"))
     n = F.size("t")
-    # The hash of all tokens and n names the class.
-    slim = toks.select("doc_id", "tie", "line_no", F.when(F.col("t").isNotNull(), n).alias("n"), F.when(F.col("t").isNotNull(), F.xxhash64("t", n)).alias("cls"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
+    # Two hashes of all tokens and n name the class.
+    there = F.col("t").isNotNull()
+    slim = toks.select("doc_id", "tie", "line_no", F.when(there, n).alias("n"), F.when(there, F.xxhash64("t", n)).alias("cls"), F.when(there, F.xxhash64(n, "t")).alias("cls2"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
     all_lines, lines_path = stored(slim, "lines")
     at = F.struct("doc_id", "tie", "line_no")
-    heads = all_lines.where("cls is not null").groupBy("cls").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = all_lines.where("cls is not null").groupBy("cls", "cls2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # Classes numbered in the order of their earliest lines.
     heads, heads_path = stored(heads.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "line-classes")
     bucket, by_size = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("n", "id")
@@ -145,9 +149,9 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     gone2, gone2_path = stored(gone.unionByName(_verified(more, sets.unionByName(others)).select("y").distinct()), "lines-gone")
     discard(spark, buckets_path, first_path, sets_path, gone_path, more_path, others_path)
     # Only classes of which some line goes are joined back.
-    state = heads.select("id", "cls", "first", "last").join(gone2, heads["id"] == gone2["y"], "left")
-    state = state.where("y is not null or first <> last").select("cls", "first", F.col("y").isNotNull().alias("all_gone"))
-    hit = all_lines.select("doc_id", "tie", "line_no", "cls").join(state, "cls", "left")
+    state = heads.select("id", "cls", "cls2", "first", "last").join(gone2, heads["id"] == gone2["y"], "left")
+    state = state.where("y is not null or first <> last").select("cls", "cls2", "first", F.col("y").isNotNull().alias("all_gone"))
+    hit = all_lines.select("doc_id", "tie", "line_no", "cls", "cls2").join(state, ["cls", "cls2"], "left")
     removed = F.coalesce(F.col("all_gone") | (F.struct("doc_id", "tie", "line_no") > F.col("first")), F.lit(False))
     return hit.select("doc_id", "tie", "line_no", removed.alias("removed")), [lines_path, heads_path, gone2_path]
 
