@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathwarden.operators.ordering import running
 from pathwarden.operators.scoring import Weights
 from pathwarden.operators.spatial import knn
 
@@ -40,7 +41,7 @@ def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
     d = long_form(df, features, F.col(target).cast("double").alias("y")).where("x is not null and y is not null")
     # Ranks come from counts of distinct values, so equal values don't meet in one window.
     rank = lambda v, out: (
-        d.groupBy("feature", v).count().withColumn("_c", F.sum("count").over(Window.partitionBy("feature").orderBy(v))).select("feature", F.col(v).alias(f"_{v}"), (F.col("_c") - (F.col("count") - 1) / 2.0).alias(out))
+        running(d.groupBy("feature", v).count(), [v], {"_c": "count"}, by=["feature"]).select("feature", F.col(v).alias(f"_{v}"), (F.col("_c") - (F.col("count") - 1) / 2.0).alias(out))
     )
     pairs = d.groupBy("feature", "x", "y").count()
     rx, ry = rank("x", "rx"), rank("y", "ry")

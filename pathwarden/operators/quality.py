@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pathwarden.functions.semantics import bounded, clean_text, clip, first_existing, is_close, number, to_double
+from pathwarden.operators.ordering import AT_ONCE, quantiles
 
 # The city's bounds in degrees, inclusive.
 LAT_MIN, LAT_MAX, LON_MIN, LON_MAX = 36.18, 36.55, 127.29, 127.62
@@ -55,39 +57,52 @@ def swapped(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(LON_MIN, LON_MAX) & lon.between(LAT_MIN, LAT_MAX), F.lit(False))
 
 
-def winsor_bounds(df: DataFrame, columns: list[str], lower: float = 0.005, upper: float = 0.995) -> dict[str, tuple[float, float]]:
-    """The clip bounds of each column that has 20 values and spreads; one job for all columns."""
-    if not columns:
-        return {}
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.greatest(F.col(c), F.lit(0.0))
-        x = F.when(F.col(c).isNotNull(), x)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.percentile(x, [lower, upper]).alias(f"q{i}")]
-    r = df.agg(*aggs).first()
+def _floored(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+
+
+def _spreads(n: int, lo: float, hi: float, q: list[float] | None) -> bool:
+    """Whether a column has 20 values, and neither its values nor its quantiles are close to each other."""
     close = lambda a, b: abs(a - b) <= 1e-8 + 1e-5 * abs(b)
-    out = {}
-    for i, c in enumerate(columns):
-        if r[f"n{i}"] >= 20 and not close(r[f"l{i}"], r[f"h{i}"]) and not close(*r[f"q{i}"]):
-            out[c] = tuple(r[f"q{i}"])
-    return out
+    return n >= 20 and not close(lo, hi) and not close(*q)
+
+
+def winsor_bounds(df: DataFrame, columns: list[str], lower: float = 0.005, upper: float = 0.995, more: Sequence[Column] = (), quarters: Sequence[str] = ()) -> tuple[dict[str, tuple[float, float]], Row | None, dict[str, list[float]]]:
+    """The clip bounds of each column that has 20 values and spreads; the one row of the aggregates ``more``, made in the same pass; and the quartiles of ``quarters``.
+
+    Columns of ``quarters`` that are in ``columns`` too are taken without negatives.
+    """
+    x = {c: _floored(F.col(c)) for c in columns}
+    aggs = [f.alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count(x[c])), ("l", F.min(x[c])), ("h", F.max(x[c])))]
+    wanted = {c: (x[c], [lower, upper]) for c in columns} | {f"{c}/4": (x.get(c, F.col(c)), [0.25, 0.75]) for c in quarters}
+    if not aggs and not more and not wanted:
+        return {}, None, {}
+    rows = df.count()
+    together = rows <= AT_ONCE
+    if together:
+        aggs += [F.percentile(e, ps).alias(f"_q{i}") for i, (e, ps) in enumerate(wanted.values())]
+    r = df.agg(*aggs, *more).first() if aggs or more else None
+    q = {name: r[f"_q{i}"] for i, name in enumerate(wanted)} if together else quantiles(df, wanted, rows)
+    return {c: tuple(q[c]) for i, c in enumerate(columns) if q[c] and _spreads(r[f"_n{i}"], r[f"_l{i}"], r[f"_h{i}"], q[c])}, r, {c: q[f"{c}/4"] for c in quarters}
+
+
+def _clipped(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), bounded(F.col(c), *(max(b, 0.0) for b in bounds.get(c, (0.0, float("inf")))))) for c in columns})
 
 
 def winsorize(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """``columns`` without negatives and clipped to their 0.5 % and 99.5 % quantiles."""
-    bounds = winsor_bounds(df, columns)
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), bounded(F.col(c), *(max(b, 0.0) for b in bounds.get(c, (0.0, float("inf")))))) for c in columns}), {c: (round(a, 6), round(b, 6)) for c, (a, b) in bounds.items()}
+    bounds = winsor_bounds(df, columns)[0]
+    return _clipped(df, columns, bounds), {c: (round(a, 6), round(b, 6)) for c, (a, b) in bounds.items()}
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key, the last by ``order``; null keys are equal to each other."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row for each key, the last by ``order``; null keys are equal to each other.  Rows of a key meet one by one, before the shuffle too."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(order)).alias("_kept")).select("_kept.*")
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_kept")).select("_kept.*")
 
 
 def parse_date(c: Column) -> Column:
@@ -109,8 +124,13 @@ def clean_points(df: DataFrame, name: str, schema: PointSchema | None = None, co
     cols = df.columns
     numeric = [c for c in schema.numeric if c in cols]
     raw = df
-    df = df.withColumns({c: clean_text(c) for c in schema.text if c in cols} | {c: number(raw, c) for c in numeric})
-    df, bounds = winsorize(df, [c for c in schema.nonnegative if c in numeric])
+    df = df.withColumns({f"_raw_{c}": F.col(c) for c in numeric} | {c: clean_text(c) for c in schema.text if c in cols} | {c: number(raw, c) for c in numeric})
+    fails = [F.count_if(F.col(f"_raw_{c}").isNotNull() & F.col(c).isNull()).alias(f"fails_{c}") for c in numeric]
+    had = [F.min_by("_collected_at_utc", F.when(F.col("_collected_at_utc").isNotNull(), F.col(order))).alias("collected")] if "_collected_at_utc" in cols else []
+    clip_them = [c for c in schema.nonnegative if c in numeric]
+    bounds, first, _ = winsor_bounds(df, clip_them, more=[*fails, *had])
+    df = _clipped(df, clip_them, bounds).drop(*(f"_raw_{c}" for c in numeric))
+    bounds = {c: (round(a, 6), round(b, 6)) for c, (a, b) in bounds.items()}
     lat, lon, id_, date = (first_existing(cols, a) for a in (schema.latitude, schema.longitude, schema.ids, schema.dates))
     report: dict = {"dataset": name, "coordinate_columns": {"latitude": lat, "longitude": lon}, "winsorization": {c: {"lower": a, "upper": b} for c, (a, b) in bounds.items()}}
     if lat and lon:
@@ -124,27 +144,26 @@ def clean_points(df: DataFrame, name: str, schema: PointSchema | None = None, co
     df = df.withColumn("_source_record_id", clean_text(id_) if id_ else F.lit(None).cast("string"))
     missing = F.col("_latitude").isNull() | F.col("_longitude").isNull()
     counts = df.agg(F.count("*").alias("rows"), F.count_if("_swap").alias("swaps"), F.count_if(missing).alias("missing"), F.count_if(~missing & ~F.col("_coordinate_valid")).alias("outside"), F.count_if("_coordinate_valid").alias("valid"))
-    fails = raw.agg(*[F.count_if(F.col(c).isNotNull() & number(raw, c).isNull()).alias(c) for c in numeric]).first() if numeric else None
     if drop_invalid and lat and lon:
         df = df.where("_coordinate_valid")
     keys = [c for c in schema.dedupe if c in cols] or ([id_] if id_ else [])
     if not keys and lat and lon:
         df = df.withColumn("_coordinate_key", F.concat_ws(":", F.coalesce(F.bround("_latitude", 6).cast("string"), F.lit("nan")), F.coalesce(F.bround("_longitude", 6).cast("string"), F.lit("nan"))))
         keys = ["_coordinate_key"]
-    before = df
     if keys:
         df = keep_last(df, keys, order)
     collected = F.lit((collected_at or datetime.now(UTC)).isoformat())
     if "_collected_at_utc" in cols:
-        was = raw.where("_collected_at_utc is not null").agg(F.min_by("_collected_at_utc", order)).first()[0]
+        was = first["collected"]
         collected = F.lit(str(was)) if was is not None else collected
     score = F.bround(F.col("_coordinate_valid").cast("double") * 0.60 + F.col("_source_record_id").isNotNull().cast("double") * 0.20 + F.col("_observation_date").isNotNull().cast("double") * 0.20, 3)
     df = df.withColumns({"_source_dataset": F.lit(name), "_collected_at_utc": collected, "_processed_at_utc": F.lit(now), "_preprocessing_version": F.lit("2.0"), "_row_quality_score": score}).drop("_swap")
     r = counts.first()
-    n_before, n_after = (before.count(), df.count()) if keys else (before.count(),) * 2
+    n_before = r["valid"] if drop_invalid and lat and lon else r["rows"]
+    n_after = df.count() if keys else n_before
     report |= {
         "input_rows": r["rows"], "output_rows": n_after, "removed_rows": r["rows"] - n_after, "duplicate_rows_removed": n_before - n_after, "coordinate_swaps_corrected": r["swaps"] if lat and lon else 0,
-        "missing_coordinate_rows": r["missing"] if lat and lon else 0, "out_of_city_rows": r["outside"] if lat and lon else 0, "numeric_parse_failures": fails.asDict() if fails else {}, "missing_required_columns": [c for c in schema.required if c not in cols],
+        "missing_coordinate_rows": r["missing"] if lat and lon else 0, "out_of_city_rows": r["outside"] if lat and lon else 0, "numeric_parse_failures": {c: first[f"fails_{c}"] for c in numeric}, "missing_required_columns": [c for c in schema.required if c not in cols],
     }
     return df, report
 
@@ -159,18 +178,30 @@ def analysis_columns(columns: list[str]) -> tuple[list[str], list[str], list[str
 def prepare_for_analysis(df: DataFrame) -> tuple[DataFrame, dict]:
     """Medians for missing values, winsorised counts, normalised columns within 0 and 1, flags above q3 + 3 IQR."""
     norm, counts, numeric = analysis_columns(df.columns)
-    raw = df
-    fails = raw.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNotNull() & number(raw, c).isNull()).alias(c) for c in numeric]).first().asDict()
-    df = df.withColumns({c: number(raw, c) for c in numeric})
-    med = df.agg(*[F.struct(F.median(c).alias("m"), F.count_if(F.col(c).isNull()).alias("k")).alias(c) for c in numeric]).first().asDict() if numeric else {}
-    fill = {c: med[c]["m"] if med[c]["m"] is not None else 0.0 for c in numeric if med[c]["k"]}
-    df = df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
-    spread = df.agg(*[F.count_distinct(c).alias(c) for c in counts], *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"r_{c}") for c in norm]).first().asDict() if counts or norm else {}
-    df, bounds = winsorize(df, [c for c in counts if spread[c] >= 3])
-    df = df.withColumns({c: clip(F.col(c)) for c in norm})
+    raw, rows = df, df.count()
+    df = df.withColumns({f"_raw_{c}": F.col(c) for c in numeric} | {c: number(raw, c) for c in numeric})
+    aggs = [F.count_if(F.col(f"_raw_{c}").isNotNull() & F.col(c).isNull()).alias(f"f_{c}") for c in numeric] + [F.count_if(F.col(c).isNull()).alias(f"k_{c}") for c in numeric]
+    aggs += [f(c).alias(f"{n}_{c}") for c in dict.fromkeys(norm + counts) for n, f in (("lo", F.min), ("hi", F.max))]
+    # Whether three values differ at least: few are kept for each column.
+    aggs += [F.count_distinct(c).alias(f"d_{c}") for c in counts] if rows <= AT_ONCE else [F.approx_count_distinct(c, 0.2).alias(f"d_{c}") for c in counts]
+    halves = {c: (F.col(c), [0.5]) for c in numeric}
+    if rows <= AT_ONCE:
+        aggs += [F.median(c).alias(f"m_{c}") for c in numeric]
+    r = df.agg(*aggs).first().asDict() if aggs else {}
+    med = {c: r[f"m_{c}"] for c in numeric} if rows <= AT_ONCE else {c: q and q[0] for c, q in quantiles(df, halves, rows).items()}
+    fails = {"_rows": rows} | {c: r[f"f_{c}"] for c in numeric}
+    fill = {c: med[c] if med[c] is not None else 0.0 for c in numeric if r[f"k_{c}"]}
+    df = df.drop(*(f"_raw_{c}" for c in numeric)).withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
+    spread = {f"r_{c}": {n: fill.get(c) if r[f"{n}_{c}"] is None else r[f"{n}_{c}"] for n in ("lo", "hi")} for c in dict.fromkeys(norm + counts)}
+    # A median between two values is a third one.
+    several = lambda c: r[f"d_{c}"] >= 3 or (r[f"d_{c}"] == 2 and c in fill and spread[f"r_{c}"]["lo"] < fill[c] < spread[f"r_{c}"]["hi"])
+    clip_them = [c for c in counts if several(c)]
+    bounds, _, q = winsor_bounds(df, clip_them, quarters=counts)
+    df = _clipped(df, clip_them, bounds).withColumns({c: clip(F.col(c)) for c in norm})
+    bounds = {c: (round(a, 6), round(b, 6)) for c, (a, b) in bounds.items()}
     out: dict = {}
     if counts:
-        q = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in counts]).first()
+        # Clipping to the outer quantiles leaves the quartiles where they are.
         fences = {c: q[c][1] + 3.0 * (q[c][1] - q[c][0]) for c in counts if q[c] and q[c][1] - q[c][0] > 0}
         n = df.agg(*[F.count_if(F.col(c) > v).alias(c) for c, v in fences.items()]).first().asDict() if fences else {}
         out = {c: k for c, k in n.items() if k}

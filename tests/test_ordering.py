@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from pathwarden.operators import ordering
@@ -31,3 +33,36 @@ def test_running_sums(spark):
         want[k] = (sv, sw)
     assert {r["k"]: (r["sv"], r["sw"]) for r in got} == want
     assert ordering.running(spark.createDataFrame([], "k long, v long"), ["k"], {"s": "v"}).count() == 0
+
+
+def test_running_sums_by_group_either_way(spark):
+    rng = random.Random(6)
+    rows = [(g, k, rng.randrange(9)) for g in ("a", "b", None) for k in rng.sample(range(400), 120)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(5)
+    want, got = {}, {}
+    for g in ("a", "b", None):
+        s = 0
+        for _, k, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            s += v
+            want[g, k] = s
+    for at_once in (0, 1_000_000):
+        got = {(r["g"], r["k"]): r["s"] for r in ordering.running(df, ["k"], {"s": "v"}, by=["g"], parts=6, at_once=at_once).collect()}
+        assert got == want
+
+
+def test_exact_quantiles_either_way(spark):
+    rng = np.random.default_rng(7)
+    n = 5000
+    columns = {
+        "spread": rng.normal(size=n), "tied": rng.integers(0, 3, n).astype(float), "heavy": np.exp(rng.normal(size=n) * 6), "mostly": np.where(rng.random(n) < 0.9, 7.0, rng.normal(size=n)),
+        "few": np.where(rng.random(n) < 0.999, np.nan, 1.5), "one": np.full(n, 2.0),
+    }
+    rows = [tuple(None if np.isnan(v[i]) else float(v[i]) for v in columns.values()) + (None,) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "none"])).repartition(4).persist()
+    ps = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
+    for at_once in (60, 1_000_000):
+        got = ordering.quantiles(df, {c: (F.col(c), ps) for c in [*columns, "none"]}, at_once=at_once)
+        assert got.pop("none") is None
+        for c, v in columns.items():
+            assert np.allclose(got[c], np.quantile(v[~np.isnan(v)], ps), rtol=1e-12, atol=1e-12), c
+    assert ordering.quantiles(df.limit(0), {"x": (F.col("spread"), ps)}) == {"x": None}
