@@ -22,10 +22,12 @@ AT_ONCE = 2_000_000
 _GRID = 256
 _SKETCH = 20_000
 
-_AT, _PART, _FIRST, _BEFORE = "_at", "_part", "_first", "_before"
+AT, PART = "_at", "_part"
+_AT, _PART, _FIRST, _BEFORE = AT, PART, "_first", "_before"
 
 
-def _dealt(df: DataFrame, order: Sequence[Column | str], keep: Callable[[DataFrame], DataFrame], parts: int | None) -> DataFrame:
+def dealt(df: DataFrame, order: Sequence[Column | str], keep: Callable[[DataFrame], DataFrame] = cut, parts: int | None = None) -> DataFrame:
+    """``df`` stored in range partitions of ``order``, with ``AT``, which ascends in ``order``, and ``PART``, the partition."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id())
     return keep(placed).withColumn(_PART, F.shiftright(_AT, 33))
@@ -40,7 +42,7 @@ def numbered(df: DataFrame, order: Sequence[Column | str], out: str, by: Sequenc
     ``per_group`` has further columns for each value of ``by``; they join one row per group and range partition, so a large
     group is no hot key.
     """
-    placed = _dealt(df, [*by, *order], keep, parts)
+    placed = dealt(df, [*by, *order], keep, parts)
     counts = placed.groupBy(*by, _PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_AT).alias(_FIRST))
     earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(_PART).alias("_its"), _FIRST, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(_BEFORE))
@@ -62,7 +64,7 @@ def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str],
     if df.limit(at_once + 1).count() <= at_once:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(k) for k, c in sums.items()))
-    placed = _dealt(df, [*by, *order], keep, parts)
+    placed = dealt(df, [*by, *order], keep, parts)
     totals = placed.groupBy(*by, _PART).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_t_{k}") for k, c in sums.items()))
     earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as range partitions
     starts = totals.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(_PART).alias("_its"), *(F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums))

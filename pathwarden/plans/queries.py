@@ -692,7 +692,7 @@ def region_model_logo(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap(_predictions(spark, sf_dir), "y", "p", 0.5, 300)
+    return metrics.bootstrap(_predictions(spark, sf_dir), "y", "p", 0.5)
 
 
 @query()

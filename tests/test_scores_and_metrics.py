@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from pathwarden.functions import geo, roads
 from pathwarden.operators import evidence as E
 from pathwarden.operators import metrics as M
@@ -75,3 +77,30 @@ def test_detour_is_strict(spark):
     df = spark.createDataFrame([(100.0, 200.0), (100.0, 201.0), (0.0, 100.0)], "s double, c double")
     ratio, over = roads.detour(df.s, df.c, F.lit(2.0))
     assert [tuple(r) for r in df.select(ratio, over).collect()] == [(2.0, False), (2.01, True), (0.0, False)]
+
+
+def test_bootstrap_intervals_are_those_of_plain_resampling(spark):
+    rng = np.random.default_rng(2)
+    n = 400
+    y = (rng.random(n) < 0.3).astype(int)
+    p = np.clip(0.35 * y + rng.normal(0.35, 0.2, n), 0, 1).round(2)  # with ties
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double").repartition(3)
+    got = {r["metric"]: (r["lower"], r["upper"]) for r in M.bootstrap(df, "y", "p", 0.5, 3000).collect()}
+    rows = []
+    for _ in range(3000):
+        i = rng.integers(0, n, n)
+        a, b = y[i], p[i]
+        pos, neg = np.sort(b[a == 1]), np.sort(b[a == 0])
+        auc = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2 / len(pos) / len(neg)
+        at = np.unique(b)[::-1]
+        tp, fp = len(pos) - np.searchsorted(pos, at), len(neg) - np.searchsorted(neg, at)
+        ap = (np.diff(tp, prepend=0) * tp / (tp + fp)).sum() / len(pos)
+        t, f = (pos >= 0.5).sum(), (neg >= 0.5).sum()
+        rows.append((auc, ap, 2 * t / (t + f + len(pos)), t / max(t + f, 1), t / len(pos)))
+    lower, upper = np.quantile(rows, [0.025, 0.975], 0)
+    for k, name in enumerate(["roc_auc", "average_precision", "f1", "precision", "recall"]):
+        wide = upper[k] - lower[k]
+        assert abs(got[name][0] - lower[k]) < 0.08 * wide and abs(got[name][1] - upper[k]) < 0.08 * wide, (name, got[name], lower[k], upper[k])
+    assert M.bootstrap(df, "y", "p", 0.5, 50).collect() == M.bootstrap(df, "y", "p", 0.5, 50).collect()
+    none = M.bootstrap(df.where("y = 0"), "y", "p", 0.5, 20).collect()
+    assert [r["lower"] for r in none] == [None] * 5
