@@ -32,6 +32,8 @@ from pathwarden.llm.common import components, discard, stored
 
 THRESHOLD = 0.9
 TREES = 10
+#: Where vectors lie so close together that ten trees would lose links, as many are grown as lose ``MISS`` of them, up to this.
+MOST_TREES = 40
 SPILL = 0.12
 LEAF = 320
 CELL = 4096
@@ -75,13 +77,13 @@ def _judge(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[f
     dots = x @ x.T
     a, b = np.divmod(np.flatnonzero(dots >= threshold), n)
     a, b = a[a < b], b[a < b]
-    if not len(a):
-        return 0.0, 0.0
     # For vectors spread alike in all directions: the gap of a pair at the threshold beside the gap left by the spill.
     mean = x.mean(axis=0)
     ratio = math.sqrt(max(0.0, 2 * (1 - threshold)) / max(1e-12, 1 - float(mean @ mean)))
     at = 2 * NormalDist().inv_cdf(0.5 + SPILL) / ratio if ratio else math.inf
     expected = 2 * ratio * 0.3989 * (NormalDist().pdf(at) - at * NormalDist().cdf(-at)) if ratio else 0.0
+    if not len(a):
+        return 0.0, min(1.0, expected)
     # For any others: what splits do to the loosest linked pairs of the sample.
     loose = np.argsort(dots[a, b], kind="stable")[:64]
     p = x @ rng.standard_normal((x.shape[1], 32))
@@ -126,6 +128,25 @@ def grow(sample: np.ndarray, tree: int, depth: int, threshold: float = THRESHOLD
     return out, kept, {c: rows * len(groups[c]) / max(1, len(sample)) for c, w in enumerate(whole) if w}
 
 
+def trees_needed(sample: np.ndarray, grown: tuple, rows: int, threshold: float = THRESHOLD, least: int = TREES, most: int = MOST_TREES) -> int:
+    """How many trees lose at most ``MISS`` of the links, judged by one tree: what its splits down to the leaves leave together, averaged over its vectors.
+
+    Nodes without a link in their sample are judged as if vectors were spread alike in all directions about their mean.
+    """
+    bounds, kept, whole = grown
+    rng = np.random.Generator(np.random.PCG64([SEED, 0x7EED]))
+    weight, share = [], []
+    for c, g in cells(sample, 0, bounds):
+        if c in whole or len(g) < 2:
+            continue
+        _, parted = _judge(sample[g[:1024]], threshold, rng)
+        levels = max(0.0, math.log(max(1.0, rows * len(g) / len(sample) / LEAF)) / -math.log(0.5 + SPILL))
+        weight.append(len(g))
+        share.append(kept[c] * (1 - parted) ** levels)
+    w, k = np.array(weight, float), np.array(share)
+    return next((t for t in range(least, most) if not len(w) or float(w @ (1 - k) ** t) <= MISS * w.sum()), most)
+
+
 def cells(x: np.ndarray, tree: int, bounds: list[list[tuple[float, float]]]) -> Iterator[tuple[int, np.ndarray]]:
     """(cell, indexes of the vectors that reach it)."""
     groups = [(0, np.arange(len(x)))]
@@ -181,13 +202,15 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
     depth = max(0, math.ceil(math.log2(max(n, 1) / cell)))
     depth = min(depth, max(0, int(math.log2(max(1, sample_rows // SAMPLE_LEAST)))))
     grown: list = [([], [1.0], {}) for _ in range(trees)]
-    if depth:
-        # A bounded sample, whatever the input: it only places splits.
-        got = vectors.orderBy(F.xxhash64("v"), "rep").select("v").limit(min(sample_rows, SAMPLE_LEAST << depth)).collect()
+    if n > LEAF:
+        # A bounded sample, whatever the input: it only places splits and says how many trees are needed.
+        got = vectors.orderBy(F.xxhash64("v"), "rep").select("v").limit(min(sample_rows, max(1024, SAMPLE_LEAST << depth))).collect()
         sample = np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.float64).reshape(len(got), -1)
+        first = grow(sample, 0, depth, threshold, n, trees)
+        trees = trees_needed(sample, first, n, threshold, trees, max(trees, MOST_TREES))
         grown = [grow(sample, t, depth, threshold, n, trees) for t in range(trees)]
         # Where a tree compares all vectors with each other, the others have nothing to add.
-        grown = next(([one] for one in grown if one[0][0][0][0] == math.inf), grown)
+        grown = next(([one] for one in grown if depth and one[0][0][0][0] == math.inf), grown)
     shared = spark.sparkContext.broadcast([(bounds, kept, {c: math.ceil(m / PART) for c, m in whole.items()}) for bounds, kept, whole in grown])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
