@@ -114,7 +114,7 @@ def colony(g: Local, origin, destination, mode: str, limit: float | None = None,
                 u = e[0]
         objectives = [f.objective for f, _, _ in found]
         out.history.append({
-            "iteration": it, "best_objective": out.best.objective if out.best else None, "feasible_ants": len(found), "success_rate": round(len(found) / c.ants, 6),
+            "iteration": it, "iteration_best": found[0][0].objective if found else None, "best_objective": out.best.objective if out.best else None, "feasible_ants": len(found), "success_rate": round(len(found) / c.ants, 6),
             "mean_objective": round(statistics.fmean(objectives), 6) if objectives else None, "std_objective": round(statistics.pstdev(objectives), 6) if objectives else None,
         })
     if out.best is None:

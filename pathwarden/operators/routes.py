@@ -56,6 +56,38 @@ def route_many(edges: DataFrame, requests: DataFrame, ants: bool = False, colony
     return slim.repartition("origin", "destination").mapInPandas(run, _ROUTE)
 
 
+def search_history(edges: DataFrame, requests: DataFrame, colony: Colony = Colony()) -> DataFrame:  # noqa: B008
+    """A row per request and iteration of its colony: what its ants found, the best so far, and how the exact search ended.
+
+    Histories leave their task as arrays of structs and are exploded here.  Unknown nodes give no row.
+    """
+    shared = edges.sparkSession.sparkContext.broadcast(local_rows(edges))
+    step = "struct<iteration:int,iteration_best:double,best_objective:double,feasible_ants:int,success_rate:double,mean_objective:double,std_objective:double>"
+    keys = "origin string, destination string, mode string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = Local.of(shared.value)
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                if not (g.has(r.origin) and g.has(r.destination)):
+                    continue
+                h = hybrid(g, r.origin, r.destination, r.mode, None if pd.isna(r.limit) else float(r.limit), 0.5 if pd.isna(r.lam) else float(r.lam), colony)
+                rows.append((r.origin, r.destination, r.mode, h.ants.history, h.exact_objective, h.proven))
+            yield pd.DataFrame(rows, columns=["origin", "destination", "mode", "history", "exact_objective", "proven"]).astype({"exact_objective": float})
+
+    slim = requests.select(F.col("origin").cast("string"), F.col("destination").cast("string"), "mode", F.col("lam").cast("double"), F.col("limit").cast("double"))
+    got = slim.repartition("origin", "destination").mapInPandas(run, f"{keys}, history array<{step}>, exact_objective double, proven boolean")
+    return got.select("origin", "destination", "mode", "exact_objective", "proven", F.explode("history").alias("h")).select("origin", "destination", "mode", "h.*", "exact_objective", "proven")
+
+
+def certification(history: DataFrame) -> DataFrame:
+    """(mode, routes, proven_rate, feasible_rate, mean_gap_pct) of a :func:`search_history`: a gap is the colony's last best above the exact optimum."""
+    last = history.groupBy("origin", "destination", "mode").agg(F.max_by("best_objective", "iteration").alias("best"), F.max("exact_objective").alias("exact"), F.bool_or("proven").alias("proven"))
+    gap = F.try_divide((F.col("best") - F.col("exact")) * 100, F.col("exact"))
+    return last.groupBy("mode").agg(F.count(F.lit(1)).alias("routes"), F.avg(F.col("proven").cast("double")).alias("proven_rate"), F.avg(F.col("best").isNotNull().cast("double")).alias("feasible_rate"), F.avg(gap).alias("mean_gap_pct"))
+
+
 def requests(pairs: DataFrame, modes: list[tuple[str, float | None]], limits: DataFrame | None = None) -> DataFrame:
     """``pairs`` (origin, destination) for each mode; ``limits`` has (origin, destination, limit)."""
     m = F.explode(F.array(*[F.struct(F.lit(a).alias("mode"), F.lit(b).cast("double").alias("lam")) for a, b in modes])).alias("m")

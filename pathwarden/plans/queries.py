@@ -15,7 +15,6 @@ from pathwarden import adapters as A
 from pathwarden.functions import roads
 from pathwarden.functions.semantics import clean_text
 from pathwarden.operators import evidence, graph, metrics, models, quality, regions, reports, routes, schools, scoring, segments, spatial
-from pathwarden.operators.ants import Colony
 from pathwarden.sources.remote import demo_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -621,7 +620,19 @@ def hybrid_route(spark, sf_dir):
     g = _graph(spark, sf_dir).persist()
     a, b = _ends(g)
     p = spark.createDataFrame([(str(a), str(b))], "origin string, destination string")
-    return routes.compare(g, p, 1.6, ants=True, colony=Colony(ants=16, iterations=10)).select("origin", "destination", "mode", "objective", "distance", "proven", "source", "gap_pct")
+    return routes.compare(g, p, 1.6, ants=True).select("origin", "destination", "mode", "objective", "distance", "proven", "source", "gap_pct")
+
+
+@query()
+def search_history(spark, sf_dir):
+    g = _graph(spark, sf_dir).persist()
+    return routes.search_history(g, routes.requests(_pairs(g), [("safest", None), ("balanced", 0.5)]))
+
+
+@query()
+def algorithm_evaluation(spark, sf_dir):
+    g = _graph(spark, sf_dir).persist()
+    return routes.certification(routes.search_history(g, routes.requests(_pairs(g), [("shortest", None), ("safest", None), ("balanced", 0.5)])))
 
 
 @query("""WITH n AS (SELECT i // 5 AS r, i % 5 AS c FROM (SELECT unnest(range(0, 25)) AS i)), s AS (SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(a, b))
@@ -697,7 +708,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def moran_permutation(spark, sf_dir):
-    return evidence.moran_permutation(_cells(spark, sf_dir), "cell", ["traffic_volume_norm", "avg_speed_norm"], "accident_count", permutations=99)
+    return evidence.moran_permutation(_cells(spark, sf_dir), "cell", _TAB, "accident_count")
 
 
 @query()

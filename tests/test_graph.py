@@ -99,3 +99,22 @@ def test_skyline(spark):
     df = spark.createDataFrame([("n", 1.0, 5.0, "a"), ("n", 2.0, 4.0, "b"), ("n", 3.0, 4.5, "c"), ("n", 2.0, 4.0, "d")], "node string, r double, o double, path string")
     assert sorted(r["path"] for r in G.skyline(df, "node", "r", "o").collect()) == ["a", "b"]
     assert G.edge_costs(spark.createDataFrame([("e", 1.0)], "edge_id string, length double")).select(F.round("safety_cost", 6)).first()[0] == 0.55
+
+
+def test_history_of_a_search(spark):
+    from pathwarden.operators import graph, routes
+    from pathwarden.sources.remote import demo_graph
+
+    edges = graph.edge_costs(demo_graph(spark)[1])
+    pairs = spark.createDataFrame([("N0_0", "N4_4"), ("N2_0", "N2_4"), ("N0_0", "nowhere")], "origin string, destination string")
+    history = routes.search_history(edges, routes.requests(pairs, [("safest", None), ("balanced", 0.5)]))
+    rows = sorted(history.collect(), key=lambda r: (r["origin"], r["mode"], r["iteration"]))
+    assert len(rows) == 2 * 2 * 40
+    best = {}
+    for r in rows:
+        k = r["origin"], r["mode"]
+        best[k] = min(best.get(k, float("inf")), r["iteration_best"])
+        assert abs(r["best_objective"] - best[k]) < 1e-6 and r["proven"] and r["best_objective"] >= r["exact_objective"] - 1e-6
+        assert r["feasible_ants"] == round(r["success_rate"] * 32) and r["mean_objective"] >= r["iteration_best"] - 1e-6
+    got = {r["mode"]: r for r in routes.certification(history).collect()}
+    assert got["safest"]["routes"] == 2 and got["balanced"]["proven_rate"] == 1.0 and got["safest"]["mean_gap_pct"] >= -1e-9
