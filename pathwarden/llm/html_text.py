@@ -120,6 +120,8 @@ def parse(page: str) -> Node:
             open_.top.children.append(html_lib.unescape(s) if "&" in s else s)
 
     end = len(page)
+    # Behind the last end of a noscript none has to be sought.
+    last_end = max((m.start() for m in re.finditer(r"</noscript", page, re.I)), default=-1)
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
@@ -156,7 +158,7 @@ def parse(page: str) -> Node:
             open_.top.children.append(node)
             if name in VOID or (attrs or "").rstrip().endswith("/") and name in ("svg", "path", "math"):
                 continue
-            if name in RAW:
+            if name in RAW and (name != "noscript" or at <= last_end):
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 if name != "noscript" or stop:
                     at = stop.end() if stop else end
