@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwarden.llm.common import WORD_PATTERN, stored
+from pathwarden.operators.ordering import numbered
 
 BLOCK = 256
 MAX_EPOCHS = 3
@@ -239,6 +240,38 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return hit.mapInArrow(cut, schema)
 
 
+def mixed_blocks(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The output shards themselves: shard, place (gapless from 0 within a shard), source, block, n_words and text of every slot.
+
+    A block's words are joined by single spaces; a shard's slots are in pseudorandom order, so sources alternate in it as they were drawn.
+    """
+    mix = Mix(docs, seed=seed)
+    key = ["doc_id", "_tie", "source"]
+    spans = mix.parts.groupBy(*key, "start").agg(F.collect_list(F.struct("block", "first_word", "words")).alias("_spans"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_tie"), "source", "text").dropDuplicates(key)
+    same = F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s._tie") == F.col("t._tie"))
+    found = spans.alias("s").join(texts.alias("t"), same).select("s.source", "s.start", "_spans", "t.text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                rows = []
+                for source, start, parts, text in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                    words = re.findall(WORD_PATTERN, text)
+                    rows += [(source, start, x["block"], " ".join(words[x["first_word"] : x["first_word"] + x["words"]])) for x in parts]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["source", "start", "block", "part"])
+
+    parts = found.mapInArrow(cut, "source string, start long, block long, part string")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " ")
+    blocks = parts.groupBy("source", "block").agg(joined.alias("text")).alias("b")
+    slots = numbered(mix.slots, [F.xxhash64(F.lit(seed), "source", "slot"), "source", "slot"], "place", by=["shard"], keep=lambda df: stored(df, "slots")[0]).alias("s")
+    on = F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.block") == F.col("b.block"))
+    return slots.join(blocks, on).select("s.shard", "s.place", "s.source", "s.block", count_words(F.col("b.text")).alias("n_words"), "b.text")
+
+
 def take(text: str, spans) -> str:
     """The words of ``spans`` (first_word, words, times) with the white space that follows them."""
     import re
