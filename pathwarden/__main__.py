@@ -31,6 +31,19 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument(x)
     c.add_argument("--max-detour", type=float)
     c.add_argument("--ants", action="store_true")
+    c = sub.add_parser("evaluate-algorithms", help="search histories and how they were certified")
+    for x in ("edges", "pairs", "output"):
+        c.add_argument(x)
+    c = sub.add_parser("train-region-model", help="ensemble, nested validation and blended segments")
+    c.add_argument("input", help="scored segments as Parquet")
+    c.add_argument("output")
+    c = sub.add_parser("reclean", help="clean stored datasets again, in place")
+    c.add_argument("input", help="folder with dataset=NAME parts")
+    c.add_argument("--reports")
+    c = sub.add_parser("clean-artifacts", help="delete outputs by pattern")
+    c.add_argument("folder")
+    c.add_argument("patterns", nargs="+")
+    c.add_argument("--dry-run", action="store_true")
     a = p.parse_args(argv)
 
     from pathwarden.operators import evidence, graph, models, quality, regions, routes, scoring
@@ -55,6 +68,23 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "routes":
         out = routes.compare(graph.edge_costs(spark.read.parquet(a.edges)), spark.read.parquet(a.pairs), a.max_detour, ants=a.ants)
         out.write.mode("overwrite").parquet(a.output)
+    elif a.command == "evaluate-algorithms":
+        edges = graph.edge_costs(spark.read.parquet(a.edges))
+        history = routes.search_history(edges, routes.requests(spark.read.parquet(a.pairs), [("shortest", None), ("safest", None), ("balanced", 0.5)]))
+        history.write.mode("overwrite").parquet(f"{a.output}/history")
+        routes.certification(spark.read.parquet(f"{a.output}/history")).write.mode("overwrite").parquet(f"{a.output}/certification")
+    elif a.command == "reclean":
+        print(json.dumps(files.reclean(spark, a.input, a.reports), ensure_ascii=False, indent=2, default=str))
+    elif a.command == "clean-artifacts":
+        print("\n".join(files.clean_artifacts(spark, a.folder, a.patterns, a.dry_run)))
+    elif a.command == "train-region-model":
+        segments = spark.read.parquet(a.input)
+        segments = segments.withColumn("cmcs_final", F.col("cmcs_final" if "cmcs_final" in segments.columns else "cmcs"))
+        table = regions.region_features(segments)
+        r = models.region_protocol(regions.with_region(segments), table, [f for f in regions.MODEL_FEATURES if f in table.columns])
+        r.regions.write.mode("overwrite").parquet(f"{a.output}/regions")
+        r.segments.write.mode("overwrite").parquet(f"{a.output}/segments")
+        files.write_report(spark, {"metrics": r.metrics, "nested": r.nested, "blend": r.blend, "seeds": [x.asDict() for x in r.seeds.collect()]}, f"{a.output}/report")
     else:
         segments = spark.read.parquet(a.input)
         weights = scoring.Weights()
@@ -74,7 +104,10 @@ def main(argv: list[str] | None = None) -> int:
             board, scored, model = models.train_edge_model(scoring.score(segments, weights), features)
             board.write.mode("overwrite").parquet(f"{a.output}/leaderboard")
             scored.write.mode("overwrite").parquet(f"{a.output}/scored")
-            model.write().overwrite().save(f"{a.output}/model")
+            if isinstance(model, models.PipelineModel):
+                model.write().overwrite().save(f"{a.output}/model")
+            else:
+                files.write_report(spark, model.to_dict(features), f"{a.output}/model")
     return 0
 
 

@@ -36,6 +36,11 @@ def unique_segments(df: DataFrame) -> DataFrame:
     return keep_first(df, ["segment_id"], *[c for c in ("length_m", "edge_id") if c in df.columns])
 
 
+def with_region(df: DataFrame, cell_size: float = 1750.0) -> DataFrame:
+    """``df`` with the keys of its segments' regions: district (never null), region_x and region_y."""
+    return df.withColumns({"district": F.coalesce(F.col("district").cast("string"), F.lit(UNASSIGNED)), **{f"region_{a}": F.coalesce(cell(number(df, f"center_{a}"), cell_size), F.lit(0)) for a in "xy"}})
+
+
 def region_features(df: DataFrame, cell_size: float = 1750.0) -> DataFrame:
     """All features of (district, region_x, region_y) in one aggregation, without a join; a segment that comes again counts once."""
     df = unique_segments(df) if "segment_id" in df.columns else df

@@ -95,6 +95,28 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """``nodes`` (node, ...) and ``edges`` (u, v, key, ...) as GraphML lines; nulls are left out.
+
+    The folder's parts, one after another, are one document: head, nodes by id, edges by ends, tail.  :func:`read_graphml` reads the folder.
+    """
+    escaped = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    kinds = {"double": "double", "float": "float", "int": "int", "bigint": "long", "boolean": "boolean"}
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    made = []
+    for kind, df, own in (("node", nodes, ["node"]), ("edge", edges, ["u", "v", "key"])):
+        more = [(f"{kind[0]}{i}", c, t) for i, (c, t) in enumerate(x for x in df.dtypes if x[0] not in own)]
+        names = [(k, c.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;"), t) for k, c, t in more]
+        head += [f'<key id="{k}" for="{kind}" attr.name="{c}" attr.type="{kinds.get(t, "string")}"/>' for k, c, t in names]
+        data = [F.coalesce(F.concat(F.lit(f'<data key="{k}">'), escaped(F.col(f"`{c}`")), F.lit("</data>")), F.lit("")) for k, c, _ in more]
+        ends = {"node": [F.lit('<node id="'), escaped(F.col("node"))], "edge": [F.lit('<edge source="'), escaped(F.col("u")), F.lit('" target="'), escaped(F.col("v")), F.lit('" id="'), escaped(F.coalesce(F.col("key").cast("string") if "key" in df.columns else F.lit("0"), F.lit("0")))]}[kind]
+        made.append(df.select(F.lit(1 + len(made)).alias("_k"), F.concat_ws("\u0001", *(F.col(c).cast("string") for c in own if c in df.columns)).alias("_o"), F.concat(*ends, F.lit('">'), *data, F.lit(f"</{kind}>")).alias("value")))
+    spark = nodes.sparkSession
+    frame = lambda k, lines: spark.createDataFrame([(k, f"{i:04d}", x) for i, x in enumerate(lines)], "_k int, _o string, value string")
+    lines = frame(0, [*head, '<graph edgedefault="directed">']).unionByName(made[0]).unionByName(made[1]).unionByName(frame(9, ["</graph>", "</graphml>"]))
+    lines.orderBy("_k", "_o", "value").select("value").write.mode("overwrite").text(path)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as Parquet under one path."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -118,3 +140,62 @@ def upsert_report(spark: SparkSession, report: dict, path: str) -> None:
     """One dataset's entry replaced: an overwritten partition of a table by dataset."""
     row = spark.createDataFrame([(json.dumps(report, ensure_ascii=False, default=str), report["dataset"])], "report string, dataset string")
     row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
+
+
+def relative_paths(report, base: str):
+    """A report's texts that lie below ``base``, told from there; everything else as it is."""
+    if isinstance(report, dict):
+        return {k: relative_paths(v, base) for k, v in report.items()}
+    if isinstance(report, (list, tuple)):
+        return [relative_paths(v, base) for v in report]
+    root = base.rstrip("/") + "/"
+    return report[len(root) :] if isinstance(report, str) and report.startswith(root) else report
+
+
+def _below(spark: SparkSession, pattern: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, [s.getPath() for s in fs.globStatus(p) or []]
+
+
+def clean_artifacts(spark: SparkSession, folder: str, patterns: list[str], dry_run: bool = False) -> list[str]:
+    """What matches ``patterns`` below ``folder``, deleted (unless ``dry_run``); patterns that lead out of it are refused."""
+    gone = []
+    for pattern in patterns:
+        if pattern.startswith("/") or ".." in pattern.split("/") or not pattern.strip("*/. "):
+            raise ValueError(f"not below the folder: {pattern}")
+        fs, found = _below(spark, f"{folder.rstrip('/')}/{pattern}")
+        for p in found:
+            if dry_run or fs.delete(p, True):
+                gone.append(p.toString())
+    return sorted(gone)
+
+
+def reclean(spark: SparkSession, path: str, reports: str | None = None) -> dict[str, dict]:
+    """Stored datasets (``path/dataset=NAME``, Parquet) cleaned again by their schemas, in place; report by dataset.
+
+    A dataset is cleaned into a stored copy first.  If that has the rows that are there already, its files stay untouched, as do those of other
+    datasets.  Rows that went through cleaning aren't winsorised a second time.
+    """
+    from dataclasses import replace
+
+    from pathwarden.operators.quality import SCHEMAS, clean_points
+    from pathwarden.storage import cut
+
+    out = {}
+    for name, schema in SCHEMAS.items():
+        _, found = _below(spark, f"{path}/dataset={name}")
+        if not found:
+            continue
+        was = spark.read.parquet(f"{path}/dataset={name}")
+        done = "_preprocessing_version" in was.columns
+        clean, report = clean_points(was, name, replace(schema, nonnegative=()) if done else schema)
+        clean = cut(clean.drop("_row_ord") if "_row_ord" not in was.columns else clean)
+        told = [c for c in clean.columns if c != "_processed_at_utc"]
+        same = set(clean.columns) == set(was.columns) and not clean.select(told).exceptAll(was.select(told)).limit(1).count() and not was.select(told).exceptAll(clean.select(told)).limit(1).count()
+        if not same:
+            clean.write.mode("overwrite").parquet(f"{path}/dataset={name}")
+        if reports:
+            upsert_report(spark, report, reports)
+        out[name] = report | {"changed": not same}
+    return out
