@@ -4,9 +4,8 @@ A line's tokens are its distinct five-word shingles (with fewer words, the whole
 line), lower-cased.  A line goes if an earlier one, by doc_id and place, has a Jaccard
 similarity of 0.8 or more.  Lines without words stay.
 
-Tokens are ordered by rarity: by the count of the hash bucket they are in (``BUCKETS`` numbers, whatever the input),
-then by hash.  Any one order gives the same lines, only with more or less work, so buckets are counted over a fixed share of the documents, drawn by the
-hash of their text (one in ``RARITY_SHARE``, at every size).  Lines with equal tokens are one class, known by two hashes and by
+Tokens are ordered by rarity: by the count, over all lines, of the hash bucket they are in
+(``BUCKETS`` numbers, whatever the input), then by hash.  Lines with equal tokens are one class, known by two hashes and by
 its earliest line.  A class of n tokens is indexed under its first n // 5 + 1 tokens; classes
 that share one are candidates if they pass the length and positional filters, and are verified on
 all tokens.  A class needs but one earlier match: it is first held against the
@@ -23,8 +22,6 @@ from pathwarden.llm.common import discard, stored
 WORDS = 5
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
-#: The order of tokens is that of one in so many documents.
-RARITY_SHARE = 16
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -98,7 +95,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     spark = docs.sparkSession
     words = line_rows(docs)
-    place = rarity(line_rows(docs.where(F.pmod(F.xxhash64("text"), F.lit(RARITY_SHARE)) == 0)))
+    place = rarity(words)
     some = F.size("w") > 0
     toks = words.select("doc_id", "tie", "line_no", F.when(some, ordered(tokens_of(F.col("w")), place)).alias("t"))
     n = F.size("t")
