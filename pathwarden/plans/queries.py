@@ -596,23 +596,46 @@ def lambda_sweep(spark, sf_dir):
     return routes.route_many(g, req).select("destination", r6("lam").alias("lam"), r6("objective").alias("objective"))
 
 
-@query()
+# All walks between the ends of two edges in a row, with their edges; of equal ones the first by length, then by cost.
+_HOPS_SQL = """h AS (SELECT DISTINCT a.u AS o, b.v AS d FROM c a JOIN c b ON a.v = b.u WHERE a.u <> b.v),
+w AS (SELECT DISTINCT u AS o, u AS n, [u] AS path, CAST([] AS VARCHAR[]) AS es, 0.0::DOUBLE AS len, 0.0::DOUBLE AS saf, 0.0::DOUBLE AS exp FROM c
+  UNION ALL SELECT w.o, c.v, list_append(path, c.v), list_append(es, edge_id), len + c.length, saf + c.safety_cost, exp + c.risk_exposure FROM w JOIN c ON w.n = c.u WHERE NOT list_contains(path, c.v) AND len(path) < 10),
+p AS (SELECT w.* FROM w JOIN h ON h.o = w.o AND h.d = w.n), m AS (SELECT o, n, min(len) AS m FROM p GROUP BY 1, 2), k AS (SELECT p.* FROM p JOIN m USING (o, n) WHERE len <= 1.6 * round_even(m, 2) + 1e-9),
+s AS (SELECT o, n, min_by(es, (len, saf, es)) AS es, min_by(len, (len, saf, es)) AS len, min_by(exp, (len, saf, es)) AS exp FROM k GROUP BY 1, 2),
+f AS (SELECT o, n, min_by(es, (saf, len, es)) AS es, min_by(len, (saf, len, es)) AS len, min_by(exp, (saf, len, es)) AS exp FROM k GROUP BY 1, 2)"""
+
+
+def _hops(g):
+    """Pairs of the ends of two edges in a row."""
+    a, b = g.select(F.col("u").alias("origin"), F.col("v").alias("_via")), g.select(F.col("u").alias("_via"), F.col("v").alias("destination"))
+    return a.join(b, "_via").where("origin <> destination").select("origin", "destination").distinct()
+
+
+@query(f"""WITH RECURSIVE {_COST_SQL}, {_WALK_SQL.format(start=_START)}, l AS (SELECT k / 10.0::DOUBLE AS lam FROM (SELECT unnest(range(0, 11)) AS k)), x AS (SELECT * FROM w WHERE n <> {_START}),
+b AS (SELECT n, lam, min_by(len, (lam * len + (1 - lam) * saf, len)) AS len, min_by(exp, (lam * len + (1 - lam) * saf, len)) AS exp, min(lam * len + (1 - lam) * saf) AS objective FROM x, l GROUP BY n, lam),
+r AS (SELECT *, row_number() OVER (PARTITION BY n, round_even(len, 2), round_even(exp, 4) ORDER BY lam) AS i FROM b)
+SELECT n::VARCHAR AS destination, {q6('lam')} AS lam, {q6('round_even(len, 2)')} AS distance, {q6('round_even(exp, 4)')} AS exposure, {q6('objective')} AS objective FROM r WHERE i = 1""")
 def pareto_front(spark, sf_dir):
     g = _graph(spark, sf_dir).persist()
-    return routes.pareto_front(g, _pairs(g)).select("destination", "lam", "distance", "exposure", "objective")
+    return routes.pareto_front(g, _pairs(g)).select("destination", *(r6(c).alias(c) for c in ("lam", "distance", "exposure", "objective")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COST_SQL}, {_HOPS_SQL}, x AS (SELECT o, n, unnest(es) AS edge_id FROM s), y AS (SELECT o, n, unnest(es) AS edge_id FROM f)
+SELECT edge_id, count(*) AS pairs FROM (SELECT * FROM x EXCEPT SELECT * FROM y) GROUP BY 1""")
 def avoided_edges(spark, sf_dir):
     g = _graph(spark, sf_dir).persist()
-    return routes.avoided(routes.compare(g, _pairs(g), 1.6))
+    return routes.avoided(routes.compare(g, _hops(g), 1.6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COST_SQL}, {_HOPS_SQL}, t AS (SELECT count(*) AS n FROM h), j AS (SELECT round_even(s.len, 2) AS sl, round_even(f.len, 2) AS fl, round_even(s.exp, 4) AS sx, round_even(f.exp, 4) AS fx FROM s JOIN f USING (o, n)),
+r AS (SELECT coalesce(fl / nullif(sl, 0), 0) AS r, CASE WHEN sx > 0 THEN round_even((sx - fx) / sx * 100, 2) ELSE 0 END AS c FROM j)
+SELECT count(*) AS evaluated, (SELECT n FROM t) - count(*) AS skipped, count(*) FILTER (WHERE r > 1.6) AS exceeded, {q6('round_even(avg(round_even(r, 4)), 4)')} AS mean_detour, {q6('round_even(avg(c), 2)')} AS mean_reduction, {q6('median(c)')} AS median_reduction,
+{q6('quantile_cont(r, 0.95)')} AS p95_detour, {q6('avg((c > 0)::INT)')} AS positive_share, true AS all_proven, count(*) >= 6 AND avg((c > 0)::INT) >= 0.8 AND median(c) > 0 AND count(*) FILTER (WHERE r > 1.6) = 0 AS stable FROM r""")
 def od_batch(spark, sf_dir):
     g = _graph(spark, sf_dir).persist()
-    p = _pairs(g)
-    return routes.od_report(routes.compare(g, p, 1.6), p.count(), 1.6)
+    p = _hops(g)
+    r = routes.od_report(routes.compare(g, p, 1.6), p.count(), 1.6)
+    return r.withColumns({c: r6(c) for c in ("mean_detour", "mean_reduction", "median_reduction", "p95_detour", "positive_share")})
 
 
 @query()
