@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwarden.functions.geo import cell, haversine, in_polygon, polyline_distance2, segment_distance2
+from pathwarden.operators.ordering import numbered
 from pathwarden.storage import ready
 
 _METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180
@@ -208,6 +209,25 @@ def band_pairs(points: DataFrame, key: str, lo: float = 700.0, hi: float = 3000.
     return best.select(F.least("o", "m.t").alias("origin"), F.greatest("o", "m.t").alias("destination"), F.col("m.d").alias("distance")).groupBy("origin", "destination").agg(F.min("distance").alias("distance"))
 
 
+def district_pairs(points: DataFrame, key: str, name: str, district: str, count: int = 25, lo: float = 700.0, hi: float = 3000.0, want: float = 1600.0) -> DataFrame:
+    """(origin, destination, distance, district): some evenly spread points of each district by name, each with the point at lo..hi metres whose distance is nearest ``want``.
+
+    Every district gives ceil(count / districts) origins at most; an unordered pair counts once, for the district that names it first; ties go to the smaller key.  Points without a district are
+    destinations only.
+    """
+    sizes = points.where(F.col(district).isNotNull()).groupBy(district).agg(F.count(F.lit(1)).alias("_n"))
+    each = max(1, math.ceil(count / max(sizes.count(), 1)))
+    placed = numbered(points.where(F.col(district).isNotNull()), [name, key], "_i", by=[district], per_group=sizes)
+    k = F.least(F.lit(each), F.col("_n"))
+    spots = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(k > 1, F.floor(i * (F.col("_n") - 1) / F.nullif(k - 1, F.lit(0)))).otherwise(0))
+    chosen = placed.where(F.array_contains(spots, F.col("_i")))
+    pairs = earth_pairs(chosen.select(key, "lat", "lon", district, name), points.select(key, "lat", "lon"), hi).where((F.col("d") >= lo) & (F.col(f"l_{key}") != F.col(f"r_{key}")))
+    at = F.struct(F.col(f"l_{district}").alias("district"), F.col(f"l_{name}").alias("name"), F.col(f"l_{key}").alias("origin"))
+    best = pairs.groupBy(at.alias("at")).agg(F.min_by(F.struct(F.col(f"r_{key}").alias("t"), "d"), F.struct(F.abs(F.col("d") - want), F.col(f"r_{key}"))).alias("m"))
+    once = best.groupBy(F.least("at.origin", "m.t").alias("_a"), F.greatest("at.origin", "m.t").alias("_b")).agg(F.min(F.struct("at", "m")).alias("x"))
+    return once.select(F.col("x.at.origin").alias("origin"), F.col("x.m.t").alias("destination"), F.col("x.m.d").alias("distance"), F.col("x.at.district").alias("district"))
+
+
 def clusters(points: DataFrame, key: str, radius: float = 400.0) -> DataFrame:
     """(key, cluster): points chained by steps of at most ``radius`` metres; the cluster is its smallest key."""
     edges = earth_pairs(points, points, radius).where(F.col(f"l_{key}") < F.col(f"r_{key}")).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))

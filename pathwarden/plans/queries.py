@@ -370,6 +370,19 @@ def od_pairs_band(spark, sf_dir):
     return spatial.band_pairs(o, "origin").select("origin", "destination", r6("distance").alias("distance"))
 
 
+@query(f"""WITH {A.FACILITIES_SQL}, q AS (SELECT *, 'D' || origin % 5 AS district, CAST(origin * 7919 % 1009 AS VARCHAR) AS name FROM o),
+i AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY name, origin) - 1 AS i, count(*) OVER (PARTITION BY district) AS n FROM q),
+c AS (SELECT * FROM (SELECT *, least(n, (SELECT ceil(25 / count(DISTINCT district)) FROM q)) AS k FROM i) WHERE list_contains(list_transform(range(0, CAST(k AS BIGINT)), lambda x: CASE WHEN k > 1 THEN CAST(floor(x * (n - 1) / (k - 1)) AS BIGINT) ELSE 0 END), i)),
+pr AS (SELECT *, {_HAV} AS d FROM (SELECT a.origin AS a, a.district, a.name, b.origin AS b,
+  power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2) AS h FROM c a JOIN o b ON a.origin <> b.origin)),
+m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY abs(d - 1600), b) AS r FROM pr WHERE d >= 700 AND d <= 3000), u AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY district, name, a) AS z FROM m WHERE r = 1)
+SELECT a AS origin, b AS destination, {q6('d')} AS distance, district FROM u WHERE z = 1""")
+def od_pairs_by_district(spark, sf_dir):
+    o, _ = A.facilities(spark, sf_dir)
+    named = o.withColumns({"district": F.concat(F.lit("D"), (F.col("origin") % 5).cast("string")), "name": (F.col("origin") * 7919 % 1009).cast("string")})
+    return spatial.district_pairs(named, "origin", "name", "district").select("origin", "destination", r6("distance").alias("distance"), "district")
+
+
 @query(f"""WITH RECURSIVE {A.FACILITIES_SQL}, l AS (SELECT a, b FROM (SELECT a.origin AS a, b.origin AS b,
   power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2) AS h FROM o a JOIN o b ON a.origin <> b.origin) WHERE {_HAV} <= 1000),
 reach AS (SELECT origin AS s, origin AS t FROM o UNION SELECT r.s, l.b FROM reach r JOIN l ON r.t = l.a) SELECT s AS origin, min(t) AS cluster FROM reach GROUP BY 1""")
