@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -37,6 +38,13 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("train-region-model", help="ensemble, nested validation and blended segments")
     c.add_argument("input", help="scored segments as Parquet")
     c.add_argument("output")
+    c = sub.add_parser("final-evaluation", help="performance, safety gates, districts and manifest")
+    c.add_argument("input", help="output of train-region-model")
+    c.add_argument("output")
+    c.add_argument("--leaderboard", help="leaderboard of train-edge-model")
+    c.add_argument("--routes", help="output of routes")
+    c.add_argument("--max-detour", type=float, default=1.6)
+    c.add_argument("--certification", help="certification of evaluate-algorithms")
     c = sub.add_parser("reclean", help="clean stored datasets again, in place")
     c.add_argument("input", help="folder with dataset=NAME parts")
     c.add_argument("--reports")
@@ -46,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--dry-run", action="store_true")
     a = p.parse_args(argv)
 
-    from pathwarden.operators import evidence, graph, models, quality, regions, routes, scoring
+    from pathwarden.operators import evaluation, evidence, graph, models, quality, regions, routes, scoring
     from pathwarden.session import session
     from pathwarden.sources import files
     from pathwarden.sources.remote import demo_graph
@@ -73,6 +81,14 @@ def main(argv: list[str] | None = None) -> int:
         history = routes.search_history(edges, routes.requests(spark.read.parquet(a.pairs), [("shortest", None), ("safest", None), ("balanced", 0.5)]))
         history.write.mode("overwrite").parquet(f"{a.output}/history")
         routes.certification(spark.read.parquet(f"{a.output}/history")).write.mode("overwrite").parquet(f"{a.output}/certification")
+    elif a.command == "final-evaluation":
+        read = lambda path: spark.read.parquet(path) if path else None
+        compared, batch = read(a.routes), None
+        if compared is not None:
+            batch = routes.od_report(compared, compared.select("origin", "destination").distinct().count(), a.max_detour)
+        seeds = spark.createDataFrame([(s["seed"], s["f1_at_shared"]) for s in files.read_report(spark, f"{a.input}/report")["seeds"]], "seed int, f1_at_shared double")
+        report = evaluation.evaluate(spark, spark.read.parquet(f"{a.input}/regions"), a.output, datetime.now(UTC).isoformat(), read(a.leaderboard), batch, seeds, certified=read(a.certification))
+        print(json.dumps(report["safety_gate_counts"]))
     elif a.command == "reclean":
         print(json.dumps(files.reclean(spark, a.input, a.reports), ensure_ascii=False, indent=2, default=str))
     elif a.command == "clean-artifacts":

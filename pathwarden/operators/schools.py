@@ -97,3 +97,24 @@ def repeated_place(hotspots: DataFrame, schools: DataFrame, key: str = "spot_id"
     centre = worst.select("cluster", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     near = nearest(centre, schools, "cluster", school).select("cluster", F.col(school).alias("nearest_school"), F.round("distance", 1).alias("nearest_school_distance_m"))
     return clustered.join(F.broadcast(worst), "cluster").join(F.broadcast(near), "cluster", "left")
+
+
+def route_endpoints(schools: DataFrame, academies: DataFrame, school: str, academy: str, cache: DataFrame, lookup=None, fallback: tuple[float, float] | None = None, query: str | None = None) -> DataFrame:
+    """One row, the ends of a pilot route: ``school`` of ``schools`` (name, address, lat, lon) and ``academy`` of ``academies`` (name, address).
+
+    The academy's place is that of ``query`` (its address, if none is given) by the geocoder and its ``cache``; where neither knows it, ``fallback``.  Of several rows
+    of a name the first by address counts; without one of the two there is no row.
+    """
+    from pathwarden.sources.remote import geocode
+
+    first = lambda df, name, cols: df.where(F.col("name") == name).groupBy("name").agg(F.min_by(F.struct(*cols), F.struct(*cols)).alias("f"))
+    a = first(schools, school, ["address", "lat", "lon"]).select(F.col("name").alias("origin_name"), F.col("f.address").alias("origin_address"), F.col("f.lat").alias("origin_lat"), F.col("f.lon").alias("origin_lon"))
+    b = first(academies, academy, ["address"]).select(F.col("name").alias("destination_name"), F.col("f.address").alias("destination_address"), (F.col("f.address") if query is None else F.lit(query)).alias("geocoded"))
+    placed, _ = geocode(b, cache, lookup, "geocoded")
+    lat, lon = fallback or (None, None)
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    ends = placed.select(
+        "destination_name", "destination_address", F.col("geocoded").alias("destination_geocode_query"),
+        *(F.when(known, F.col(c)).otherwise(F.lit(x).cast("double")).alias(f"destination_{c}") for c, x in (("lat", lat), ("lon", lon))),
+    )
+    return a.join(ends, F.lit(True))

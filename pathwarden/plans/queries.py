@@ -6,6 +6,7 @@ ties off the boundary, where the order of a sum would decide the digit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from pathwarden import adapters as A
 from pathwarden.functions import roads
 from pathwarden.functions.semantics import clean_text
-from pathwarden.operators import evidence, graph, metrics, models, quality, regions, reports, routes, schools, scoring, segments, spatial
-from pathwarden.sources.remote import demo_graph
+from pathwarden.operators import evaluation, evidence, graph, metrics, models, quality, regions, reports, routes, schools, scoring, segments, spatial
+from pathwarden.sources.remote import DEMO_FEATURES, DEMO_SAFE, demo_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -671,10 +672,16 @@ def algorithm_evaluation(spark, sf_dir):
     return routes.certification(routes.search_history(g, routes.requests(_pairs(g), [("shortest", None), ("safest", None), ("balanced", 0.5)])))
 
 
-@query("""WITH n AS (SELECT i // 5 AS r, i % 5 AS c FROM (SELECT unnest(range(0, 25)) AS i)), s AS (SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(a, b))
-SELECT 'N' || r || '_' || c AS u, 'N' || (r + a) || '_' || (c + b) AS v, CASE WHEN r = 2 AND r + a = 2 THEN 90.0 ELSE 110.0 END::DOUBLE AS length FROM n, s WHERE r + a BETWEEN 0 AND 4 AND c + b BETWEEN 0 AND 4""")
+_DEMO_SQL = "n AS (SELECT side, i // side AS r, i % side AS c FROM (SELECT side, unnest(range(0, side * side)) AS i FROM (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM customer))), s AS (SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(a, b)), e AS (SELECT 'N' || r || '_' || c AS u, 'N' || (r + a) || '_' || (c + b) AS v, CASE WHEN a = 0 THEN 90.0 ELSE 110.0 END::DOUBLE AS length, r = 2 AND r + a = 2 AS risky, r + r + a <= 2 AS kept FROM n, s WHERE r + a BETWEEN 0 AND side - 1 AND c + b BETWEEN 0 AND side - 1), f AS (SELECT u, v, length, " + ", ".join(
+    f"CASE WHEN risky THEN {a}::DOUBLE ELSE {b}::DOUBLE END{' * 5' if f == 'accident_count_norm' else ''} AS {f.replace('accident_count_norm', 'accident_count')}" for f, (a, b) in DEMO_FEATURES.items()
+) + ", " + ", ".join(f"kept::INT AS {f}" for f in DEMO_SAFE) + " FROM e)"
+
+
+@query(f"WITH {_DEMO_SQL} SELECT u, v, length, {q6('accident_count / 5')} AS accident_count_norm, light_density_norm, has_signal::INT AS has_signal, is_school_zone, {q6(_CMCS)} AS cmcs FROM f")
 def demo_edges(spark, sf_dir):
-    return demo_graph(spark)[1].select("u", "v", "length")
+    """The demonstration's grid with a node for each customer (rounded up to a square)."""
+    side = math.ceil(math.sqrt(A.table(spark, sf_dir, "customer").count()))
+    return demo_graph(spark, side)[1].select("u", "v", "length", r6("accident_count_norm").alias("accident_count_norm"), "light_density_norm", "has_signal", "is_school_zone", r6("cmcs").alias("cmcs"))
 
 
 # Samples and unions
@@ -752,6 +759,55 @@ def spearman_evidence(spark, sf_dir):
     return evidence.spearman_evidence(A.segments(spark, sf_dir), features=_TAB)
 
 
+def _evidence_cells(spark, sf_dir):
+    return regions.evidence_table(A.segments(spark, sf_dir), evidence.FEATURES).withColumn("cell", F.concat_ws("/", "district", "region_x", "region_y"))
+
+
+@query()
+def poisson_evidence(spark, sf_dir):
+    return models.poisson_evidence(_evidence_cells(spark, sf_dir), evidence.FEATURES, "accident_count", "district")
+
+
+@query()
+def logistic_evidence(spark, sf_dir):
+    return models.logistic_evidence(_evidence_cells(spark, sf_dir), evidence.FEATURES, "accident_label", "district")
+
+
+@query()
+def derived_weights(spark, sf_dir):
+    """The weights that all four channels give, with each channel's score."""
+    weights, channels = evidence.derive_weights(_evidence_cells(spark, sf_dir))
+    each = channels.groupBy("feature").pivot("channel", ["spearman", "poisson", "logistic", "moran"]).agg(F.first("score"))
+    dims = weights.dimensions | {"safety_bonus": None}
+    rows = [(d, dims[d], f, float(w)) for d, f, w in weights.rows()]
+    return spark.createDataFrame(rows, "dimension string, dimension_weight double, feature string, sub_weight double").join(each, "feature")
+
+
+# The final evaluation: predictions of accidents by traffic, held against the batch of routes.
+_GATES = [
+    ("ranking", "CASE WHEN roc_auc >= 0.7 AND average_precision / prevalence >= 2 THEN 'good' ELSE 'poor' END", {"roc_auc": "roc_auc", "average_precision": "average_precision", "ap_lift": "average_precision / prevalence"}),
+    ("missed_risk", "CASE WHEN recall >= 0.65 THEN 'conditional' ELSE 'poor' END", {"recall": "recall", "positives": "positives", "fn": "missed"}),
+    ("seed_stability", "'poor'", {"least_seed_f1": "NULL", "seed_deviation": "NULL"}),
+    ("calibration", "CASE WHEN skill >= 0.1 AND recall >= 0.7 THEN 'conditional' ELSE 'poor' END", {"brier": "brier", "brier_skill": "skill", "ece": "ece"}),
+    ("spatial", "'conditional'", {"least_district_f1": "least", "most_district_f1": "most"}), ("temporal", "'poor'", {"split_auc": "0", "split_brier": "1", "dummy_brier": "1"}), ("completeness", "'poor'", {"least_pass_rate": "NULL", "positives": "positives"}),
+    ("routes", "CASE WHEN stable THEN 'good' ELSE 'conditional' END", {"evaluated": "evaluated", "positive_share": "positive_share", "median_reduction": "median_reduction"}), ("deployment", "'poor'", {"brier_skill": "skill", "recall": "recall"}),
+]
+_OD_SQL = ORACLES["od_batch"].removeprefix("WITH RECURSIVE ")
+_EVAL_SQL = f"""WITH RECURSIVE od AS (WITH RECURSIVE {_OD_SQL}), ec AS ({ORACLES['ece']}), {_RANK_SQL.replace("coalesce(district, 'none') AS g", "'all' AS g")}, d AS (SELECT coalesce(district, 'none') AS g, (accident_count > 0)::INT AS y, round(traffic_volume_norm, 3) AS p FROM {A.segments_sql(_PRED)} s),
+h AS (SELECT d.g, y, (p >= t)::INT AS hit FROM d, (SELECT t FROM k WHERE n = 1)), x AS (SELECT g, count(*) FILTER (WHERE y = 1 AND hit = 1) AS tp, count(*) FILTER (WHERE y = 0 AND hit = 1) AS fp, count(*) FILTER (WHERE y = 1 AND hit = 0) AS fn FROM h GROUP BY 1),
+z AS (SELECT coalesce(sum(tp) / nullif(sum(tp + fn), 0)::DOUBLE, 0) AS recall, sum(fn) AS missed, sum(tp + fn) AS positives, min(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS least, max(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS most FROM x),
+o AS (SELECT m.*, z.*, ec.ece, od.* EXCLUDE (mean_detour), 1 - brier / (prevalence * (1 - prevalence)) AS skill FROM m, z, ec, od)
+""" + " UNION ALL ".join(f"SELECT '{a}' AS area, '{m}' AS measure, {q6(e)} AS value, {st} AS state FROM o" for a, st, ms in _GATES for m, e in ms.items())
+
+
+@query(_EVAL_SQL)
+def final_evaluation(spark, sf_dir):
+    p = _predictions(spark, sf_dir).select(F.col("g").alias("district"), F.col("y").alias("accident_label"), F.col("p").alias("oof_risk_probability"))
+    d = evaluation.judged(p).persist()
+    gates = evaluation.safety_gates(evaluation.overall(d), evaluation.by_district(d), QUERIES["od_batch"](spark, sf_dir))
+    return gates.withColumn("value", r6("value"))
+
+
 # Schools, accident places and the score's inputs
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 AND c_acctbal IS NOT NULL")
 def school_filter(spark, sf_dir):

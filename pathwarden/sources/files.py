@@ -46,7 +46,10 @@ def try_csv(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """A CSV with a header; with ``bom`` each file starts with the mark that spreadsheets look for."""
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], f"\ufeff{df.columns[0]}")
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

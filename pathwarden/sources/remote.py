@@ -103,6 +103,30 @@ def fetch_all(jobs: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataF
     return out, bad
 
 
+def collect(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]], folder: str, refresh: bool = False) -> tuple[dict[str, int], dict[str, str]]:
+    """(rows, failures) by dataset of ``folder``: those stored there are counted, others (all, with ``refresh``) are fetched and stored first.
+
+    A dataset whose fetch fails keeps what was stored before, and counts that.
+    """
+    counts, bad = {}, {}
+    for name, job in jobs.items():
+        path = f"{folder.rstrip('/')}/{name}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+        if refresh or not fs.exists(done):
+            got, why = fetch_all({name: job})
+            if not why:
+                # Stored beside first: an overwrite that fails half-way would lose what was there.
+                _, why = fetch_all({name: lambda df=got[name], to=f"{path}.new": df.write.mode("overwrite").parquet(to)})
+            if not why:
+                old, new = done.getParent(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+                fs.delete(old, True)
+                fs.rename(new, old)
+            bad |= why
+        counts[name] = spark.read.parquet(path).count() if fs.exists(done) else 0
+    return counts, bad
+
+
 def xml_items(bodies: DataFrame, schema: str) -> DataFrame:
     """Items of XML bodies (column body): ``schema`` is that of one item."""
     whole = F.from_xml("body", f"body struct<items:struct<item:array<struct<{schema}>>>>")
@@ -125,14 +149,27 @@ def geocode(addresses: DataFrame, cache: DataFrame, lookup: Callable[[str], tupl
     return addresses.join(whole.withColumnRenamed("address", column), column, "left"), whole
 
 
+# The demonstration's features on the risky row and elsewhere.
+DEMO_FEATURES = {
+    "accident_count_norm": (0.90, 0.08), "traffic_volume_norm": (0.85, 0.18), "avg_speed_norm": (0.80, 0.20), "narrow_sidewalk_norm": (0.75, 0.18), "slope_norm": (0.12, 0.12), "is_alley": (1, 0),
+    "pedestrian_flow_norm": (0.70, 0.22), "academy_density_norm": (0.82, 0.15), "bus_stop_nearby_norm": (0.65, 0.10), "illegal_parking_norm": (0.88, 0.10), "light_density_norm": (0.28, 0.88),
+    "has_crosswalk": (0, 1), "has_signal": (0, 1), "lane_count_norm": (0.80, 0.15),
+}
+DEMO_SAFE = ("has_speed_bump", "has_cctv", "is_school_zone")
+
+
 def demo_graph(spark: SparkSession, size: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a grid with both directions; edges in the middle row are risky."""
-    n = spark.range(size * size).select((F.col("id") / size).cast("int").alias("row"), (F.col("id") % size).cast("int").alias("col"))
+    """(nodes, edges) of a grid with both directions, the score's features and the score; edges along row 2 are risky, those up to between rows 1 and 2 well kept."""
+    from pathwarden.operators.scoring import score
+
+    n = spark.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("row"), (F.col("id") % size).cast("int").alias("col"))
     name = lambda r, c: F.concat(F.lit("N"), r.cast("string"), F.lit("_"), c.cast("string"))
     nodes = n.select(name(F.col("row"), F.col("col")).alias("node"), (F.lit(127.38) + F.col("col") * 0.001).alias("x"), (F.lit(36.35) + F.col("row") * 0.001).alias("y"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s")
     e = n.select("row", "col", steps).select("row", "col", (F.col("row") + F.col("s.dr")).alias("r2"), (F.col("col") + F.col("s.dc")).alias("c2")).where(F.col("r2").between(0, size - 1) & F.col("c2").between(0, size - 1))
-    risky = (F.col("row") == size // 2) & (F.col("r2") == size // 2)
+    risky, kept = (F.col("row") == 2) & (F.col("r2") == 2), (F.col("row") + F.col("r2")) / 2 <= 1.25
     u, v = name(F.col("row"), F.col("col")), name(F.col("r2"), F.col("c2"))
-    edges = e.select(u.alias("u"), v.alias("v"), F.concat_ws("-", F.lit("E"), u, v, F.lit("0")).alias("edge_id"), F.when(risky, 90.0).otherwise(110.0).alias("length"), F.when(risky, 0.9).otherwise(0.15).alias("cmcs"))
-    return nodes, edges
+    length = F.when(F.col("row") == F.col("r2"), 90.0).otherwise(110.0)
+    features = [F.when(risky, a).otherwise(b).alias(f) for f, (a, b) in DEMO_FEATURES.items()] + [kept.cast("int").alias(f) for f in DEMO_SAFE]
+    edges = e.select(u.alias("u"), v.alias("v"), F.concat_ws("-", F.lit("E"), u, v, F.lit("0")).alias("edge_id"), length.alias("length"), length.alias("length_m"), *features)
+    return nodes, score(edges).drop("cmcs_weight_source")

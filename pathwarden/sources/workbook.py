@@ -109,16 +109,20 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, sheet string, row long, cells array<string>")
 
 
-def academy_counts(cells: DataFrame) -> DataFrame:
-    """(district, count) of different (name, address) places, counted in each sheet of :func:`read_workbooks` that has both columns; the first row is the header.
-
-    A place without name or address, or whose address names no district, doesn't count.
-    """
+def places(cells: DataFrame) -> DataFrame:
+    """(file, sheet, row, name, address) of each sheet of :func:`read_workbooks` that has both columns; the first row is the header."""
     at = lambda test: F.array_min(F.filter(F.transform("cells", lambda c, i: F.when(test(c), i)), lambda i: i.isNotNull()))
     first = cells.groupBy("file", "sheet").agg(F.min_by("cells", "row").alias("cells"), F.min("row").alias("head"))
     heads = first.select("file", "sheet", "head", at(lambda c: c.contains(ADDRESS_PART)).alias("address_at"), at(lambda c: c.isin(*NAME_HEADERS)).alias("name_at"))
     usable = heads.where("address_at is not null and name_at is not null")
-    places = cells.join(usable, ["file", "sheet"]).where(F.col("row") > F.col("head"))
-    places = places.select("file", "sheet", F.get("cells", F.col("name_at").cast("int")).alias("name"), F.get("cells", F.col("address_at").cast("int")).alias("address"))
-    unique = places.where("name is not null and address is not null").distinct()
+    rows = cells.join(usable, ["file", "sheet"]).where(F.col("row") > F.col("head"))
+    return rows.select("file", "sheet", "row", F.get("cells", F.col("name_at").cast("int")).alias("name"), F.get("cells", F.col("address_at").cast("int")).alias("address"))
+
+
+def academy_counts(cells: DataFrame) -> DataFrame:
+    """(district, count) of different (name, address) :func:`places`, counted in each sheet.
+
+    A place without name or address, or whose address names no district, doesn't count.
+    """
+    unique = places(cells).drop("row").where("name is not null and address is not null").distinct()
     return unique.select(extract_district(F.col("address")).alias("district")).where("district is not null").groupBy("district").agg(F.count(F.lit(1)).alias("count"))
