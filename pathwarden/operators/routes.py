@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,13 @@ def local_rows(edges: DataFrame) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def route_many(edges: DataFrame, requests: DataFrame, ants: bool = False, colony: Colony = Colony(), budget: float | None = None) -> DataFrame:  # noqa: B008
+def route_many(edges: DataFrame, requests: DataFrame, ants: bool = False, colony: Colony = Colony(), budget: float | None = None, shared: Broadcast | None = None) -> DataFrame:  # noqa: B008
     """A row per request (origin, destination, mode, lam, limit) that has a route.
 
     Modes are shortest, safest and balanced.  Requests are dealt to all executors; unknown nodes and
-    requests without a path give no row.
+    requests without a path give no row.  ``shared`` holds :func:`local_rows` of ``edges`` where several calls share them.
     """
-    shared = edges.sparkSession.sparkContext.broadcast(local_rows(edges))
+    shared = shared or edges.sparkSession.sparkContext.broadcast(local_rows(edges))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = Local.of(shared.value)
@@ -99,10 +100,11 @@ def requests(pairs: DataFrame, modes: list[tuple[str, float | None]], limits: Da
 
 def compare(edges: DataFrame, pairs: DataFrame, max_detour: float | None = None, lam: float = 0.5, ants: bool = False, colony: Colony = Colony()) -> DataFrame:  # noqa: B008
     """Shortest, safest and balanced routes of each pair beside the shortest."""
-    base = route_many(edges, requests(pairs.distinct(), [("shortest", None)]), ants, colony)
+    shared = edges.sparkSession.sparkContext.broadcast(local_rows(edges))
+    base = route_many(edges, requests(pairs.distinct(), [("shortest", None)]), ants, colony, shared=shared)
     base = base.persist()
     limit = F.lit(None).cast("double") if max_detour is None else F.bround("distance", 2) * max_detour
-    others = route_many(edges, requests(base.select("origin", "destination"), [("safest", None), ("balanced", lam)], base.select("origin", "destination", limit.alias("limit"))), ants, colony)
+    others = route_many(edges, requests(base.select("origin", "destination"), [("safest", None), ("balanced", lam)], base.select("origin", "destination", limit.alias("limit"))), ants, colony, shared=shared)
     b = base.select("origin", "destination", F.bround("distance", 2).alias("_d"), F.bround("exposure", 4).alias("_x"))
     out = base.unionByName(others).withColumns({"distance": F.bround("distance", 2), "exposure": F.bround("exposure", 4)}).join(b, ["origin", "destination"])
     return out.withColumns({

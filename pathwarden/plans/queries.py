@@ -338,9 +338,9 @@ def nearby_ratio(spark, sf_dir):
     return df.select("origin", r6("ratio").alias("ratio"), r6("mean").alias("mean"))
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT origin, {q6('min(d)')} AS distance FROM pr GROUP BY 1")
+@query(f"WITH {_PAIRS_SQL} SELECT origin, arg_min(target, (d, target)) AS target, {q6('min(d)')} AS distance FROM pr GROUP BY 1")
 def nearest_facility(spark, sf_dir):
-    return spatial.nearest(*A.facilities(spark, sf_dir), "origin", "target").select("origin", r6("distance").alias("distance"))
+    return spatial.nearest(*A.facilities(spark, sf_dir), "origin", "target").select("origin", "target", r6("distance").alias("distance"))
 
 
 _PLANE = "SELECT s_suppkey AS id, (s_suppkey * 7919 % 10007)::DOUBLE AS x, (s_suppkey * 104729 % 10009)::DOUBLE AS y FROM supplier"
