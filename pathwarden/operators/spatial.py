@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathwarden.functions.geo import cell, haversine, in_polygon, polyline_distance2, segment_distance2
 from pathwarden.operators.ordering import numbered
-from pathwarden.storage import ready
+from pathwarden.storage import discard, stored
 
 _METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180
 _HALF_WAY = 20_100_000.0
@@ -229,22 +229,52 @@ def district_pairs(points: DataFrame, key: str, name: str, district: str, count:
 
 
 def clusters(points: DataFrame, key: str, radius: float = 400.0) -> DataFrame:
-    """(key, cluster): points chained by steps of at most ``radius`` metres; the cluster is its smallest key."""
-    edges = earth_pairs(points, points, radius).where(F.col(f"l_{key}") < F.col(f"r_{key}")).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
-    return points.select(key).join(least_labels(edges).withColumnRenamed("node", key), key, "left").select(key, F.coalesce("label", key).alias("cluster"))
+    """(key, cluster): points chained by steps of at most ``radius`` metres; the cluster is its smallest key.
+
+    Points of a cell whose diagonal is shorter than the radius are chained anyway.  Cells are chained by their outermost points first; point by point
+    goes only what lies in cells that have one of another cluster near.  Points without a place on the globe are alone.
+    """
+    spark, step = points.sparkSession, 0.9 * radius / _METRES_PER_DEGREE / math.sqrt(2)
+    # A cell is as wide as the radius allows at its band's edge nearest the equator.
+    nearest_edge = F.when(F.col("_gb") >= 0, F.col("_gb")).otherwise(-F.col("_gb") - 1) * step
+    wide = step / F.greatest(F.cos(F.radians(nearest_edge)), F.lit(1e-3))
+    known = F.col("lat").between(-90, 90) & F.col("lon").isNotNull() & ~F.isnan("lon")
+    banded = points.where(known).select(key, "lat", "lon").withColumn("_gb", F.floor(F.col("lat") / step).cast("long"))
+    placed, own_at = stored(banded.withColumn("_gc", F.floor(F.col("lon") / wide).cast("long")))
+    ends = [f(F.struct(*by)).alias(f"_e{i}") for i, (f, by) in enumerate((f, by) for f in (F.min, F.max) for by in (("lat", "lon"), ("lon", "lat")))]
+    cells, cells_at = stored(placed.groupBy("_gb", "_gc").agg(F.min(key).alias("_rep"), *ends))
+    place = lambda e: F.struct(e["lat"].alias("lat"), e["lon"].alias("lon"))
+    outer = cells.select("_rep", F.explode(F.array_distinct(F.array(*(place(F.col(f"_e{i}")) for i in range(4))))).alias("e")).select("_rep", "e.*")
+    pair = lambda df, a, b: df.where(F.col(a) < F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    # A key that comes again chains its places.
+    again = placed.join(cells.select("_gb", "_gc", "_rep"), ["_gb", "_gc"]).groupBy(key).agg(F.min("_rep").alias("_lo"), F.collect_set("_rep").alias("_reps")).where(F.size("_reps") > 1)
+    links = pair(earth_pairs(outer, outer, radius), "l__rep", "r__rep").unionByName(pair(again.select("_lo", F.explode("_reps").alias("_rep")), "_lo", "_rep"))
+    chained = cells.join(least_labels(links).withColumnRenamed("node", "_rep"), "_rep", "left").select("_gb", "_gc", "_rep", F.coalesce("label", "_rep").alias("_label"), "_e0.lat", "_e0.lon")
+    chained, chained_at = stored(chained)
+    one = chained.select("_rep", "_label", "lat", "lon")
+    # Points within the radius of each other are in cells whose first points are within it and two diagonals.
+    open_ = earth_pairs(one, one, 2.8 * radius).where("l__label <> r__label").select(F.col("l__rep").alias("_rep")).distinct()
+    rest = placed.join(chained.join(open_, "_rep", "left_semi").select("_gb", "_gc", "_label"), ["_gb", "_gc"]).select("_label", "lat", "lon")
+    more = least_labels(pair(earth_pairs(rest, rest, radius), "l__label", "r__label")).select(F.col("node").alias("_label"), "label")
+    final = chained.join(more, "_label", "left").select("_gb", "_gc", F.coalesce("label", "_label").alias("cluster"))
+    labels, _ = stored(placed.join(final, ["_gb", "_gc"]).groupBy(key).agg(F.min("cluster").alias("cluster")))
+    discard(spark, own_at, cells_at, chained_at)
+    return points.select(key).join(labels, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
 def least_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component; lineage is cut by reliable checkpoints."""
-    ready(edges.sparkSession)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
+    """(node, label): the smallest node of each connected component; every round is stored, so that neither lineage nor plan grows."""
+    spark = edges.sparkSession
+    both, both_at = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, at = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = low.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint()
-        labels = jump.select("node", "label")
+        jump, then_at = stored(low.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")))
+        discard(spark, at)
+        labels, at = jump.select("node", "label"), then_at
         if not jump.where("was <> label").limit(1).count():
+            discard(spark, both_at)
             return labels
 
 

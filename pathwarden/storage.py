@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in local tests.
@@ -26,3 +28,22 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder now and read from there ever after."""
     ready(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a columnar table in the shared folder and read from there, and the path for :func:`discard`.
+
+    Readers take the columns they need.  What is read knows nothing of the plan behind it; a checkpoint keeps the plan's constraints, which
+    multiply with every round of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that :func:`stored` wrote, through the file system they are in."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

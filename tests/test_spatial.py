@@ -108,3 +108,28 @@ def test_buffers_reach_between_vertices(spark):
     route = spark.createDataFrame([([(0.0, 0.0), (1000.0, 0.0)],)], f"line {line}")
     assert {r["edge"] for r in spatial.route_buffer(df, route, "edge", 100.0).collect()} == {"cross", "beside", "dot"}
     assert spatial.route_buffer(df, route.where("false"), "edge").count() == 5
+
+
+def test_clusters_are_those_of_all_pairs(spark):
+    rng = random.Random(11)
+    spots = [(rng.uniform(36.2, 36.5), rng.uniform(127.3, 127.6)) for _ in range(12)] + [(36.3, 179.999), (36.3, -179.999), (-0.0001, 10.0), (0.0001, 10.0), (89.99, 0.0), (89.99, 120.0)]
+    points = [(i, spots[i % len(spots)][0] + rng.uniform(-0.012, 0.012) * (i % 18 < 12), (spots[i % len(spots)][1] + rng.uniform(-0.012, 0.012) + 180) % 360 - 180) for i in range(900)]
+    df = spark.createDataFrame([*points, (5000, None, 1.0), (5001, 36.3, float("nan")), (3, 10.0, 10.0)], "id long, lat double, lon double")
+    for radius in (60.0, 400.0):
+        least = {i: i for i, _, _ in points}
+        find = lambda i: i if least[i] == i else find(least[i])  # noqa: B023, E731
+        for a in points:
+            for b in points[: a[0]]:
+                if metres(a[1:], b[1:]) <= radius:
+                    x, y = sorted((find(a[0]), find(b[0])))
+                    least[y] = x
+        got = {r["id"]: r["cluster"] for r in spatial.clusters(df, "id", radius).collect()}
+        assert got == {i: find(i) for i in least} | {5000: 5000, 5001: 5001}
+
+
+def test_rounds_of_labels_keep_no_plan(spark):
+    """A chain of 200 nodes takes many rounds; with checkpoints their constraints doubled each time, until the driver had no memory left."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    got = spatial.least_labels(edges)
+    assert {r["label"] for r in got.collect()} == {0}
+    assert got._jdf.queryExecution().analyzed().constraints().size() <= 2 * len(got.columns)
