@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pathwarden.functions.semantics import bounded, clean_text, clip, first_existing, is_close, number, to_double
 from pathwarden.operators.ordering import AT_ONCE, quantiles
+from pathwarden.storage import stored
 
 # The city's bounds in degrees, inclusive.
 LAT_MIN, LAT_MAX, LON_MIN, LON_MAX = 36.18, 36.55, 127.29, 127.62
@@ -91,7 +92,8 @@ def _clipped(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, f
 
 
 def winsorize(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
-    """``columns`` without negatives and clipped to their 0.5 % and 99.5 % quantiles."""
+    """``columns`` without negatives and clipped to their 0.5 % and 99.5 % quantiles; ``df`` is stored, since bounds and rows take several passes."""
+    df, _ = stored(df)
     bounds = winsor_bounds(df, columns)[0]
     return _clipped(df, columns, bounds), {c: (round(a, 6), round(b, 6)) for c, (a, b) in bounds.items()}
 
@@ -176,7 +178,8 @@ def analysis_columns(columns: list[str]) -> tuple[list[str], list[str], list[str
 
 
 def prepare_for_analysis(df: DataFrame) -> tuple[DataFrame, dict]:
-    """Medians for missing values, winsorised counts, normalised columns within 0 and 1, flags above q3 + 3 IQR."""
+    """Medians for missing values, winsorised counts, normalised columns within 0 and 1, flags above q3 + 3 IQR; ``df`` is stored for the passes that this takes."""
+    df, _ = stored(df)
     norm, counts, numeric = analysis_columns(df.columns)
     raw, rows = df, df.count()
     df = df.withColumns({f"_raw_{c}": F.col(c) for c in numeric} | {c: number(raw, c) for c in numeric})
