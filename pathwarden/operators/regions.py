@@ -9,6 +9,7 @@ from pathwarden.adapters import HIGHWAYS
 from pathwarden.functions.geo import cell
 from pathwarden.functions.semantics import number
 from pathwarden.operators.quality import keep_first, prepare_for_analysis
+from pathwarden.storage import stored
 
 UNASSIGNED = "미분류"
 # The features of the regional model.
@@ -94,12 +95,13 @@ def district_summary(df: DataFrame, final: str = "cmcs_final") -> DataFrame:
 
 
 def evidence_table(df: DataFrame, features: list[str], cell_size: float = 500.0) -> DataFrame:
-    """The cells from which weights are learned: mean features, centres, length, greatest accident count and label."""
+    """The cells from which weights are learned, stored: mean features, centres, length, greatest accident count and label."""
     clean, _ = prepare_for_analysis(df)
     u = unique_segments(clean).withColumn("district", F.coalesce("district", F.lit(UNASSIGNED))).where("center_x is not null and center_y is not null")
     u = u.withColumns({"light_deficit": 1 - F.coalesce("light_density_norm", F.lit(0.5)), "crosswalk_deficit": 1 - F.col("has_crosswalk"), "signal_deficit": 1 - F.col("has_signal")})
     u = u.withColumns({"region_x": cell(F.col("center_x"), cell_size), "region_y": cell(F.col("center_y"), cell_size)})
-    return u.groupBy("district", "region_x", "region_y").agg(
+    cells = u.groupBy("district", "region_x", "region_y").agg(
         *[F.avg(c).alias(c) for c in features], F.avg("center_x").alias("center_x"), F.avg("center_y").alias("center_y"), F.count("*").alias("segment_count"),
         F.sum("length_m").alias("length_m"), F.max("accident_count").alias("accident_count"), F.max((F.col("accident_count") > 0).cast("int")).alias("accident_label"),
     )
+    return stored(cells)[0]

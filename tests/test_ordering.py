@@ -66,3 +66,29 @@ def test_exact_quantiles_either_way(spark):
         for c, v in columns.items():
             assert np.allclose(got[c], np.quantile(v[~np.isnan(v)], ps), rtol=1e-12, atol=1e-12), c
     assert ordering.quantiles(df.limit(0), {"x": (F.col("spread"), ps)}) == {"x": None}
+
+
+def test_input_is_computed_once_however_many_passes(spark):
+    from pathwarden.operators import evidence, quality, regions, scoring
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    def told(df):
+        return df.mapInPandas(counted, df.schema)
+
+    plain = spark.range(500).select(F.concat(F.lit("S"), "id").alias("segment_id"), F.lit("D").alias("district"), (F.col("id") % 40 * 100.0).alias("center_x"), (F.col("id") * 7 % 90 * 100.0).alias("center_y"),
+        (F.col("id") % 50 + 1.0).alias("length_m"), (F.col("id") % 3).alias("accident_count"), (F.col("id") % 97).alias("crosswalk_count"), (F.col("id") % 89 / 89.0).alias("cmcs"), (F.col("id") % 2).alias("has_crosswalk"), (F.col("id") % 5 == 0).cast("int").alias("has_signal"),
+        *((F.col("id") % (11 + i) / 20.0).alias(f) for i, f in enumerate(f for f in [*evidence.FEATURES, "light_density_norm"] if not f.endswith("deficit"))))
+    for work in (
+        lambda df: ordering.quantiles(df, {"a": (F.col("cmcs"), [0.1, 0.7]), "b": (F.col("length_m"), [0.5])}, rows=500, at_once=20),
+        lambda df: scoring.risk_classes(scoring.risk_score(df)[0]).count(), lambda df: quality.winsorize(df, ["crosswalk_count"])[0].count(), lambda df: quality.prepare_for_analysis(df)[0].count(),
+        lambda df: (lambda cells: cells.count() + cells.distinct().count())(regions.evidence_table(df, evidence.FEATURES)),
+    ):
+        seen.value = 0
+        cells = work(told(plain))
+        assert cells and seen.value == 500
