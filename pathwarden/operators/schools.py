@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathwarden.functions.semantics import to_double
-from pathwarden.operators.spatial import clusters, earth_pairs, nearest
+from pathwarden.operators.spatial import clusters, met, nearest
 
 # What a counted school has in the columns of the national list, and the names of its coordinates.
 OPERATING = {"시도교육청명": "대전광역시교육청", "학교급구분": "초등학교", "운영상태": "운영"}
@@ -36,7 +36,7 @@ def around(schools: DataFrame, layer: DataFrame, key: str, name: str, flags: dic
     One join at the greatest radius and one aggregation, whatever the number of columns.
     """
     slim = layer.where("lat is not null and lon is not null").select("lat", "lon", *flags, *[to_double(c).alias(c) for c in numbers])
-    pairs = earth_pairs(schools.select(key, "lat", "lon"), slim, max(RADII))
+    pairs = met(schools.select(key, "lat", "lon"), slim, max(RADII))
     close = F.col("d") <= NEAR
     share = lambda c: F.try_divide(F.count_if(close & (F.upper(F.col(f"r_{c}").cast("string")) == "Y")), F.count_if(close))
     made = {f"{name}_count_{r}m": F.count_if(F.col("d") <= r) for r in RADII} | {out: share(c) for c, out in flags.items()} | {out: F.avg(F.when(close, F.col(f"r_{c}"))) for c, out in numbers.items()}

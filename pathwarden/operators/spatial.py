@@ -55,16 +55,33 @@ def earth_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return l.join(r, ["_b", "_c"]).withColumn("d", haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("d") <= radius).drop("_b", "_c")
 
 
+def met(origins: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """:func:`earth_pairs`, with the side of fewer rows dealt to the cells around it: the other one moves once."""
+    if origins.count() > targets.count():
+        return earth_pairs(origins, targets, radius)
+    pairs, other = earth_pairs(targets, origins, radius), {"l_": "r_", "r_": "l_"}
+    return pairs.toDF(*(other.get(c[:2], c[:2]) + c[2:] for c in pairs.columns))
+
+
+def _per_square_metre(points: DataFrame) -> float:
+    """How dense points are in their box, roughly."""
+    r = points.agg(F.count("lat").alias("n"), *(f(c).alias(f"{n}{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not r["n"] or r["lolon"] is None:
+        return 0.0
+    wide = (r["hilon"] - r["lolon"]) * math.cos(math.radians((r["hilat"] + r["lolat"]) / 2))
+    return r["n"] / max((r["hilat"] - r["lolat"]) * abs(wide) * _METRES_PER_DEGREE**2, 1.0)
+
+
 def radius_counts(origins: DataFrame, targets: DataFrame, key: str, radii: list[int]) -> DataFrame:
     """Targets within each radius of every origin: one join at the greatest radius, one aggregation."""
-    pairs = earth_pairs(origins, targets, max(radii))
+    pairs = met(origins, targets, max(radii))
     counted = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(*[F.count_if(F.col("d") <= r).alias(f"within_{r}") for r in radii])
     return origins.select(key).join(counted, key, "left").na.fill(0, [f"within_{r}" for r in radii])
 
 
 def nearby_stats(origins: DataFrame, targets: DataFrame, key: str, flag: str, number: str, radius: float) -> DataFrame:
     """The share of ``flag`` = Y and the mean of ``number`` within a radius; 0 where there is none."""
-    pairs = earth_pairs(origins, targets, radius)
+    pairs = met(origins, targets, radius)
     x = F.col(f"r_{number}")
     got = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(
         F.try_divide(F.count_if(F.upper(F.col(f"r_{flag}")) == "Y"), F.count("*")).alias("ratio"), F.avg(F.when(~F.isnan(x), x)).alias("mean"))
@@ -75,19 +92,24 @@ def nearest(origins: DataFrame, targets: DataFrame, key: str, target: str, start
     """The nearest target of every origin and its distance, the smallest ``target`` on ties.
 
     Searches within a radius that grows fourfold for the origins still without a hit, so dense
-    places cost little and lonely ones are found all the same; the last radius is half the way round the earth.
+    places cost little and lonely ones are found all the same; the last radius is half the way round the earth.  The first is ``start_radius``,
+    or less where targets lie so close that some ten are within less.  Every round is stored.
     """
-    left, out, radius = origins.select(key, "lat", "lon"), None, start_radius
+    left, out, spark = origins.select(key, "lat", "lon"), None, origins.sparkSession
     targets = targets.select(target, "lat", "lon")
     if targets.limit(1).count() == 0:
         return origins.select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("distance"))
+    dense = _per_square_metre(targets)
+    radius = max(1.0, min(start_radius, math.sqrt(10 / (math.pi * dense)))) if dense > 0 else start_radius
     while True:
         last = radius >= _HALF_WAY
-        pairs = earth_pairs(left, targets, radius)
+        pairs = met(left, targets, radius)
         hit = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"r_{target}").alias("t"), "d"), F.struct("d", f"r_{target}")).alias("m")).select(key, F.col("m.t").alias(target), F.col("m.d").alias("distance"))
+        hit, _ = stored(hit)
         out = hit if out is None else out.unionByName(hit)
-        rest = left.join(hit, key, "left_anti")
+        rest, at = stored(left.join(hit, key, "left_anti"))
         if last or rest.limit(1).count() == 0:
+            discard(spark, at)
             return out
         left, radius = rest, min(radius * 4, _HALF_WAY)
 
@@ -203,9 +225,25 @@ def within(points: DataFrame, polygons: DataFrame, point: str, name: str, cell_s
 
 
 def band_pairs(points: DataFrame, key: str, lo: float = 700.0, hi: float = 3000.0, want: float = 1600.0) -> DataFrame:
-    """For each point the other at lo..hi metres whose distance is nearest ``want``; each unordered pair once."""
-    pairs = earth_pairs(points, points, hi).where((F.col("d") >= lo) & (F.col(f"l_{key}") != F.col(f"r_{key}")))
-    best = pairs.groupBy(F.col(f"l_{key}").alias("o")).agg(F.min_by(F.struct(F.col(f"r_{key}").alias("t"), "d"), F.struct(F.abs(F.col("d") - want), F.col(f"r_{key}"))).alias("m"))
+    """For each point the other at lo..hi metres whose distance is nearest ``want``; each unordered pair once.
+
+    Looks in a ring around ``want``, at first so narrow that some ten others are in it, and four times as wide for the points still without one.
+    """
+    slim, best = points.select(key, "lat", "lon"), None
+    left, most, dense = slim, max(want - lo, hi - want, 0.0), _per_square_metre(slim)
+    half = min(most, max(1.0, 10 / (4 * math.pi * max(want, 1.0) * dense))) if dense > 0 else most
+    while True:
+        reach = hi if half >= most else min(hi, (want + half) * (1 + 1e-9))
+        pairs = earth_pairs(slim, left, reach).where((F.col("d") >= lo) & (F.col(f"l_{key}") != F.col(f"r_{key}")))
+        pairs = pairs if half >= most else pairs.where(F.abs(F.col("d") - want) <= half)
+        hit, _ = stored(pairs.groupBy(F.col(f"r_{key}").alias("o")).agg(F.min_by(F.struct(F.col(f"l_{key}").alias("t"), "d"), F.struct(F.abs(F.col("d") - want), F.col(f"l_{key}"))).alias("m")))
+        best = hit if best is None else best.unionByName(hit)
+        if half >= most:
+            break
+        left, _ = stored(left.join(hit, left[key] == hit["o"], "left_anti"))
+        if left.limit(1).count() == 0:
+            break
+        half = min(half * 4, most)
     return best.select(F.least("o", "m.t").alias("origin"), F.greatest("o", "m.t").alias("destination"), F.col("m.d").alias("distance")).groupBy("origin", "destination").agg(F.min("distance").alias("distance"))
 
 

@@ -133,3 +133,23 @@ def test_rounds_of_labels_keep_no_plan(spark):
     got = spatial.least_labels(edges)
     assert {r["label"] for r in got.collect()} == {0}
     assert got._jdf.queryExecution().analyzed().constraints().size() <= 2 * len(got.columns)
+
+
+def test_rings_and_radii_follow_the_density(spark, monkeypatch):
+    """Of many pairs within reach, few are sorted by the searches; results are those of all pairs."""
+    rng = random.Random(5)
+    points = [(i, 36.3 + rng.choice([0.0, 0.0, 0.2]) + rng.uniform(0, 0.04), 127.4 + rng.uniform(0, 0.04)) for i in range(600)] + [(900, 36.4, 127.9)]
+    df, kept, made = spark.createDataFrame(points, "id long, lat double, lon double"), spatial.stored, []
+    monkeypatch.setattr(spatial, "stored", lambda d: made.append(d) or kept(d))
+    got = {(r["origin"], r["destination"]) for r in spatial.band_pairs(df, "id").collect()}
+    want = set()
+    for a in points:
+        near = [(abs(d - 1600), b[0]) for b in points if b[0] != a[0] and 700 <= (d := metres(a[1:], b[1:])) <= 3000]
+        if near:
+            want.add(tuple(sorted((a[0], min(near)[1]))))
+    assert got == want and len(made) > 1
+    made.clear()
+    t = df.withColumnRenamed("id", "t")
+    moved = df.withColumn("lat", F.col("lat") + 0.0003)
+    got = {r["id"]: r["t"] for r in spatial.nearest(moved, t, "id", "t").collect()}
+    assert got == {a[0]: min((metres((a[1] + 0.0003, a[2]), b[1:]), b[0]) for b in points)[1] for a in points} and len(made) > 1
