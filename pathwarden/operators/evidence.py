@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pathwarden.operators.ordering import running
 from pathwarden.operators.scoring import Weights
 from pathwarden.operators.spatial import knn
+from pathwarden.storage import stored
 
 # Feature, dimension, expected sign.
 SPECS = [
@@ -192,5 +193,6 @@ def derive_weights(cells: DataFrame, key: str = "cell", target: str = "accident_
     for name, p in parts.items():
         one = p.select(F.lit(name).alias("channel"), "feature", "score")
         all_ = one if all_ is None else all_.unionByName(one)
-    all_ = all_.persist()
+    # A row for each channel and feature, made here and not inside a broadcast, which has a time limit.
+    all_, _ = stored(all_)
     return weights_of(dimension_weights(combine(all_))), all_
