@@ -106,3 +106,30 @@ def test_demo_features(spark, size):
         assert (r["accident_count_norm"] == 0.9) == (row == [2, 2]) and r["is_school_zone"] == int(sum(row) / 2 <= 1.25) and r["length"] == (90.0 if row[0] == row[1] else 110.0)
     if size > 2:
         assert edges.where("accident_count_norm = 0.9").agg({"cmcs": "min"}).first()[0] > edges.where("accident_count_norm < 0.9").agg({"cmcs": "max"}).first()[0] + 0.2
+
+
+def test_rows_counted_once_give_what_all_rows_give(spark, same):
+    from pathwarden.operators import evaluation, metrics, ordering
+
+    rows = [(f"D{i % 3}", None if i % 11 == 0 else int(i * 7 % 5 > 2), None if i % 13 == 0 else (i % 9) / 8.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "district string, accident_label int, oof_risk_probability double")
+    few = evaluation.alike(df)
+    assert few.count() < 80 and few.agg({"n": "sum"}).first()[0] == 400
+    a, b = evaluation.judged(df), evaluation.judged(few, n="n")
+    same(evaluation.overall(a).toPandas(), evaluation.overall(b, "n").toPandas())
+    same(evaluation.by_district(a).toPandas(), evaluation.by_district(b, n="n").toPandas())
+    same(metrics.regional_metrics(a, "y", "p", ["district"]).toPandas(), metrics.regional_metrics(b, "y", "p", ["district"], "n").toPandas())
+    ps = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    want = ordering.quantiles(df, {"p": (df["oof_risk_probability"], ps)})["p"]
+    assert ordering.counted_quantiles(few, "oof_risk_probability", "n", ps) == pytest.approx(want, abs=1e-12)
+    assert ordering.counted_quantiles(few.limit(0), "oof_risk_probability", "n", ps) is None
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    from pyspark.sql import functions as F
+
+    from pathwarden.adapters import whole
+
+    rows = [(x,) for x in (0.0, 0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 0.49999999999999994, 2.4999999999999996, -2.4999999999999996, 0.07 * 100, 0.29 * 100, 1e15 + 0.5, 1e300, None)]
+    got = spark.createDataFrame(rows, "x double").select(whole(F.col("x")).alias("a"), F.round("x").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)
