@@ -4,8 +4,11 @@ A line's tokens are its distinct five-word shingles (with fewer words, the whole
 line), lower-cased.  A line goes if an earlier one, by doc_id and place, has a Jaccard
 similarity of 0.8 or more.  Lines without words stay.
 
-Tokens are ordered by rarity: by the count, over all lines, of the hash bucket they are in
-(``BUCKETS`` numbers, whatever the input), then by hash.  Lines with equal tokens are one class, known by two hashes and by
+Tokens are ordered by hash, those of crowded hash buckets last: a bucket (of ``BUCKETS``, whatever the input) is crowded
+if far more tokens of the stored lines are in it than in the middle one; among these the fuller bucket is the later one.
+Every line keeps its least hashes, some more than its index takes, so its first tokens in the order are known
+without the crowded ones being known before; only classes with too many crowded ones are read again.  The order changes work, not results.
+Lines with equal tokens are one class, known by two hashes and by
 its earliest line.  A class of n tokens is indexed under its first n // 5 + 1 tokens; classes
 that share one are candidates if they pass the length and positional filters, and are verified on
 all tokens.  A class needs but one earlier match: it is first held against the
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 from pathwarden.llm.common import discard, stored
 
 WORDS = 5
-BUCKET_BITS = 12
-BUCKETS = 1 << BUCKET_BITS
+BUCKETS = 1 << 15
+#: A bucket is crowded beyond the middle count by this many times what the middle is above the count that a sixth of them don't reach.
+CROWDED = 6
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -53,26 +57,43 @@ def tokens_of(words: Column) -> Column:
     return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)]))))[0]
 
 
-def rarity(words: DataFrame) -> list[int]:
-    """The place of each hash bucket in the order of its tokens' count."""
-    n = F.greatest(F.size("w") - (WORDS - 1), F.lit(1))
-    runs = words.select(F.explode(F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(WORDS)])).alias("z"))
-    counted = runs.select(F.xxhash64("z.*").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count()
-    counts = {r["b"]: r["count"] for r in counted.collect()}
+def indexed(n: Column) -> Column:
+    """The number of tokens that a class of n is indexed under."""
+    return F.floor(n / 5).cast("int") + 1
+
+
+def bucket_of(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def crowded(lines: DataFrame) -> list[int]:
+    """0 for each bucket that isn't crowded, and the place (from 1) of each that is; counted over the tokens in ``low``."""
+    counted = lines.select(F.explode("low").alias("t")).groupBy(bucket_of(F.col("t")).alias("b")).count()
+    counts = [0] * BUCKETS
+    for r in counted.collect():
+        counts[r["b"]] = r["count"]
+    by_count = sorted(range(BUCKETS), key=lambda b: (counts[b], b))
+    middle = counts[by_count[BUCKETS // 2]]
+    most = middle + CROWDED * max(1, middle - counts[by_count[BUCKETS // 6]])
     place = [0] * BUCKETS
-    for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        place[b] = i
+    for i, b in enumerate(b for b in by_count if counts[b] > most):
+        place[b] = i + 1
     return place
 
 
-def ordered(tokens: Column, place: list[int]) -> Column:
-    """Tokens as numbers that sort by rarity; no two tokens become one.
+def first_tokens(tokens: Column, n: Column, place: list[int]) -> Column:
+    """The first tokens of a class of n in the order, as many as it is indexed under.
 
-    The hash's low bits, which name the bucket, give way to the bucket's place as its high bits.
+    ``tokens`` are its least hashes, ascending; null if these don't tell.
     """
-    high = [(p - BUCKETS // 2) << (64 - BUCKET_BITS) for p in place]
-    table = F.split(F.lit(",".join(map(str, high))), ",").cast("array<bigint>")
-    return F.sort_array(F.transform(tokens, lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(t, BUCKET_BITS))))
+    table = F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
+    level = lambda t: F.get(table, bucket_of(t))
+    k = indexed(n)
+    head = F.slice(tokens, F.lit(1), k)
+    free = F.filter(tokens, lambda t: level(t) == 0)
+    whole = F.transform(F.sort_array(F.transform(tokens, lambda t: F.struct(level(t).alias("level"), t.alias("t")))), lambda s: s["t"])
+    # Most classes have no crowded token among their least hashes.
+    return F.when(~F.exists(head, lambda t: level(t) > 0), head).when(F.size(tokens) == n, F.slice(whole, F.lit(1), k)).when(F.size(free) >= k, F.slice(free, F.lit(1), k))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -94,45 +115,62 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     Rows alike in doc_id and text are one document.  Rows without doc_id come before all others, by the hash of their texts.
     """
     spark = docs.sparkSession
-    words = line_rows(docs)
-    place = rarity(words)
-    some = F.size("w") > 0
-    toks = words.select("doc_id", "tie", "line_no", F.when(some, ordered(tokens_of(F.col("w")), place)).alias("t"))
+    t = F.when(F.size("w") > 0, F.sort_array(tokens_of(F.col("w"))))
+    toks = line_rows(docs).select("doc_id", "tie", "line_no", t.alias("t"))
     n = F.size("t")
     # Two hashes of all tokens and n name the class.
     there = F.col("t").isNotNull()
-    slim = toks.select("doc_id", "tie", "line_no", F.when(there, n).alias("n"), F.when(there, F.xxhash64("t", n)).alias("cls"), F.when(there, F.xxhash64(n, "t")).alias("cls2"), F.slice("t", F.lit(1), F.floor(n / 5).cast("int") + 1).alias("prefix"))
-    all_lines, lines_path = stored(slim, "lines")
+    low = F.slice("t", F.lit(1), indexed(n) + F.floor(n / 10).cast("int") + 1)
+    slim = toks.select("doc_id", "tie", "line_no", F.when(there, n).alias("n"), F.when(there, F.xxhash64("t", n)).alias("cls"), F.when(there, F.xxhash64(n, "t")).alias("cls2"), low.alias("low"))
+    whole_lines, whole_path = stored(slim, "lines")
+    def fetch(wanted: DataFrame) -> tuple[DataFrame, str]:
+        """The tokens of classes (id, first), made anew from their lines."""
+        wanted = wanted.select("id", "first.*")
+        key = lambda doc_id, tie: [F.coalesce(doc_id, F.lit(0)).alias("_doc"), doc_id.isNull().alias("_none"), tie.alias("_tie")]
+        keys = ["_doc", "_none", "_tie"]
+        want_docs = wanted.groupBy(*key(F.col("doc_id"), F.col("tie"))).agg(F.collect_set(F.struct("line_no", "id")).alias("_want"))
+        text = docs.select(*key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").join(want_docs, keys).dropDuplicates(keys)
+        pick = lambda ls: F.transform("_want", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["line_no"]).alias("line")))
+        lines = text.select(F.explode(F.transform(F.array(F.split(spaced(F.col("text")), "\n")), pick)[0]).alias("_w")).select("_w.*")
+        return stored(lines.select("id", F.sort_array(tokens_of(words_of(F.col("line")))).alias("tokens")), "line-sets")
+
     at = F.struct("doc_id", "tie", "line_no")
-    heads = all_lines.where("cls is not null").groupBy("cls", "cls2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    place = crowded(whole_lines.select("low"))
+    open_lines = whole_lines.where(F.col("cls").isNotNull() & first_tokens(F.col("low"), F.col("n"), place).isNull())
+    open_classes = open_lines.groupBy(F.col("cls").alias("id"), "cls2").agg(F.min(at).alias("first"))
+    if open_lines.limit(1).count():
+        # Their other tokens may be crowded too.
+        others, path = fetch(open_classes)
+        place = crowded(whole_lines.select("low").unionByName(others.select(F.col("tokens").alias("low"))))
+        discard(spark, path)
+    heads = whole_lines.where("cls is not null").select("cls", "cls2", at.alias("at"), "n", first_tokens(F.col("low"), F.col("n"), place).alias("prefix"))
+    heads = heads.groupBy("cls", "cls2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # Classes numbered in the order of their earliest lines.
     heads, heads_path = stored(heads.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    bucket, by_size = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("n", "id")
+    all_lines, lines_path = stored(whole_lines.select("doc_id", "tie", "line_no", "cls", "cls2"), "lines")
+    discard(spark, whole_path)
+
     size = F.col("n").cast("long")
-    rows = heads.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
+    told = heads.where("prefix is not null").select("id", "n", "prefix")
+    lacking, again_path = heads.where("prefix is null").select("id", "first"), []
+    if lacking.limit(1).count():
+        again, path = fetch(lacking)
+        again_path = [path]
+        told = told.unionByName(again.select("id", F.size("tokens").alias("n"), first_tokens(F.col("tokens"), F.size("tokens"), place).alias("prefix")))
+    rows = told.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
     # In order of size, a class whose neighbours are too far in size has no partner in the bucket.
-    rows = rows.withColumns({"early": F.min(F.struct("id", "n", "pos")).over(bucket), "below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long")})
-    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4)).select("tok", "id", "n", "pos", "early")
-    buckets, buckets_path = stored(rows, "line-buckets")
+    by_size, bucket = Window.partitionBy("tok").orderBy("n", "id"), Window.partitionBy("tok")
+    rows = rows.withColumns({"below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long")})
+    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4)).select("tok", "id", "n", "pos")
+    # Most rows are gone by here, so few are left for the second window.
+    buckets, buckets_path = stored(rows.withColumn("early", F.min(F.struct("id", "n", "pos")).over(bucket)), "line-buckets")
+    discard(spark, *again_path)
 
     own, early = (lambda c: F.col(c)), (lambda c: F.col(f"early.{c}"))
     votes = buckets.where(own("id") != early("id")).where(_near(own, early)).groupBy("id", early("id").alias("x")).count()
     first, first_path = stored(votes.groupBy(F.col("id").alias("y")).agg(F.max_by("x", F.struct("count", "x")).alias("x")), "line-pairs")
-
-    def fetch(pairs: DataFrame, have: DataFrame | None = None) -> tuple[DataFrame, str]:
-        """The tokens of the classes in ``pairs`` that ``have`` lacks, made anew from their lines."""
-        ids = pairs.select(F.explode(F.array("y", "x")).alias("id")).distinct()
-        if have is not None:
-            ids = ids.join(have.select("id"), "id", "left_anti")
-        wanted = ids.join(heads.select("id", "first"), "id").select("id", "first.*")
-        want_docs = wanted.groupBy(F.col("doc_id").alias("_want_doc"), F.col("tie").alias("_want_tie")).agg(F.collect_set(F.struct("line_no", "id")).alias("_want"))
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-        text = text.join(want_docs, text["doc_id"].eqNullSafe(want_docs["_want_doc"]) & (text["tie"] == want_docs["_want_tie"]))
-        pick = lambda ls: F.transform("_want", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["line_no"]).alias("line")))
-        lines = text.select(F.explode(F.transform(F.array(F.split(spaced(F.col("text")), "\n")), pick)[0]).alias("_w")).select("_w.*")
-        return stored(lines.select("id", ordered(tokens_of(words_of(F.col("line"))), place).alias("tokens")).dropDuplicates(["id"]), "line-sets")
-
-    sets, sets_path = fetch(first)
+    # One reading of the texts serves both rounds of pairs.
+    sets, sets_path = fetch(buckets.select("id").distinct().join(heads.select("id", "first"), "id"))
     gone, gone_path = stored(_verified(first, sets).select("y").distinct(), "lines-gone")
     p, q = buckets.join(gone, buckets["id"] == gone["y"], "left_anti").alias("p"), buckets.alias("q")
     more = (
@@ -142,9 +180,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         .join(first, ["y", "x"], "left_anti")
     )
     more, more_path = stored(more, "line-pairs")
-    others, others_path = fetch(more, sets)
-    gone2, gone2_path = stored(gone.unionByName(_verified(more, sets.unionByName(others)).select("y").distinct()), "lines-gone")
-    discard(spark, buckets_path, first_path, sets_path, gone_path, more_path, others_path)
+    gone2, gone2_path = stored(gone.unionByName(_verified(more, sets).select("y").distinct()), "lines-gone")
+    discard(spark, buckets_path, first_path, sets_path, gone_path, more_path)
     # Only classes of which some line goes are joined back.
     state = heads.select("id", "cls", "cls2", "first", "last").join(gone2, heads["id"] == gone2["y"], "left")
     state = state.where("y is not null or first <> last").select("cls", "cls2", "first", F.col("y").isNotNull().alias("all_gone"))
