@@ -5,14 +5,16 @@ line), lower-cased.  A line goes if an earlier one, by doc_id and place, has a J
 similarity of 0.8 or more.  Lines without words stay.
 
 Tokens are ordered by hash, those of crowded hash buckets last: a bucket (of ``BUCKETS``, whatever the input) is crowded
-if far more tokens of the stored lines are in it than in the middle one; among these the fuller bucket is the later one.
+if far more tokens of the classes are in it than in the middle one; among these the fuller bucket is the later one.
 Every line keeps its least hashes, some more than its index takes, so its first tokens in the order are known
 without the crowded ones being known before; only classes with too many crowded ones are read again.  The order changes work, not results.
 Lines with equal tokens are one class, known by two hashes and by
 its earliest line.  A class of n tokens is indexed under its first n // 5 + 1 tokens; classes
-that share one are candidates if they pass the length and positional filters, and are verified on
+that share one are candidates if they pass the length filter, and are verified on
 all tokens.  A class needs but one earlier match: it is first held against the
 earliest class of the bucket that it meets most often, and only classes that this leaves open are held against all.
+Pairs are first held against the number of indexed tokens that they share, and whole sets are read for those that
+may still be similar.
 """
 
 from __future__ import annotations
@@ -29,32 +31,40 @@ CROWDED = 6
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, w) of every line: the hashes of its words in order; a null text is one empty line."""
+    """(doc_id, tie, line_no, w) of every line: its words in order; a null text is one empty line."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), spaced(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
     return slim.select("doc_id", "tie", F.posexplode(F.split("_t", "\n")).alias("line_no", "line")).select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("w"))
 
 
 def spaced(text: Column) -> Column:
     """Lower case, and spaces for all other gaps but line feeds."""
-    text = F.lower(text)
+    plain = text
     for gap in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(gap), F.lit(" "))
-    return text
+        plain = F.replace(plain, F.lit(gap), F.lit(" "))
+    # Few texts have other gaps, and one search tells.
+    return F.lower(F.when(text.rlike(r"[\t\x0B\f\r]"), plain).otherwise(text))
 
 
 def words_of(line: Column) -> Column:
-    """The hashes of a spaced line's words."""
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    """A spaced line's words."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def tokens_of(words: Column) -> Column:
-    """The distinct shingle hashes of a line's word hashes, of which there must be one at least.
+    """The distinct shingle hashes of a line's words, of which there must be one at least.
 
+    Words are hashed as pairs, and a shingle as two pairs and a word, which takes fewer steps than five words.
     Nulls behind the last word leave a hash as it is, so fewer words give the hash of the whole line.
     """
-    starts = lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1)))
-    # An array of one binds the words, so that they are made once for a line and not for each shingle.
-    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(starts(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)]))))[0]
+
+    def shingles(w, pairs):
+        starts = F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - (WORDS - 1), F.lit(1)))
+        return F.transform(starts, lambda p, i: F.xxhash64(p, F.try_element_at(pairs, i + 3), F.try_element_at(w, i + 5)))
+
+    # An array of one binds the words and the pairs, so that they are made once for a line and not for each shingle.
+    pairs = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.try_element_at(w, i + 2)))
+    of = lambda w: F.transform(F.array(pairs(w)), lambda p: F.array_distinct(shingles(w, p)))[0]
+    return F.transform(F.array(words), of)[0]
 
 
 def indexed(n: Column) -> Column:
@@ -87,7 +97,7 @@ def first_tokens(tokens: Column, n: Column, place: list[int]) -> Column:
     ``tokens`` are its least hashes, ascending; null if these don't tell.
     """
     table = F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
-    level = lambda t: F.get(table, bucket_of(t))
+    level = lambda t: table[bucket_of(t)]
     k = indexed(n)
     head = F.slice(tokens, F.lit(1), k)
     free = F.filter(tokens, lambda t: level(t) == 0)
@@ -104,9 +114,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _near(a, b) -> Column:
-    """The length and positional filters on two rows' n and pos."""
+    """The length filter on two rows' n."""
     na, nb = a("n").cast("long"), b("n").cast("long")
-    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (F.least(na - a("pos"), nb - b("pos")) * 9 >= (na + nb) * 4)
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Rows of tokens that both of (y, x) are indexed under, with n and pos of either, as pairs that may be similar.
+
+    Behind the end of the prefix that ends first in the order, the two share at most what the other tokens of either allow.
+    """
+    told = pairs.groupBy("y", "x").agg(
+        F.count("*").alias("both"), F.first("ny").cast("long").alias("ny"), F.first("nx").cast("long").alias("nx"), F.max("py").alias("py"), F.max("px").alias("px")
+    )
+    ny, nx, py, px = (F.col(c) for c in ("ny", "nx", "py", "px"))
+    rest = F.greatest(F.least(ny - indexed(ny), nx - px - 1), F.least(ny - py - 1, nx - indexed(nx)))
+    return told.where((F.col("both") + rest) * 9 >= (ny + nx) * 4)
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -123,71 +146,86 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     low = F.slice("t", F.lit(1), indexed(n) + F.floor(n / 10).cast("int") + 1)
     slim = toks.select("doc_id", "tie", "line_no", F.when(there, n).alias("n"), F.when(there, F.xxhash64("t", n)).alias("cls"), F.when(there, F.xxhash64(n, "t")).alias("cls2"), low.alias("low"))
     whole_lines, whole_path = stored(slim, "lines")
+
     def fetch(wanted: DataFrame) -> tuple[DataFrame, str]:
         """The tokens of classes (id, first), made anew from their lines."""
         wanted = wanted.select("id", "first.*")
         key = lambda doc_id, tie: [F.coalesce(doc_id, F.lit(0)).alias("_doc"), doc_id.isNull().alias("_none"), tie.alias("_tie")]
         keys = ["_doc", "_none", "_tie"]
         want_docs = wanted.groupBy(*key(F.col("doc_id"), F.col("tie"))).agg(F.collect_set(F.struct("line_no", "id")).alias("_want"))
-        text = docs.select(*key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").join(want_docs, keys).dropDuplicates(keys)
+        text = docs.select(*key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").join(want_docs, keys)
         pick = lambda ls: F.transform("_want", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["line_no"]).alias("line")))
         lines = text.select(F.explode(F.transform(F.array(F.split(spaced(F.col("text")), "\n")), pick)[0]).alias("_w")).select("_w.*")
-        return stored(lines.select("id", F.sort_array(tokens_of(words_of(F.col("line")))).alias("tokens")), "line-sets")
+        # Rows alike in doc_id and text give a line more than once.
+        return stored(lines.select("id", F.sort_array(tokens_of(words_of(F.col("line")))).alias("tokens")).dropDuplicates(["id"]), "line-sets")
 
     at = F.struct("doc_id", "tie", "line_no")
-    place = crowded(whole_lines.select("low"))
-    open_lines = whole_lines.where(F.col("cls").isNotNull() & first_tokens(F.col("low"), F.col("n"), place).isNull())
-    open_classes = open_lines.groupBy(F.col("cls").alias("id"), "cls2").agg(F.min(at).alias("first"))
-    if open_lines.limit(1).count():
-        # Their other tokens may be crowded too.
-        others, path = fetch(open_classes)
-        place = crowded(whole_lines.select("low").unionByName(others.select(F.col("tokens").alias("low"))))
-        discard(spark, path)
-    heads = whole_lines.where("cls is not null").select("cls", "cls2", at.alias("at"), "n", first_tokens(F.col("low"), F.col("n"), place).alias("prefix"))
-    heads = heads.groupBy("cls", "cls2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    # Classes numbered in the order of their earliest lines.
-    heads, heads_path = stored(heads.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    # The earliest line brings the tokens along.
+    known = F.struct("doc_id", "tie", "line_no", "n", "low")
+    classes = whole_lines.where("cls is not null").select("cls", "cls2", at.alias("at"), known.alias("known")).groupBy("cls", "cls2").agg(F.min("known").alias("known"), F.max("at").alias("last"))
+    first = F.struct(*[F.col(f"known.{c}").alias(c) for c in ("doc_id", "tie", "line_no")])
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "cls", "cls2", first.alias("first"), "last", "known.n", "known.low")
+    classes, classes_path = stored(classes, "line-classes")
     all_lines, lines_path = stored(whole_lines.select("doc_id", "tie", "line_no", "cls", "cls2"), "lines")
     discard(spark, whole_path)
 
+    place = crowded(classes.select("low"))
+    of_low = lambda: first_tokens(F.col("low"), F.col("n"), place)
+    sets, sets_path = fetch(classes.where(of_low().isNull()).select("id", "first"))
+    if sets.limit(1).count():
+        # The other tokens of these may be crowded too.
+        place = crowded(classes.select("low").unionByName(sets.select(F.col("tokens").alias("low"))))
+
     size = F.col("n").cast("long")
-    told = heads.where("prefix is not null").select("id", "n", "prefix")
-    lacking, again_path = heads.where("prefix is null").select("id", "first"), []
-    if lacking.limit(1).count():
-        again, path = fetch(lacking)
-        again_path = [path]
-        told = told.unionByName(again.select("id", F.size("tokens").alias("n"), first_tokens(F.col("tokens"), F.size("tokens"), place).alias("prefix")))
+    read = lambda s: s.select("id", F.size("tokens").alias("n"), first_tokens(F.col("tokens"), F.size("tokens"), place).alias("prefix"))
+    lacking, lacking_path = stored(classes.where(of_low().isNull()).select("id", "first"), "line-wants")
+    again_path = [sets_path, lacking_path]
+    told = classes.select("id", "n", of_low().alias("prefix")).unionByName(read(sets.join(lacking, "id", "left_semi")))
+    more = lacking.join(sets, "id", "left_anti")
+    if more.limit(1).count():
+        again, path = fetch(more)
+        again_path.append(path)
+        told = told.unionByName(read(again))
     rows = told.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
     # In order of size, a class whose neighbours are too far in size has no partner in the bucket.
-    by_size, bucket = Window.partitionBy("tok").orderBy("n", "id"), Window.partitionBy("tok")
+    by_size = Window.partitionBy("tok").orderBy("n", "id")
     rows = rows.withColumns({"below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long")})
-    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4)).select("tok", "id", "n", "pos")
-    # Most rows are gone by here, so few are left for the second window.
-    buckets, buckets_path = stored(rows.withColumn("early", F.min(F.struct("id", "n", "pos")).over(bucket)), "line-buckets")
+    rows = rows.where((F.col("below") * 5 >= size * 4) | (size * 5 >= F.col("above") * 4))
+    rows, rows_path = stored(rows.select("tok", "id", "n", "pos"), "line-buckets")
     discard(spark, *again_path)
+    # Few classes are left, which are numbered in the order of their earliest lines.
+    order = classes.select("id", "first").join(rows.select("id").distinct(), "id", "left_semi").orderBy("first")
+    order, order_path = stored(order.withColumn("no", F.monotonically_increasing_id()), "line-order")
+    rows = rows.join(order.select("id", "no"), "id").select("tok", F.col("no").alias("id"), "n", "pos")
+    buckets, buckets_path = stored(rows.withColumn("early", F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("tok"))), "line-buckets")
+    discard(spark, rows_path)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The later classes of the similar ones among stored ``pairs`` (y, x)."""
+        ids = pairs.select(F.explode(F.array("y", "x")).alias("no")).distinct()
+        sets, path = fetch(order.select("no", "first").join(ids, "no", "left_semi").withColumnRenamed("no", "id"))
+        out = stored(_verified(pairs, sets).select("y").distinct(), "lines-gone")
+        discard(spark, path)
+        return out
 
     own, early = (lambda c: F.col(c)), (lambda c: F.col(f"early.{c}"))
-    votes = buckets.where(own("id") != early("id")).where(_near(own, early)).groupBy("id", early("id").alias("x")).count()
-    first, first_path = stored(votes.groupBy(F.col("id").alias("y")).agg(F.max_by("x", F.struct("count", "x")).alias("x")), "line-pairs")
-    # One reading of the texts serves both rounds of pairs.
-    sets, sets_path = fetch(buckets.select("id").distinct().join(heads.select("id", "first"), "id"))
-    gone, gone_path = stored(_verified(first, sets).select("y").distinct(), "lines-gone")
+    names = lambda a, b: [f(c).alias(f"{c}{k}" if c != "id" else k) for k, f in (("y", a), ("x", b)) for c in ("id", "n")] + [a("pos").alias("py"), b("pos").alias("px")]
+    votes = _enough(buckets.where(own("id") != early("id")).where(_near(own, early)).select(*names(own, early)))
+    first, first_path = stored(votes.groupBy("y").agg(F.max_by("x", F.struct("both", "x")).alias("x")), "line-pairs")
+    gone, gone_path = similar(first)
     p, q = buckets.join(gone, buckets["id"] == gone["y"], "left_anti").alias("p"), buckets.alias("q")
-    more = (
-        p.join(q, (F.col("p.tok") == F.col("q.tok")) & (F.col("q.id") < F.col("p.id")) & _near(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
-        .select(F.col("p.id").alias("y"), F.col("q.id").alias("x"))
-        .distinct()
-        .join(first, ["y", "x"], "left_anti")
-    )
-    more, more_path = stored(more, "line-pairs")
-    gone2, gone2_path = stored(gone.unionByName(_verified(more, sets).select("y").distinct()), "lines-gone")
-    discard(spark, buckets_path, first_path, sets_path, gone_path, more_path)
+    of_p, of_q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    more = _enough(p.join(q, (F.col("p.tok") == F.col("q.tok")) & (F.col("q.id") < F.col("p.id")) & _near(of_p, of_q)).select(*names(of_p, of_q)))
+    more, more_path = stored(more.select("y", "x").join(first, ["y", "x"], "left_anti"), "line-pairs")
+    gone_more, gone_more_path = similar(more)
+    gone2, gone2_path = stored(order.select("no", "id").join(gone.unionByName(gone_more), F.col("no") == F.col("y"), "left_semi").select(F.col("id").alias("y")), "lines-gone")
+    discard(spark, buckets_path, order_path, first_path, gone_path, more_path, gone_more_path)
     # Only classes of which some line goes are joined back.
-    state = heads.select("id", "cls", "cls2", "first", "last").join(gone2, heads["id"] == gone2["y"], "left")
+    state = classes.select("id", "cls", "cls2", "first", "last").join(gone2, classes["id"] == gone2["y"], "left")
     state = state.where("y is not null or first <> last").select("cls", "cls2", "first", F.col("y").isNotNull().alias("all_gone"))
     hit = all_lines.select("doc_id", "tie", "line_no", "cls", "cls2").join(state, ["cls", "cls2"], "left")
     removed = F.coalesce(F.col("all_gone") | (F.struct("doc_id", "tie", "line_no") > F.col("first")), F.lit(False))
-    return hit.select("doc_id", "tie", "line_no", removed.alias("removed")), [lines_path, heads_path, gone2_path]
+    return hit.select("doc_id", "tie", "line_no", removed.alias("removed")), [lines_path, classes_path, gone2_path]
 
 
 def op5_lines(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,35 @@ def test_lines_with_crowded_tokens(spark, monkeypatch):
     assert {r["doc_id"] for r in got if r["n_removed"]} == want and 0 < len(want) < 69
     # Tokens beyond the least hashes are crowded as well, and counted.
     assert len(read) == 2 and sum(map(bool, read[1])) > sum(map(bool, read[0])) > 0
+
+
+def test_lines_that_share_few_tokens_are_not_read_whole(spark, monkeypatch):
+    rows = []
+    for i in range(60):
+        runs = [" ".join(f"r{i // 2}_{k}_{j}" for j in range(5)) for k in range(10)]
+        rows.append((i, " ".join(f"{r} {' '.join(f'u{i}_{k}_{j}' for j in range(5))}" for k, r in enumerate(runs))))
+    base = [f"b{j}" for j in range(60)]
+    rows += [(100, " ".join(base)), (101, " ".join(base[:-1] + ["other"]))]
+    pairs, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda p, sets: pairs.append(p.count()) or verified(p, sets))
+    got = line_dedup.op5_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {101} and sum(pairs) == 1
+
+
+def test_pairs_at_the_bound_stay(spark):
+    """No similar pair is lost by the tokens that its prefixes share, whatever the order and the sizes."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    for k in range(3000):
+        n = rng.randint(1, 60)
+        common = rng.sample(range(400), n)
+        x, y = (set(common) | {1000 + s + rng.randrange(100) for _ in range(rng.randint(0, max(1, n // 6)))} for s in (0, 1000))
+        a, b = sorted(x), sorted(y)
+        if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+            want.add(k)
+        order = rng.sample(range(3000), 3000)
+        a, b = (sorted(v, key=order.__getitem__) for v in (a, b))
+        pa, pb = a[: len(a) // 5 + 1], b[: len(b) // 5 + 1]
+        rows += [(k, 0, len(a), len(b), pa.index(t), pb.index(t)) for t in pa if t in pb]
+    got = line_dedup._enough(spark.createDataFrame(rows, "y long, x long, ny int, nx int, py int, px int")).select("y").collect()
+    assert want <= {r["y"] for r in got} and 100 < len(want) < 3000
