@@ -181,8 +181,15 @@ def weights_of(table: DataFrame) -> Weights:
     return Weights(dims, sub, {r["feature"]: r["sub_weight"] for r in rows if r["dimension"] == "safety_bonus"}, "data_driven")
 
 
-def derive_weights(cells: DataFrame, key: str = "cell", target: str = "accident_count", group: str = "district", permutations: int = 499) -> tuple[Weights, DataFrame]:
-    """Weights from the four channels of evidence, and the channels' scores."""
+def weight_rows(channels: DataFrame) -> DataFrame:
+    """(feature, dimension, dimension_weight, sub_weight) of every feature from the channels' scores; both weights are null where no dimension of risk has evidence."""
+    w = dimension_weights(combine(channels))
+    w = w.select("feature", "dimension_weight", "sub_weight", F.count("dimension_weight").over(Window.partitionBy(F.lit(0))).alias("_any"))
+    return specs(channels.sparkSession).join(w, "feature", "left").select("feature", "dimension", "dimension_weight", F.when(F.col("_any") > 0, F.col("sub_weight")).alias("sub_weight"))
+
+
+def channel_scores(cells: DataFrame, key: str = "cell", target: str = "accident_count", group: str = "district", permutations: int = 499) -> DataFrame:
+    """(channel, feature, score) of the four channels of evidence, stored."""
     from pathwarden.operators.models import logistic_evidence, poisson_evidence
 
     parts = {
@@ -194,5 +201,10 @@ def derive_weights(cells: DataFrame, key: str = "cell", target: str = "accident_
         one = p.select(F.lit(name).alias("channel"), "feature", "score")
         all_ = one if all_ is None else all_.unionByName(one)
     # A row for each channel and feature, made here and not inside a broadcast, which has a time limit.
-    all_, _ = stored(all_)
-    return weights_of(dimension_weights(combine(all_))), all_
+    return stored(all_)[0]
+
+
+def derive_weights(cells: DataFrame, key: str = "cell", target: str = "accident_count", group: str = "district", permutations: int = 499) -> tuple[Weights, DataFrame]:
+    """Weights from the four channels of evidence, and the channels' scores; an error where no dimension of risk has evidence."""
+    channels = channel_scores(cells, key, target, group, permutations)
+    return weights_of(dimension_weights(combine(channels))), channels
