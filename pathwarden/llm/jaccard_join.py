@@ -16,10 +16,12 @@ t + 1.  Then any two sets that link share a single or a pair.  The number of gro
 set's size by powers of two; a set is indexed for its own level and for that of partners
 up to 5/4 its size.
 
-Candidates share a single or a pair and pass the length and positional filters; each is verified on whole sets.  Since
+Candidates share a single or a pair and pass the length and positional filters; each is verified on whole sets.  Buckets
+that hold the same classes are one, with each class's first position among them.  Since
 classes of a component need not be compared, every class is first verified against one
 other of another component, ``STARS`` times over, and then all pairs of different components that are left.
-There the join also compares sketches: ``BITS`` parities of how many tokens fall into each range of hashes.  Sets differ in at
+There the classes of a bucket, in order of size, are held against those of near size, many buckets at a time, and by sketches too: ``BITS`` parities of how many
+tokens fall into each range of hashes.  Sets differ in at
 least as many tokens as their sketches in bits, and sets that link differ in at most a ninth of their tokens, so no link is lost.
 """
 
@@ -44,6 +46,10 @@ SMALL = 64
 STARS = 3
 #: Parities in a sketch, 64 a word; they tell sets of up to about twice as many tokens apart.
 BITS = 2048
+#: Classes whose texts are found by a broadcast list; more move the texts.
+FEW = 10_000
+#: Pairs whose sketches are compared at once.
+_BLOCK = 1 << 14
 _ONE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -251,10 +257,49 @@ def _near(a: str, b: str):
     return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (rest * 9 >= (na + nb) * 4)
 
 
-def _apart():
-    """Whether the sketches of p and q differ in no more bits than sets that link may in tokens."""
-    bits = [F.bit_count(F.get("p.sketch", F.lit(i)).bitwiseXOR(F.get("q.sketch", F.lit(i)))) for i in range(BITS // 64)]
-    return sum(bits[1:], bits[0]) * 9 <= F.col("p.n").cast("long") + F.col("q.n").cast("long")
+def candidates(sig: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, c: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Pairs (a < b) of classes of different components in a bucket, near in size and position, whose sketches differ in no more bits than sets that link may in tokens.
+
+    Rows ascend by ``sig`` and then ``n``, so a row is held against the next ones until the first that is too large.
+    """
+    rest, found, step = n - pos, [np.empty((0, 2), np.int64)], 1
+    at = np.arange(len(sig))
+    while True:
+        at = at[at + step < len(sig)]
+        at = at[(sig[at] == sig[at + step]) & (n[at + step] * 4 <= n[at] * 5)]
+        if not len(at):
+            return np.unique(np.concatenate(found), axis=0)
+        p, q = at, at + step
+        ok = (c[p] != c[q]) & (np.minimum(rest[p], rest[q]) * 9 >= (n[p] + n[q]) * 4)
+        p, q = p[ok], q[ok]
+        for lo in range(0, len(p), _BLOCK):
+            x, y = p[lo : lo + _BLOCK], q[lo : lo + _BLOCK]
+            apart = np.bitwise_count((sketches[x] ^ sketches[y]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            hit = apart * 9 <= n[x] + n[y]
+            x, y = key[x[hit]], key[y[hit]]
+            found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+        step += 1
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`candidates` of rows (sig, key, n, pos, c, sketch) in order of sig and n; a bucket that goes on in the next batch waits for it."""
+    held: list[list[np.ndarray]] = []
+
+    def compared(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        pairs = candidates(*(np.concatenate(x) for x in zip(*rows)))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)] + [b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last or (held and held[-1][0][-1] != rows[0][-1]):
+            yield compared([*held, [x[:last] for x in rows]])
+            held = []
+        held.append([x[last:] for x in rows])
+    if held:
+        yield compared(held)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -278,11 +323,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     n = F.col("n").cast("long")
     rows = rows.withColumns({"below": F.lag("n").over(by_size).cast("long"), "above": F.lead("n").over(by_size).cast("long"), "twin": F.lag("key").over(by_size), "lo": F.min("key").over(bucket), "hi": F.max("key").over(bucket)})
     rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("twin").isNull() | (F.col("twin") != F.col("key"))) & ((F.col("below") * 5 >= n * 4) | (n * 5 >= F.col("above") * 4)))
-    buckets, buckets_path = stored(rows.select("sig", "key", "n", "pos"), "buckets")
+    # Buckets of the same classes, told by two hashes of their keys, become one.
+    alike = {"m": F.count("*").over(bucket), "g": F.bit_xor(F.xxhash64("key")).over(bucket), "h": F.bit_xor(F.xxhash64("key", F.lit(1))).over(bucket)}
+    rows = rows.select("sig", "key", "n", "pos").withColumns(alike).where("m > 1").groupBy("m", "g", "h", "key").agg(F.min("sig").alias("sig"), F.first("n").alias("n"), F.min("pos").alias("pos"), F.count("*").alias("times"))
+    buckets, buckets_path = stored(rows.select("sig", "key", "n", "pos", "times"), "buckets")
     # A class is read again from one row, found by doc_id and the hash of its text; rows without doc_id stand in only where there is no other.
     reps = per_doc.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("rep"))
     # The more of its tokens a class shares, the likelier it is the middle of a group.
-    weights = buckets.groupBy("key").agg((F.count("*") / F.first("n")).alias("weight"))
+    weights = buckets.groupBy("key").agg((F.sum("times") / F.first("n")).alias("weight"))
     open_, path = stored(buckets.join(weights, "key").withColumn("c", F.col("key")), "buckets-open")
     discard(spark, buckets_path)
     old, done, sets, links = [], None, None, None
@@ -293,13 +341,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         new, new_path = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         keys = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
         keys = keys if sets is None else keys.join(sets.select("key"), "key", "left_anti")
-        wanted = keys.join(reps, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tie").alias("rep_tie"))
+        wanted, wanted_path = stored(keys.join(reps, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tie").alias("rep_tie")), "wanted")
+        wanted = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
         texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["rep_id"]) & (slim["tie"] == wanted["rep_tie"])).select("key", "text")
         more, more_path = stored(texts.mapInArrow(_tokens, "key long, n int, outline binary, tokens binary").dropDuplicates(["key"]), "sets")
         sets = more if sets is None else sets.unionByName(more)
         found, found_path = stored(verify(new, sets), "links")
         done, links = (new, found) if done is None else (done.unionByName(new), links.unionByName(found))
-        old.extend((new_path, more_path, found_path))
+        old.extend((new_path, wanted_path, more_path, found_path))
 
     def relabelled() -> None:
         """Buckets by the components so far; only those that hold two or more stay open."""
@@ -316,18 +365,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         me = F.struct("weight", "key", "n", "pos", "c")
         hubs = open_.withColumn("hub", F.max(me).over(bucket))
         hubs = hubs.withColumn("second", F.max(F.when(F.col("c") != F.col("hub.c"), me)).over(bucket))
-        hubs = hubs.select("key", F.struct("n", "pos").alias("own"), F.when(F.col("c") != F.col("hub.c"), F.col("hub")).otherwise(F.col("second")).alias("hub"))
-        votes = hubs.where("hub is not null").where(_near("own", "hub")).groupBy("key", F.col("hub.key").alias("h")).count()
+        hubs = hubs.select("key", "times", F.struct("n", "pos").alias("own"), F.when(F.col("c") != F.col("hub.c"), F.col("hub")).otherwise(F.col("second")).alias("hub"))
+        votes = hubs.where("hub is not null").where(_near("own", "hub")).groupBy("key", F.col("hub.key").alias("h")).agg(F.sum("times").alias("count"))
         votes = votes.withColumns({"a": F.least("key", "h"), "b": F.greatest("key", "h")})
         votes = votes if done is None else votes.join(done, ["a", "b"], "left_anti")
         best = votes.groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("count", "h")).alias("p"))
         tested(best.select("p.a", "p.b").distinct())
         relabelled()
     sketches = per_doc.where("n > 0").select("key", "sketch").dropDuplicates(["key"])
-    drawn = open_.join(sketches, "key")
-    p, q = drawn.alias("p"), drawn.alias("q")
-    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & _near("p", "q") & _apart())
-    tested(rest.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct())
+    drawn = open_.join(sketches, "key").select("sig", "key", "n", "pos", "c", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "key")
+    tested(drawn.mapInArrow(_compare, "a long, b long").distinct())
     final, final_path = components(links)
     joined = reps.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
     least = joined.groupBy("c").agg(F.min("rep.doc_id").alias("component_id"))
