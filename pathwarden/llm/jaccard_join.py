@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwarden.llm.common import components, discard, stored
-from pathwarden.llm.shingles import WORDS, mix, set_key, shingle_hashes, word_hashes
+from pathwarden.llm.shingles import WORDS, distinct, mix, set_key, shingle_hashes, word_hashes
 
 #: A token is frequent in more than this share of the tokens, and at least in this many documents.
 FREQUENT_SHARE = 1 / (1 << 19)
@@ -47,7 +47,7 @@ STARS = 3
 #: Parities in a sketch, 64 a word; they tell sets of up to about twice as many tokens apart.
 BITS = 2048
 #: Classes whose texts are found by a broadcast list; more move the texts.
-FEW = 10_000
+FEW = 2_000
 #: Pairs whose sketches are compared at once.
 _BLOCK = 1 << 14
 _ONE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -112,7 +112,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     for t in texts:
         raw = t.as_buffer() if t.is_valid else None
-        yield np.unique(shingle_hashes(word_hashes(raw.to_pybytes()), WORDS)) if raw is not None and raw.size else np.empty(0, np.uint64)
+        yield distinct(shingle_hashes(word_hashes(raw.to_pybytes()), WORDS)) if raw is not None and raw.size else np.empty(0, np.uint64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -335,10 +335,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     discard(spark, buckets_path)
     old, done, sets, links = [], None, None, None
 
-    def tested(pairs: DataFrame) -> None:
-        """Verify ``pairs`` (a < b) that no round had, and keep those that link."""
+    def tested(pairs: DataFrame) -> bool:
+        """Verify ``pairs`` (a < b) that no round had, and keep those that link; whether there were any."""
         nonlocal done, sets, links
         new, new_path = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if done is not None and not new.limit(1).count():
+            discard(spark, new_path)
+            return False
         keys = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
         keys = keys if sets is None else keys.join(sets.select("key"), "key", "left_anti")
         wanted, wanted_path = stored(keys.join(reps, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tie").alias("rep_tie")), "wanted")
@@ -349,6 +352,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         found, found_path = stored(verify(new, sets), "links")
         done, links = (new, found) if done is None else (done.unionByName(new), links.unionByName(found))
         old.extend((new_path, wanted_path, more_path, found_path))
+        return True
 
     def relabelled() -> None:
         """Buckets by the components so far; only those that hold two or more stay open."""
@@ -370,7 +374,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         votes = votes.withColumns({"a": F.least("key", "h"), "b": F.greatest("key", "h")})
         votes = votes if done is None else votes.join(done, ["a", "b"], "left_anti")
         best = votes.groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("count", "h")).alias("p"))
-        tested(best.select("p.a", "p.b").distinct())
+        if not tested(best.select("p.a", "p.b").distinct()):
+            break  # nor would the next rounds find any
         relabelled()
     sketches = per_doc.where("n > 0").select("key", "sketch").dropDuplicates(["key"])
     drawn = open_.join(sketches, "key").select("sig", "key", "n", "pos", "c", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "key")

@@ -38,10 +38,11 @@ _POW: list[np.ndarray] = []
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ x >> np.uint64(30)
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _long_word(raw: np.ndarray) -> np.ndarray:
@@ -74,12 +75,16 @@ def word_hashes(raw: bytes) -> np.ndarray:
                 at = stop
                 continue
         part = b[at:end]
-        word = ~_SEP[part]
-        edge = np.diff(word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-        starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        # Where words begin and end, in turn.
+        word = np.ones(len(part) + 2, bool)
+        np.take(_SEP, part, out=word[1:-1])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
         if len(starts):
             total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * _POW[0][: len(part)], out=total[1:])
+            values = _BYTE[part]
+            values *= _POW[0][: len(part)]
+            np.cumsum(values, out=total[1:])
             out.append(mix((total[ends] - total[starts]) * _POW[1][starts]))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -91,15 +96,22 @@ def shingle_hashes(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     if not n:
         return words
     k = min(k, n)
-    acc = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        acc = acc * _Q + words[j : n - k + 1 + j]
+    acc = words[: n - k + 1].copy()
+    for j in range(1, k):
+        acc *= _Q
+        acc += words[j : n - k + 1 + j]
     return mix(acc + np.uint64(k))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; a plain sort is faster than numpy's own on short arrays of hashes."""
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     """Distinct shingle hashes of a whole text, ascending."""
-    return np.unique(shingle_hashes(word_hashes(text.encode()), k)) if text else np.empty(0, np.uint64)
+    return distinct(shingle_hashes(word_hashes(text.encode()), k)) if text else np.empty(0, np.uint64)
 
 
 def set_key(s: np.ndarray) -> int:
