@@ -49,7 +49,7 @@ BITS = 2048
 #: Classes whose texts are found by a broadcast list; more move the texts.
 FEW = 2_000
 #: Pairs whose sketches are compared at once.
-_BLOCK = 1 << 14
+_BLOCK = 1 << 12
 _ONE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -327,6 +327,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     alike = {"m": F.count("*").over(bucket), "g": F.bit_xor(F.xxhash64("key")).over(bucket), "h": F.bit_xor(F.xxhash64("key", F.lit(1))).over(bucket)}
     rows = rows.select("sig", "key", "n", "pos").withColumns(alike).where("m > 1").groupBy("m", "g", "h", "key").agg(F.min("sig").alias("sig"), F.first("n").alias("n"), F.min("pos").alias("pos"), F.count("*").alias("times"))
     buckets, buckets_path = stored(rows.select("sig", "key", "n", "pos", "times"), "buckets")
+    shared.unpersist()
     # A class is read again from one row, found by doc_id and the hash of its text; rows without doc_id stand in only where there is no other.
     reps = per_doc.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("rep"))
     # The more of its tokens a class shares, the likelier it is the middle of a group.
@@ -345,7 +346,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         keys = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
         keys = keys if sets is None else keys.join(sets.select("key"), "key", "left_anti")
         wanted, wanted_path = stored(keys.join(reps, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tie").alias("rep_tie")), "wanted")
-        wanted = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
+        wanted = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted.hint("merge")
         texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["rep_id"]) & (slim["tie"] == wanted["rep_tie"])).select("key", "text")
         more, more_path = stored(texts.mapInArrow(_tokens, "key long, n int, outline binary, tokens binary").dropDuplicates(["key"]), "sets")
         sets = more if sets is None else sets.unionByName(more)
