@@ -77,3 +77,13 @@ def test_buckets_of_the_same_classes_are_one(spark):
         same.setdefault(r["sig"], set()).add(r["key"])
     assert len({frozenset(x) for x in same.values()}) == len(same)
     assert (got["component_id"] == got["doc_id"]).all() and (got["n_shingles"] == 96).all()
+
+
+def test_texts_moved_or_found_by_a_list_give_the_same(spark, monkeypatch):
+    words = [" ".join(f"w{k // 3}-{i}" for i in range(60)) + f" end{k}" for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = []
+    for few in (0, J.FEW):
+        monkeypatch.setattr(J, "FEW", few)
+        got.append({r["doc_id"]: r["component_id"] for r in J.op6_jaccard(docs).collect()})
+    assert got[0] == got[1] == {k: k - k % 3 for k in range(12)}
